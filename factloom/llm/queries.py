@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
+from factloom.llm.decontamination import op6_decontamination
+from factloom.llm.fingerprints import op7_fingerprints
+from factloom.llm.languages import op9_language_id
+from factloom.llm.lines import OP8_SQL, op8_line_dedup
 from factloom.llm.near import op3_near_dedup
+from factloom.llm.packing import op1_packing
+from factloom.llm.sharding import op10_sharding
+from factloom.llm.suffix_tree import op4_lm_scoring
+from factloom.llm.suffixes import op5_suffix_dedup
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op3_near_dedup": op3_near_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_language_id": op9_language_id,
+    "op10_sharding": op10_sharding,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
