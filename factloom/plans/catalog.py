@@ -1,6 +1,8 @@
-"""Registered queries over the driver's tables, and the SQL that must give the same rows."""
+"""All registered queries over the driver's tables, and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from factloom.plans import source_queries  # noqa: F401  registers its queries
+from factloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
