@@ -38,7 +38,7 @@ def read_event_log(spark: SparkSession, path: str, schema: StructType) -> tuple[
 
 
 def parse_lines(lines: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    told = lines.withColumn("row", F.from_json("value", schema)).withColumn("object", F.col("value").rlike(r"^\s*\{.*\}\s*$") & F.schema_of_json(F.lit("{}")).isNotNull())
+    told = lines.withColumn("row", F.from_json("value", schema)).withColumn("object", F.col("value").rlike(r"^\s*\{.*\}\s*$"))
     ok = F.col("object") & F.try_parse_json("value").isNotNull()
     return told.where(ok).select("row.*"), report(told.where(~ok), "event_log", "BAD_LINE", F.substring("value", 1, MOST_CHARS))
 
@@ -199,8 +199,6 @@ def fingerprint_reuse(planned: DataFrame, done: DataFrame) -> DataFrame:
     """The latest earlier completed attempt with the same input fingerprint: one window over both, no range join."""
     cols = ["input_fingerprint", "started_at", "attempt_id"]
     rows = planned.select(*cols, F.lit(True).alias("planned")).union(done.select(*cols, F.lit(False).alias("planned")))
-    w = Window.partitionBy("input_fingerprint").orderBy("started_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    # strictly earlier: the newest of the times before this one
     per_time = rows.groupBy("input_fingerprint", "started_at").agg(F.max(F.when(~F.col("planned"), F.col("attempt_id"))).alias("done_id"))
     before = Window.partitionBy("input_fingerprint").orderBy("started_at").rowsBetween(Window.unboundedPreceding, -1)
     known = per_time.withColumn("reuse_of", F.last("done_id", ignorenulls=True).over(before)).select("input_fingerprint", "started_at", "reuse_of")
