@@ -12,7 +12,8 @@ How large groups stay cheap without losing a link:
    N copies costs N tests, not N*N.
 3. Only members that the hubs did not join are then compared with the rest of their bucket, in blocks of
    bounded size, and an exact bound from the overlap with the hub drops pairs that cannot reach the
-   threshold. Every pair of a bucket whose ends are not already joined is examined.
+   threshold. The likeliest partners are confirmed first; then every pair of a bucket whose ends are
+   still not joined is examined.
 """
 
 from __future__ import annotations
@@ -34,23 +35,23 @@ from factloom.llm.frames import cut, drop
 class NearParams:
     """k words a shingle; linked if 100 * intersection >= percent * union.
 
-    bands x rows signature values come from bands * rows / 2 permutations. With 30 bands of 5 a pair at
-    0.8 is missed with probability (1 - 0.8**5)**30 < 7e-6. `sure` signature standard deviations below
-    the threshold, a pair is dropped unread (5.5: less than 2e-8 of the pairs at the threshold).
+    values / 2 permutations give `values` signature values; the first bands x rows of them make the
+    bands. With 30 bands of 5 a pair at 0.8 is missed with probability (1 - 0.8**5)**30 < 7e-6. `sure`
+    signature standard deviations below the threshold, a pair is dropped unread (4.4: less than 6e-6 of
+    the pairs at the threshold). first: likeliest partners that a member left over is tested with before
+    all others.
     """
 
     k: int = 5
     percent: int = 80
     bands: int = 30
     rows: int = 5
-    sure: float = 5.5
+    values: int = 400
+    sure: float = 4.4
+    first: int = 3
     block: int = 4096
     seed: int = 7
 
-    @property
-    def values(self) -> int:
-        return self.bands * self.rows
-
     @property
     def least_equal(self) -> int:
         t = self.percent / 100
@@ -77,7 +78,7 @@ def signatures(hashes: np.ndarray, offs: np.ndarray, p: NearParams) -> np.ndarra
 def band_keys(sig: np.ndarray, p: NearParams) -> np.ndarray:
     acc = np.broadcast_to(np.arange(p.bands, dtype=np.uint64), (len(sig), p.bands)).copy()
     for i in range(p.rows):
-        acc = arrays.mix(acc * arrays.U64(0x9E3779B97F4A7C15) + sig[:, i :: p.rows][:, : p.bands])
+        acc = arrays.mix(acc * arrays.U64(0x9E3779B97F4A7C15) + sig[:, i : p.bands * p.rows : p.rows])
     return acc.view(np.int64)
 
 
@@ -161,11 +162,12 @@ def _linked(tested: DataFrame, p: NearParams) -> DataFrame:
     return tested.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * p.percent)
 
 
-def _residual(rows: DataFrame, p: NearParams) -> DataFrame:
+def _residual(rows: DataFrame, p: NearParams, most: int | None) -> DataFrame:
     """Pairs (a, b) inside a bucket that are not yet in one component.
 
     rows: key, id, n, sig, comp, hub_comp, common (overlap with the bucket's hub or null). Members
-    outside the hub's component are queries against all members, in blocks of at most `block` rows.
+    outside the hub's component are queries against all members, in blocks of at most `block` rows;
+    with `most`, a query gives only its likeliest partners of each block.
     """
     split = rows.withColumn("query", F.col("comp") != F.col("hub_comp"))
     counts = split.groupBy("key").agg(F.count("*").alias("m"), F.count_if("query").alias("q")).where("q > 0")
@@ -186,10 +188,14 @@ def _residual(rows: DataFrame, p: NearParams) -> DataFrame:
             near = m[(comp[m] != comp[i]) & (np.minimum(n[m], n[i]) * 100 >= np.maximum(n[m], n[i]) * p.percent)]
             if common[i] >= 0 and len(near):
                 # with the hub's set h: |x & y| <= min(|x & h|, |y & h|) + min(|x - h|, |y - h|)
-                most = np.where(common[near] >= 0, np.minimum(common[near], common[i]) + np.minimum(n[near] - common[near], n[i] - common[i]), np.minimum(n[near], n[i]))
-                near = near[most * 100 >= (n[near] + n[i] - most) * p.percent]
+                bound = np.where(common[near] >= 0, np.minimum(common[near], common[i]) + np.minimum(n[near] - common[near], n[i] - common[i]), np.minimum(n[near], n[i]))
+                near = near[bound * 100 >= (n[near] + n[i] - bound) * p.percent]
             if len(near):
-                near = near[(sig[near] == sig[i]).sum(1) >= p.least_equal]
+                equal = (sig[near] == sig[i]).sum(1)
+                fair = equal >= p.least_equal
+                near, equal = near[fair], equal[fair]
+                if most and len(near) > most:
+                    near = near[np.lexsort((ids[near], -equal))[:most]]
                 found.append(np.stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])], 1))
         return np.unique(np.concatenate(found), axis=0) if found else None
 
@@ -249,22 +255,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # ids in ascending order, so a pair is the same one in every bucket
     pairs = starred.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     wanted = reps.select(F.col("id").alias(id_col))
-    sets = cut(shingle_sets(docs.select(id_col, text_col).join(wanted, id_col, "left_semi"), id_col, text_col, p.k))
-    tested = cut(_confirm(_plausible(pairs, reps, p), sets))
-    first = _linked(tested, p)
-    label = cut(components(first))
-    both = tested.select(F.col("a").alias("id"), F.col("b").alias("hub"), "common").union(tested.select(F.col("b").alias("id"), F.col("a").alias("hub"), "common"))
-    comp = reps.select("id").join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-    told = starred.join(comp, "id").join(comp.select(F.col("id").alias("hub"), F.col("comp").alias("hub_comp")), "hub")
-    split = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_rows = told.join(split, "key", "left_semi").join(both, ["id", "hub"], "left").join(reps, "id")
-    open_rows = open_rows.withColumn("common", F.when(F.col("id") == F.col("hub"), F.col("n")).otherwise(F.col("common")))
-    rest = _residual(open_rows.select("key", "id", "n", "sig", "comp", "hub_comp", "common"), p).distinct()
-    rest = rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    second = _linked(_confirm(rest, sets), p)
-    final = components(first.select("a", "b").union(second.select("a", "b")))
+    sets = cut(shingle_sets(docs.select(id_col, text_col).join(wanted.hint("merge"), id_col, "left_semi"), id_col, text_col, p.k))
+    hub_tests = cut(_confirm(_plausible(pairs, reps, p), sets))
+    both = hub_tests.select(F.col("a").alias("id"), F.col("b").alias("hub"), "common").union(hub_tests.select(F.col("b").alias("id"), F.col("a").alias("hub"), "common"))
+    tested, tables = hub_tests, [hub_tests]
+    for most in (p.first, None):
+        label = components(_linked(tested, p))
+        comp = cut(reps.select("id").join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("component", "id").alias("comp")))
+        told = starred.join(comp, "id").join(comp.select(F.col("id").alias("hub"), F.col("comp").alias("hub_comp")), "hub")
+        split = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        open_rows = told.join(split, "key", "left_semi").join(both, ["id", "hub"], "left").join(reps, "id")
+        open_rows = open_rows.withColumn("common", F.when(F.col("id") == F.col("hub"), F.col("n")).otherwise(F.col("common")))
+        rest = _residual(open_rows.select("key", "id", "n", "sig", "comp", "hub_comp", "common"), p, most).distinct()
+        rest = rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        tables += [comp, cut(_confirm(rest, sets))]
+        tested = tested.union(tables[-1])
+    final = components(_linked(tested, p))
     out = cut(members.join(final.select(F.col("node").alias("cls"), "component"), "cls", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "cls").alias("component")))
-    drop(members, reps, starred, sets, tested, label)
+    drop(members, reps, starred, sets, *tables)
     return out
 
 
