@@ -96,7 +96,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = keyed.join(common, ["h1", "h2"]).where("doc_id <> last_doc")
     gone = cut(gone.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone")).withColumnRenamed("doc_id", "_doc"))
     drop(keyed, *state.runs())
-    joined = docs.drop("n_lines", "n_dropped", "_gone", "_doc").join(gone, F.col(id_col) == F.col("_doc"), "left").drop("_doc")
+    # the texts are dealt by id at every size, so cost follows the input
+    joined = docs.drop("n_lines", "n_dropped", "_gone", "_doc").join(gone.hint("merge"), F.col(id_col) == F.col("_doc"), "left").drop("_doc")
     lines = F.split(text, "\n", -1)
 
     def stays(line: Column) -> Column:
