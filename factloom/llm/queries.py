@@ -10,12 +10,14 @@ from factloom.llm.languages import op9_language_id
 from factloom.llm.lines import OP8_SQL, op8_line_dedup
 from factloom.llm.near import op3_near_dedup
 from factloom.llm.packing import op1_packing
+from factloom.llm.passages import op2_passage_dedup
 from factloom.llm.sharding import op10_sharding
 from factloom.llm.suffix_tree import op4_lm_scoring
 from factloom.llm.suffixes import op5_suffix_dedup
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_passage_dedup": op2_passage_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_suffix_dedup": op5_suffix_dedup,
