@@ -221,3 +221,34 @@ def _(v):
 def _(v):
     rules = v.spark.createDataFrame([(0, "click", True), (0, "view", False), (1, "view", False)], "source_version long, kind string, safe boolean")
     return runs.import_gate(v("v_events").select("event_id", (F.col("log_offset") % 2).alias("source_version"), F.col("event").alias("kind")), rules).select("event_id", "decision")
+
+
+@query("stream_idempotent_requests", "WITH t AS (SELECT *, first_value(request_hash) OVER w AS h, first_value(operation) OVER w AS o, row_number() OVER w AS n FROM v_requests WINDOW w AS (PARTITION BY run_id, key_hash ORDER BY seq)) SELECT CASE WHEN n = 1 THEN 'FIRST' WHEN h = request_hash AND o = operation THEN 'REPLAY' ELSE 'CONFLICT' END AS outcome, count(*) AS n FROM t GROUP BY 1")
+def _(v):
+    # the batch form of the stream; tests replay the stream itself
+    return runs.idempotency_audit(v("v_requests")).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("deep_dive", "SELECT id, length(name) + 1 AS score FROM v_candidates")
+def _(v):
+    from factloom.operators import providers
+
+    return providers.deep_dive(v("v_candidates").select("id", "name"), lambda r: {"id": r["id"], "score": len(r["name"]) + 1}, "id string, score long")
+
+
+@query("judge_and_verify", "SELECT competitor_id || '/' || dimension_id AS judgment_ref, CASE WHEN score IS NULL OR score + 2 <= 10 THEN 'ACCEPT' WHEN dimension_order < 2 THEN 'RETRY' ELSE 'REJECT' END AS result FROM v_judgments")
+def _(v):
+    from factloom.operators import providers, scoring
+
+    rows = v("v_judgments").withColumn("score", F.col("score") + 2).withColumn("judgment_ref", F.concat_ws("/", "competitor_id", "dimension_id")).withColumn("retries", F.col("dimension_order"))
+    return providers.judge_result(rows, scoring.score_status_check(rows, F.col("judgment_ref")), 2).select("judgment_ref", "result")
+
+
+@query("plan_gaps", "SELECT run_id, count(DISTINCT code) AS gaps FROM v_issues WHERE issue GROUP BY run_id")
+def _(v):
+    import pandas as pd
+
+    from factloom.operators import providers
+
+    planned = providers.plan_gaps(v("v_issues").where("issue").select("run_id", "code"), lambda p: pd.DataFrame({"run_id": p.run_id.iloc[0], "code": sorted(set(p.code))}), "run_id string, code string")
+    return planned.groupBy("run_id").agg(F.count("*").alias("gaps"))
