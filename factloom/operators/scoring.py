@@ -12,7 +12,8 @@ WEIGHT = "0.2"
 LEAST_COVERAGE = "0.8"
 BANDS = [(1, 2, "very_weak"), (3, 4, "weak"), (5, 6, "moderate"), (7, 8, "strong"), (9, 10, "exceptional")]
 
-_SCORED = F.col("judgment_status") == "SCORED"
+def _scored() -> Column:
+    return F.col("judgment_status") == "SCORED"
 
 
 def _decimal(x: Column | str) -> Column:
@@ -31,8 +32,8 @@ def weighted_score(judgments: DataFrame) -> DataFrame:
     """(competitor_id, coverage, status, final_score): the weighted mean, where enough weight is covered."""
     rows = with_weight(judgments).groupBy("competitor_id").agg(
         F.sum("weight").alias("total"),
-        F.coalesce(F.sum(F.when(_SCORED, F.col("weight"))), _decimal("0")).alias("covered"),
-        F.sum(F.when(_SCORED, F.col("weight") * F.col("score").cast("decimal(9,0)"))).alias("points"),
+        F.coalesce(F.sum(F.when(_scored(), F.col("weight"))), _decimal("0")).alias("covered"),
+        F.sum(F.when(_scored(), F.col("weight") * F.col("score").cast("decimal(9,0)"))).alias("points"),
     )
     coverage = _decimal(F.bround(F.col("covered") / F.col("total"), 6))
     rows = rows.withColumn("coverage", coverage).withColumn("status", score_status(F.col("coverage")))
@@ -42,7 +43,7 @@ def weighted_score(judgments: DataFrame) -> DataFrame:
 
 def effective_weights(judgments: DataFrame) -> DataFrame:
     """Weights of the scored dimensions, scaled to sum 1 per candidate."""
-    rows = with_weight(judgments).where(_SCORED)
+    rows = with_weight(judgments).where(_scored())
     covered = F.sum("weight").over(Window.partitionBy("competitor_id"))
     return rows.select("competitor_id", "dimension_order", "dimension_id", _decimal(F.bround(F.col("weight") / covered, 6)).alias("effective_weight"))
 
@@ -50,7 +51,7 @@ def effective_weights(judgments: DataFrame) -> DataFrame:
 def missing_dimensions(judgments: DataFrame, dimensions: DataFrame) -> DataFrame:
     """Per candidate the rubric dimensions without a score, in rubric order, as an array."""
     grid = judgments.select("competitor_id").distinct().join(F.broadcast(dimensions.select("dimension_id", "dimension_order").limit(1000)))
-    gaps = grid.join(judgments.where(_SCORED).select("competitor_id", "dimension_id"), ["competitor_id", "dimension_id"], "left_anti")
+    gaps = grid.join(judgments.where(_scored()).select("competitor_id", "dimension_id"), ["competitor_id", "dimension_id"], "left_anti")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("dimension_order", "dimension_id"))), lambda x: x["dimension_id"])
     return gaps.groupBy("competitor_id").agg(listed.alias("missing"))
 
@@ -82,7 +83,7 @@ def rubric_check(dimensions: DataFrame) -> DataFrame:
 
 def score_status_check(judgments: DataFrame, key: Column) -> DataFrame:
     """SCORED needs a whole score from 1 to 10; UNRESOLVED must have none."""
-    bad = F.when(_SCORED & (F.col("score").isNull() | ~F.col("score").between(1, 10)), "SCORE").when(~_SCORED & F.col("score").isNotNull(), "UNRESOLVED_SCORE")
+    bad = F.when(_scored() & (F.col("score").isNull() | ~F.col("score").between(1, 10)), "SCORE").when(~_scored() & F.col("score").isNotNull(), "UNRESOLVED_SCORE")
     return report(judgments.where(bad.isNotNull()), "judgment_score", bad, key, F.coalesce(F.col("score").cast("string"), F.lit("")))
 
 

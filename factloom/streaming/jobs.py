@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from factloom.operators import runs, sources
 from factloom.operators.violations import report
@@ -45,7 +45,7 @@ def read_sources(spark: SparkSession, table: str) -> DataFrame:
 
 def stream_provenance_append(stream: DataFrame, table: str, checkpoint: str, key: str, content: Column) -> StreamingQuery:
     """Append rows of new keys; rows of known keys with other content go to `<table>_conflicts`."""
-    schema = StructType(stream.schema.fields).add("batch_id", "int")
+    schema = StructType([*stream.schema.fields]).add("batch_id", IntegerType())
 
     def append(df: DataFrame, batch: int) -> None:
         known = _before(df.sparkSession, table, batch, schema)
