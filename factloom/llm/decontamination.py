@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import arrays
+from factloom.llm.frames import small_batches
 
 
 @dataclass(frozen=True)
@@ -125,6 +126,7 @@ def _search(text: bytes, automaton, items, p: LeakParams) -> list[tuple[int, int
 
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str, p: LeakParams) -> list[list[tuple[int, bytes]]]:
     """The folded items in blocks of about p.block bytes; the number of blocks is fixed by their total size."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // p.block))

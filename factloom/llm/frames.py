@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, bucket: str | None = None) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back: a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
@@ -37,5 +37,6 @@ def drop(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of at most `size` from here on, so that long texts don't swell Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import arrays
+from factloom.llm.frames import small_batches
 
 
 @dataclass(frozen=True)
@@ -195,10 +196,11 @@ def train_languages(train: DataFrame, params: LanguageParams = LanguageParams())
     calibration text of it.
     """
     p = params
+    small_batches(train.sparkSession)
     sample = _thinned(train.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), p)
 
     def count(batches):
-        for part, data, offs in arrays.blocks(batches, "text"):
+        for part, data, offs in arrays.blocks(batches, "text", 1_000_000):
             sym, soffs = symbols(data, offs, p.order)
             if not len(sym):
                 continue
@@ -252,23 +254,23 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     cross-entropy under the best language is over that language's calibrated limit; it keeps its best
     language. Without a model every row is `und`. Only the text is looked at.
     """
+    small_batches(docs.sparkSession)
     names = [*(model.languages if model else []), "und"]
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "lang_pred string, score double, rejected boolean"
+    kept = docs.drop("lang_pred", "score", "rejected", "_text").withColumn("_text", F.col(text_col).cast("string"))
+    out = kept.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
-    @F.pandas_udf(schema)
-    def of(texts: pd.Series) -> pd.DataFrame:
-        found, model, column = [], held.value, pa.array(texts, pa.large_string())
-        for part, data, offs in arrays.blocks([pa.RecordBatch.from_arrays([column], ["t"])], "t"):
+    def run(batches):
+        model = held.value
+        for part, data, offs in arrays.blocks(batches, "_text", 1_000_000):
             if model is None:
-                found.append((np.full(part.num_rows, -1), np.zeros(part.num_rows), np.ones(part.num_rows, bool)))
+                lang, score, rejected = np.full(part.num_rows, -1), np.zeros(part.num_rows), np.ones(part.num_rows, bool)
             else:
-                found.append(model.choose(*symbols(data, offs, model.order)))
-        lang, score, rejected = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0), np.zeros(0, bool))
-        return pd.DataFrame({"lang_pred": [names[i] for i in lang], "score": score, "rejected": rejected})
+                lang, score, rejected = model.choose(*symbols(data, offs, model.order))
+            columns = [c for c, n in zip(part.columns, part.schema.names, strict=True) if n != "_text"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([names[i] for i in lang], pa.string()), pa.array(score), pa.array(rejected)], names=out.names)
 
-    out = docs.withColumn("_found", of(F.col(text_col).cast("string")))
-    return out.withColumns({c: F.col(f"_found.{c}") for c in ("lang_pred", "score", "rejected")}).drop("_found")
+    return kept.mapInArrow(run, out)
 
 
 def held_out(doc_id: Column, folds: int = 3) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import arrays
+from factloom.llm.frames import small_batches
 
 
 @dataclass(frozen=True)
@@ -172,6 +173,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     Other columns are ignored; an empty table gives no piece.
     """
     p = params
+    small_batches(docs.sparkSession)
 
     def pieces(ids: np.ndarray, offs: np.ndarray, names: pa.Array, base: int):
         ends = best_cuts(*cut_points(ids, offs, p), p)
@@ -199,7 +201,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
                 x.clear()
             return out
 
-        for batch, data, offs in arrays.blocks(batches, "text", 4_000_000):
+        for batch, data, offs in arrays.blocks(batches, "text"):
             ids, toffs = token_ids(data, offs, p.ranks_path)
             held.append(np.insert(ids, toffs[1:], 0))
             counts.append(np.diff(toffs) + 1)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import arrays
-from factloom.llm.frames import cut, drop
+from factloom.llm.frames import cut, drop, small_batches
 
 U64 = np.uint64
 
@@ -319,6 +319,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored; an empty table gives no row.
     """
     p = params
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("text_key", F.xxhash64("text", F.octet_length("text")))
     long_texts = base.where(F.octet_length("text") >= p.length)
