@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import arrays
 from factloom.llm.components import components
-from factloom.llm.frames import cut, drop
+from factloom.llm.frames import cut, drop, small_batches
 
 
 @dataclass(frozen=True)
@@ -178,55 +178,66 @@ def _residual(rows: DataFrame, p: NearParams, most: int | None) -> DataFrame:
     asked = split.where("query").select("key", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"), (F.col("h") % F.col("nq")).cast("int").alias("qb"), F.lit(True).alias("query"), "id", "n", "sig", "comp", "common")
     dealt = members.union(asked).repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb", "query")
 
-    def compare(t: dict):
-        q = t["query"]
-        if not q.any() or q.all():
-            return None
-        sig, n, comp, ids, common = t["sig"], t["n"], t["comp"], t["id"], t["common"]
-        m, found = np.flatnonzero(~q), []
-        for i in np.flatnonzero(q):
-            near = m[(comp[m] != comp[i]) & (np.minimum(n[m], n[i]) * 100 >= np.maximum(n[m], n[i]) * p.percent)]
-            if common[i] >= 0 and len(near):
-                # with the hub's set h: |x & y| <= min(|x & h|, |y & h|) + min(|x - h|, |y - h|)
-                bound = np.where(common[near] >= 0, np.minimum(common[near], common[i]) + np.minimum(n[near] - common[near], n[i] - common[i]), np.minimum(n[near], n[i]))
-                near = near[bound * 100 >= (n[near] + n[i] - bound) * p.percent]
-            if len(near):
-                equal = (sig[near] == sig[i]).sum(1)
-                fair = equal >= p.least_equal
-                near, equal = near[fair], equal[fair]
-                if most and len(near) > most:
-                    near = near[np.lexsort((ids[near], -equal))[:most]]
-                found.append(np.stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else None
+    def compare(t: pa.Table):
+        """Plausible pairs of whole groups; in each group the members come first, then the queries."""
+        ids, n, comp = (t.column(c).to_numpy() for c in ("id", "n", "comp"))
+        common, query = t.column("common").fill_null(-1).to_numpy(), t.column("query").to_numpy(zero_copy_only=False).astype(bool)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, p.values)
+        at = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "mb", "qb")], 1)
+        start = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(1)]))
+        group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(at))))
+        members = np.bincount(group, ~query, len(start)).astype(np.int64)
+        asked = np.flatnonzero(query)
+        ends = np.cumsum(members[group[asked]])
+        lo = 0
+        while lo < len(asked):
+            base = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, base + 1_000_000, "right")))
+            rows = asked[lo:hi]
+            lo, reps = hi, members[group[rows]]
+            x = np.repeat(rows, reps)
+            y = np.repeat(start[group[rows]] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
+            near = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * p.percent)
+            x, y = x[near], y[near]
+            # with the hub's set h: |x & y| <= min(|x & h|, |y & h|) + min(|x - h|, |y - h|)
+            told = (common[x] >= 0) & (common[y] >= 0)
+            bound = np.where(told, np.minimum(common[x], common[y]) + np.minimum(n[x] - common[x], n[y] - common[y]), np.minimum(n[x], n[y]))
+            near = bound * 100 >= (n[x] + n[y] - bound) * p.percent
+            x, y = x[near], y[near]
+            equal = np.concatenate([(sig[x[i : i + 50_000]] == sig[y[i : i + 50_000]]).sum(1) for i in range(0, len(x), 50_000)]) if len(x) else np.zeros(0, np.int64)
+            near = equal >= p.least_equal
+            x, y, equal = x[near], y[near], equal[near]
+            if most and len(x):
+                order = np.lexsort((ids[y], -equal, x))
+                x, y = x[order], y[order]
+                first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                rank = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+                x, y = x[rank < most], y[rank < most]
+            if len(x):
+                out = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
     def run(batches):
-        names, held = ["key", "mb", "qb"], []
-
-        def flush():
-            t = pa.Table.from_batches(held)
-            cols = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "comp", "query")}
-            cols["query"] = cols["query"].astype(bool)
-            cols["common"] = t.column("common").fill_null(-1).to_numpy()
-            cols["sig"] = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, p.values)
-            out = compare(cols)
-            held.clear()
-            if out is not None:
-                return [pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])]
-            return []
-
-        last = None
+        held, size = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
-            edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1), batch.num_rows]
-            for s, e in zip(edges, edges[1:], strict=False):
-                if last is not None and tuple(ids[s]) != last and held:
-                    yield from flush()
-                last = tuple(ids[s])
-                held.append(batch.slice(s, e - s))
+            held.append(batch)
+            size += batch.num_rows
+            if size < 30_000:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            last = [t.column(c)[size - 1].as_py() for c in ("key", "mb", "qb")]
+            open_rows = np.ones(size, bool)
+            for c, x in zip(("key", "mb", "qb"), last, strict=True):
+                open_rows &= t.column(c).to_numpy() == x
+            whole = int(np.argmax(open_rows))
+            if whole:
+                yield from compare(t.slice(0, whole))
+            held = t.slice(whole).to_batches()
+            size -= whole
         if held:
-            yield from flush()
+            yield from compare(pa.Table.from_batches(held).combine_chunks())
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -239,6 +250,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns of `docs` are ignored.
     """
     p = params
+    small_batches(docs.sparkSession)
     feat = cut(features(docs, id_col, text_col, p))
     classes = feat.where("n > 0").groupBy("set_key").agg(F.min("id").alias("cls"))
     members = cut(feat.select("id", "n", "set_key").join(classes, "set_key", "left").select("id", "n", F.coalesce("cls", "id").alias("cls")))

@@ -23,18 +23,18 @@ from pyspark.sql import functions as F
 
 from factloom.llm import arrays
 from factloom.llm.components import components
-from factloom.llm.frames import cut, drop
+from factloom.llm.frames import cut, drop, small_batches
 from factloom.llm.near import NearParams, near_groups
 
 
 @dataclass(frozen=True)
 class PassageParams:
     """With 32 words and a stride of 20, a shared run of 51 words is always found. The bands miss a pair
-    of paragraphs at 0.8 with probability (1 - 0.8**4)**16 < 3e-4."""
+    of paragraphs at 0.8 with probability (1 - 0.8**5)**20 < 4e-4."""
 
     words: int = 32
     stride: int = 20
-    near: NearParams = NearParams(k=5, bands=16, rows=4, values=128)
+    near: NearParams = NearParams(k=5, bands=20, rows=5, values=128)
 
 
 def _paragraphs(docs: DataFrame, p: PassageParams) -> DataFrame:
@@ -122,6 +122,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     alone; rows without an id are left out. Repeated rows count as one document. Other columns are ignored.
     """
     p = params
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     lines = _paragraphs(base, p)
     groups = near_groups(lines, "id", "text", p.near).select("id", F.col("component").alias("cluster")).distinct()
