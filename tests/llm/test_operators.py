@@ -1,0 +1,322 @@
+"""Operators against brute force on a small corpus, and on odd rows."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.llm import decontamination, fingerprints, languages, lines, near, packing, passages, sharding, suffix_tree, suffixes
+from factloom.llm.components import components
+
+SYLLABLES = {"aa": ["lo", "mi", "ka", "ten", "sur", "pel"], "bb": ["grü", "zen", "ost", "wir", "hab", "ne"]}
+
+
+def corpus():
+    rng = random.Random(5)
+
+    def sentence(lang, n):
+        return " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n)).capitalize() + "."
+
+    texts = ["\n".join(sentence(lang, rng.randint(5, 25)) for _ in range(rng.randint(2, 6))) for lang in ("aa", "bb") * 15]
+    langs = ["aa", "bb"] * 15
+    shared = sentence("aa", 60)
+    for i in (3, 8, 13):
+        texts[i] = texts[i][:40] + " " + shared + " " + texts[i][40:]
+    common = "This line stands in very many documents of ours"
+    for i in range(0, 30, 4):
+        texts[i] += "\n  " + common.upper() + "\t\n" + common
+    texts += [texts[5], texts[5], texts[7].replace("lo", "ka", 1), None, "", " \n ", "x", "x", texts[2] * 30]
+    langs += ["bb", "bb", "bb", None, None, "aa", "aa", "aa", "aa"]
+    return [(i, t, lang, "s", len(t or "")) for i, (t, lang) in enumerate(zip(texts, langs, strict=True))]
+
+
+ROWS = corpus()
+TEXT = {r[0]: r[1] or "" for r in ROWS}
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA).repartition(3, "doc_id")
+    # columns whose names the operators use inside
+    for c in ("id", "n", "key", "start", "score", "_gone", "shard", "part", "text_key", "packed"):
+        df = df.withColumn(c, F.lit("clash"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t):
+    return t.encode().lower().split()
+
+
+def shingle_set(t, k):
+    w = words(t)
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_groups(docs, k):
+    sets = {i: shingle_set(t, k) for i, t in TEXT.items()}
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                lo, hi = sorted((group[a], group[b]))
+                group = {i: lo if g == hi else g for i, g in group.items()}
+    got = near.near_groups(docs, params=near.NearParams(k=k)).collect()
+    assert {r.id: (r.n_shingles, r.component) for r in got} == {i: (len(sets[i]), group[i]) for i in sets}
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 120)]
+    label = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in range(130):
+        for a, b in pairs:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = components(spark.createDataFrame(pairs, "a long, b long"))
+    assert {r.node: r.component for r in got.collect()} == label
+
+
+def test_packing_round_trip(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.pack(docs).collect()
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    for i, t in TEXT.items():
+        pieces = sorted(by_doc[i], key=lambda r: r.start)
+        ids = np.frombuffer(b"".join(r.ids for r in pieces), "<u4").tolist()
+        assert ids == tokenizer.encode(t, add_special_tokens=False).ids + [0]
+        assert [r.start for r in pieces] == np.cumsum([0] + [r.length for r in pieces])[:-1].tolist()
+    for seq in by_seq.values():
+        seq.sort(key=lambda r: r.offset)
+        assert [r.offset for r in seq] == np.cumsum([0] + [r.length for r in seq])[:-1].tolist()
+        assert sum(r.length for r in seq) == seq[0].sequence_tokens <= 1024
+
+
+@pytest.mark.parametrize("text", ["", " ", "a  b\n\n c", "don't  stop now   x", "日本 語。 é\t\tz", "x" * 5000 + " y"])
+def test_token_ids(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    raw = np.frombuffer((text * 2).encode(), np.uint8)
+    ids, offs = packing.token_ids(raw, np.array([0, len(text.encode()), len(raw)]))
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert ids[: offs[1]].tolist() == ids[offs[1] :].tolist() == want
+
+
+def test_best_cuts_are_best():
+    rng = np.random.default_rng(2)
+    p = packing.PackParams(length=16, least_power=2, opening=1)
+    for _ in range(50):
+        points = np.unique(np.cumsum(rng.integers(1, 9, 8)))
+        cost = rng.integers(0, 4, len(points))
+        place, extra = [0, *points.tolist()], [0, *cost.tolist()]
+        best = [0] + [10**9] * len(points)
+        for j in range(1, len(place)):
+            for i in range(j):
+                n = place[j] - place[i]
+                if n <= 16:
+                    pad = 0 if n & (n - 1) == 0 and n > 1 else 16 - n
+                    best[j] = min(best[j], best[i] + pad + extra[j] + 1)
+        ends = packing.best_cuts(points, cost, p).tolist()
+        at, total = 0, 0
+        for e in ends:
+            n = e - at
+            assert n <= 16
+            total += (0 if n & (n - 1) == 0 and n > 1 else 16 - n) + extra[place.index(e)] + 1
+            at = e
+        assert total == best[-1]
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        x = np.append(rng.integers(1, rng.integers(2, 5), rng.integers(1, 40)), 0)
+        assert suffixes.suffix_array(x).tolist() == sorted(range(len(x)), key=lambda i, x=x: x[i:].tolist())
+
+
+@pytest.mark.parametrize("hot", [5000, 2])
+def test_repeats_are_exact(docs, hot):
+    p = suffixes.RepeatParams(length=60, gram=40, hot=hot, fine=4)
+    raw = {i: t.encode() for i, t in TEXT.items()}
+    seen = Counter(b[k : k + 60] for b in raw.values() for k in range(len(b) - 59))
+    got = {r.doc_id: r for r in suffixes.without_repeats(docs, params=p).collect()}
+    for i, b in raw.items():
+        cover = np.zeros(len(b), bool)
+        for k in range(len(b) - 59):
+            if seen[b[k : k + 60]] > 1:
+                cover[k : k + 60] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~cover])
+        spans = int((np.diff(np.concatenate([[0], cover.astype(int)])) == 1).sum())
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(b), int(cover.sum()), spans)
+        assert (bytes(r.kept) if r.kept is not None else b) == kept
+
+
+def test_lines(docs):
+    blanks = " \t\n\x0b\x0c\r"
+    key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(blanks))
+    holders = {}
+    for i, t in TEXT.items():
+        for x in t.split("\n"):
+            if len(key(x)) >= 40:
+                holders.setdefault(key(x), set()).add(i)
+    for r in lines.dedup_lines(docs).collect():
+        own = TEXT[r.doc_id].split("\n")
+        kept = [x for x in own if not (len(holders.get(key(x), ())) >= 5 and max(holders[key(x)]) != r.doc_id)]
+        assert (r.n_lines, r.n_dropped, r.text or "") == (len(own), len(own) - len(kept), "\n".join(kept))
+
+
+def test_line_runs_compact(spark):
+    state = lines.LineRuns(spark, fanout=2)
+    fresh = []
+    for b in range(5):
+        batch = spark.createDataFrame([(10 * b + i, i * (b + 1) % 7, 0) for i in range(6)], "doc_id long, h1 long, h2 int")
+        fresh.append({r.h1 for r in state.add(batch).collect()})
+    assert sum(map(len, fresh)) == len(set().union(*fresh)) == state.merged().count()
+    assert len(state.runs()) <= 3
+    assert state.merged().agg(F.sum("n_docs")).first()[0] == 30
+
+
+def test_leaks(spark, docs):
+    item = TEXT[4][10:130]
+    edited = item[:50] + "zz" + item[52:]
+    rows = [(1, "start " + item.upper() + " end"), (2, "other " + edited + " tail"), (3, TEXT[9]), (4, None), (5, "")]
+    found = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item), (8, None), (9, ""), (7, item)], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r for r in found.collect()}
+    assert set(got) == {(1, 7), (2, 7)}
+    assert got[1, 7].distance == 0 and got[1, 7].start == 6 and 1 <= got[2, 7].distance <= 2
+    clean = decontamination.without_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted(r.doc_id for r in clean.collect()) == [3, 4, 5]
+
+
+def test_myers():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(1, n))) for n in (8, 14))
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        best = min(row[1:])
+        got = decontamination.myers(a.encode(), b.encode(), len(a))
+        assert got == (best, row.index(best, 1))
+
+
+def test_fingerprints(spark, docs):
+    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(docs).collect()}
+    assert got[5] == got[30] == got[31] and got[33] == got[34] == got[35] == "" and got[36] == got[37] != ""
+    long = [" ".join(f"w{i}" for i in range(s, s + 400)) for s in (0, 100, 5000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "doc_id long, text string")
+    fp = fingerprints.with_fingerprint(df, F.col("text"), "f").select("doc_id", "f")
+    pairs = fp.alias("a").join(fp.alias("b"), F.col("a.doc_id") < F.col("b.doc_id")).select("a.doc_id", F.col("b.doc_id").alias("o"), fingerprints.likeness(F.col("a.f"), F.col("b.f")).alias("x"))
+    near_to = {(r.doc_id, r.o): r.x for r in pairs.collect()}
+    assert abs(near_to[0, 1] - 0.6) < 0.15 and near_to[0, 2] < 0.15
+
+
+def test_next_rows(docs):
+    rows = fingerprints.with_fingerprint(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.col("text"), "packed")
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(rows, [4, 5, 20]).collect()}
+    assert got == {i: TEXT[(i + 1) % len(TEXT)] for i in TEXT}
+
+
+def test_languages(docs):
+    model = languages.train_languages(docs.where("doc_id % 3 <> 1"))
+    got = {r.doc_id: r for r in languages.identify(docs, model).collect()}
+    assert len(got) == len(ROWS) and all(got[i].lang_pred == "und" and got[i].rejected and got[i].score == 0 for i in (33, 34, 35))
+    judged = [r for r in ROWS if r[2] and r[1] and len(r[1]) > 50]
+    assert np.mean([got[r[0]].lang_pred == r[2] for r in judged]) > 0.95
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_language_probabilities_sum_to_one():
+    text = "lomi kaka suten lo mimi".encode()
+    sym, offs = languages.symbols(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 4)
+    k, c = np.unique(languages.packed(sym, 4)[3:], return_counts=True)
+    model = languages.kneser_ney({"x": (k, c)}, 4)
+    alphabet = np.unique(sym)
+    tests = np.concatenate([np.append(np.array([0, 0, 0] + [ord("l"), ord("o")], np.uint32), a) for a in alphabet])
+    total = 0.0
+    for a in alphabet:
+        s = np.array([0, 0, 0, ord("l"), ord("o"), a], np.uint32)
+        m = model.log_probabilities(s, np.array([0, 6]))[0, 0] * 3
+        short = model.log_probabilities(s[:5], np.array([0, 5]))[0, 0] * 2
+        total += np.exp(m - short)
+    assert 0.8 < total < 1.01 and len(tests)
+
+
+def test_scores(docs):
+    learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    train = [i for i in TEXT if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = Counter(w for i in train for w in words(TEXT[i]))
+    c[None] = len(train)
+    n, v = sum(c.values()), len(c)
+    for params in (suffix_tree.TreeParams(), suffix_tree.TreeParams(hot=10, symbols=5)):
+        for r in suffix_tree.score_documents(docs, learn, params=params).collect():
+            own = [*words(TEXT[r.doc_id]), None]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(c[w] > 0 for w in own), n)
+            assert r.base_score == pytest.approx(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own))
+            assert np.isfinite(r.score) and r.score < 0
+
+
+def test_shards(docs):
+    rows = sharding.shard(docs, 4, range_rows=7).collect()
+    assert len(rows) == len(ROWS)
+    for s in range(4):
+        own = sorted((r.slot, r.doc_id) for r in rows if r.shard == s)
+        assert [x for x, _ in own] == list(range(len(own))) and [d for _, d in own] == sorted(d for _, d in own)
+    assert all(r.grown_shard in (r.shard, 4) and r["size"] == len(TEXT[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(TEXT[r.doc_id].encode()) for r in rows)
+    keys = np.arange(20_000)
+    for k in range(1, 12):
+        a, b = sharding.jump(keys, k), sharding.jump(keys, k + 1)
+        assert set(b[a != b]) <= {k} and abs((a != b).mean() - 1 / (k + 1)) < 0.02
+
+
+def test_passages(docs):
+    got = passages.repeated_passages(docs).collect()
+    seen = {}
+    for i, t in TEXT.items():
+        w = words(t)
+        for k in range(len(w) - 50):
+            seen.setdefault(tuple(w[k : k + 51]), set()).add(i)
+    need = {i for ids in seen.values() if len(ids) > 1 for i in ids}
+    assert need <= {r.doc_id for r in got}
+    passage = [r for r in got if r.kind == "passage" and r.doc_id in (3, 8, 13)]
+    assert {r.first_doc_id for r in passage if r.doc_id != 3} == {3} and [r.kept for r in passage if r.doc_id == 3] == [True]
+    for r in passage:
+        assert hashlib.md5(TEXT[r.doc_id].encode()[r.start : r.end]) and r.end - r.start > 60
+
+
+def test_empty_tables(spark, empty):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    frames = [
+        near.near_groups(empty),
+        packing.pack(empty),
+        suffixes.without_repeats(empty),
+        lines.dedup_lines(empty),
+        decontamination.leaks(empty, bench),
+        decontamination.without_leaks(empty, bench),
+        fingerprints.fingerprints(empty),
+        languages.identify(empty, languages.train_languages(empty)),
+        suffix_tree.score_documents(empty, F.lit(True)),
+        sharding.shard(empty),
+        passages.repeated_passages(empty),
+    ]
+    assert [f.count() for f in frames] == [0] * len(frames)
