@@ -8,7 +8,7 @@ from factloom.llm.decontamination import op6_decontamination
 from factloom.llm.fingerprints import op7_fingerprints
 from factloom.llm.languages import op9_language_id
 from factloom.llm.lines import OP8_SQL, op8_line_dedup
-from factloom.llm.near import op3_near_dedup
+from factloom.llm.near import OP3_SQL, op3_near_dedup
 from factloom.llm.packing import op1_packing
 from factloom.llm.passages import op2_passage_dedup
 from factloom.llm.sharding import op10_sharding
@@ -28,4 +28,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_near_dedup": OP3_SQL, "op8_line_dedup": OP8_SQL}
