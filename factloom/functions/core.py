@@ -176,11 +176,5 @@ def safe_relative_path(path: str | Column) -> Column:
     return F.coalesce(~bad & ~p.rlike(r"[\x00-\x1f\x7f\\:]"), F.lit(False))
 
 
-def dimension_clarity(*flags: Column) -> Column:
-    """CLEAR when all dimensions are filled, VAGUE when none is, else PARTIAL."""
-    n = sum((F.when(f, 1).otherwise(0) for f in flags[1:]), F.when(flags[0], 1).otherwise(0))
-    return F.when(n == len(flags), "CLEAR").when(n == 0, "VAGUE").otherwise("PARTIAL")
-
-
 def feature_statement(name: Column, coverage: Column) -> Column:
     return F.format_string("%s covers %.1f%% of the feature taxonomy.", name, coverage * 100)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import core
-from factloom.operators import lineage, research, violations
+from factloom.operators import ideas, lineage, research, violations
 from factloom.plans.registry import query
 
 _SECTIONS = "sec AS (SELECT run_id, section, CASE WHEN bool_or(critical) THEN 'FAIL' WHEN bool_or(issue) THEN 'PARTIAL' ELSE 'PASS' END AS result FROM v_issues GROUP BY 1, 2)"
@@ -189,3 +189,36 @@ def _(v):
     e = v("v_edges")
     new = e.where("node % 10 = 0").select((F.col("node") + 1000000).alias("node"), F.col("depends_on").alias("after"), F.col("node").alias("before"))
     return lineage.insert_between(e, new)
+
+
+_IDEA = ["problem", "pain", "trigger", "user", "context", "outcome", "core_value", "better", "mechanism", "direction"]
+_P = [2, 3, 5, 2, 3, 7, 2, 5, 2, 3]
+
+
+def _ideas(v):
+    have = {n: F.when(F.col("p_size") % m == 0, "x").otherwise("") for n, m in zip(_IDEA, _P, strict=True)}
+    unknown = F.when(F.col("p_size") % 11 == 0, F.array(F.lit("problem"))).otherwise(F.array().cast("array<string>"))
+    rows = v("part").select("p_partkey", "p_size", *(c.alias(n) for n, c in have.items()), unknown.alias("unknown_dimensions"), (F.col("p_size") % 13 == 0).alias("critical_assumption"), (F.col("p_size") % 4 != 1).alias("researchable"))
+    return ideas.dimension_clarity(rows).withColumn("gap", ideas.gap_dimension())
+
+
+_CLARITY = """WITH f AS (SELECT p_partkey, p_size, p_size % 2 = 0 AS a, p_size % 3 = 0 AS b, p_size % 5 = 0 AS c, p_size % 7 = 0 AS o, p_size % 11 = 0 AS u, p_size % 13 = 0 AS crit, p_size % 4 <> 1 AS res FROM part),
+l AS (SELECT *, CASE WHEN a THEN 'HIGH' WHEN b OR c THEN 'LOW' ELSE 'UNKNOWN' END AS problem, CASE WHEN a THEN 'HIGH' ELSE 'UNKNOWN' END AS usr, CASE WHEN b THEN 'HIGH' WHEN c OR o THEN 'LOW' ELSE 'UNKNOWN' END AS scenario,
+  CASE WHEN a THEN 'HIGH' WHEN c THEN 'LOW' ELSE 'UNKNOWN' END AS val, CASE WHEN a THEN 'HIGH' WHEN b THEN 'LOW' ELSE 'UNKNOWN' END AS mech FROM f),
+k AS (SELECT *, CASE WHEN a AND b THEN 'CLEAR' WHEN NOT (a OR b OR c OR o) THEN 'VAGUE' ELSE 'PARTIAL' END AS clarity,
+  CASE WHEN crit THEN 'assumptions' WHEN problem <> 'HIGH' THEN 'problem' WHEN usr <> 'HIGH' THEN 'user' WHEN scenario <> 'HIGH' THEN 'scenario' WHEN val <> 'HIGH' THEN 'value' WHEN mech <> 'HIGH' THEN 'mechanism' ELSE 'assumptions' END AS gap FROM l)"""
+
+
+@query("dimension_clarity", f"{_CLARITY} SELECT p_partkey, clarity, gap FROM k")
+def _(v):
+    return _ideas(v).select("p_partkey", "clarity", "gap")
+
+
+@query("idea_completion", f"{_CLARITY} SELECT p_partkey, CASE WHEN (a OR u) AND a AND b AND (crit OR res) THEN 'SUFFICIENT' WHEN p_size >= 8 THEN CASE WHEN crit OR res THEN 'PARTIAL_RESEARCHABLE' ELSE 'INSUFFICIENT_PRODUCT_CONTEXT' END ELSE 'IN_PROGRESS' END AS completion, NOT (crit OR res) AND (a OR b) AS seed FROM k")
+def _(v):
+    return _ideas(v).select("p_partkey", ideas.completion(F.col("p_size")).alias("completion"), ideas.needs_seed().alias("seed"))
+
+
+@query("interview_method", f"{_CLARITY} SELECT p_partkey, CASE WHEN gap = 'assumptions' THEN 'assumption_challenge' WHEN clarity = 'VAGUE' AND p_size = 1 THEN 'controlled_brainstorming' WHEN clarity = 'VAGUE' THEN 'adaptive_product_discovery_interview' WHEN (gap = 'problem' AND problem = 'LOW' AND NOT u) OR (gap = 'scenario' AND scenario = 'LOW') OR (gap = 'value' AND val = 'LOW') OR (gap = 'mechanism' AND mech = 'LOW') THEN 'clarification' ELSE 'adaptive_product_discovery_interview' END AS method FROM k")
+def _(v):
+    return _ideas(v).select("p_partkey", ideas.interview_method(F.col("p_size")).alias("method"))
