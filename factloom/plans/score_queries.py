@@ -161,7 +161,7 @@ def _(v):
     return metrics.normalize_metrics(v("v_traction"), "competitor_id", ["growth", "contributors", "stars", "positive", "negative"])
 
 
-@query("dataset_alignment", "SELECT 'dataset_alignment' AS rule, 'ORDER' AS code, category AS key, '' AS detail FROM v_candidates GROUP BY category HAVING count(*) > 1 OR bool_or(length(id) = 5)")
+@query("dataset_alignment", "SELECT 'dataset_alignment' AS rule, 'ORDER' AS code, category AS key, '' AS detail FROM v_candidates GROUP BY category HAVING count(*) > 1")
 def _(v):
     rows = v("v_candidates").select(F.col("category").alias("group_id"), "id", F.expr("CAST(substr(id, 5) AS INT)").alias("pos"))
     return metrics.dataset_alignment(rows.withColumn("pos", -F.col("pos")), rows)
