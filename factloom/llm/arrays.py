@@ -68,6 +68,7 @@ def blocks(batches, text: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.Re
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:

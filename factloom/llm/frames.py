@@ -38,5 +38,8 @@ def drop(*frames: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Arrow batches of at most `size` from here on, so that long texts don't swell Python workers."""
+    """Arrow batches of at most `size` from here on, so that long texts don't swell Python workers, and
+    large arrays that a worker gives back to the system as soon as they are freed."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    for name, value in (("MALLOC_MMAP_THRESHOLD_", "1048576"), ("MALLOC_TRIM_THRESHOLD_", "1048576"), ("MALLOC_ARENA_MAX", "2")):
+        spark.sparkContext.environment.setdefault(name, value)
