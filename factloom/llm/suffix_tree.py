@@ -1,15 +1,20 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Symbols are the frequent words, the end of a document, and one symbol for every other word. Contexts of
-up to `depth` frequent words are kept where their next-symbol distribution diverges from that of the
-context one word shorter by enough evidence (count times Kullback-Leibler divergence); an other word ends
-a context. Each kept distribution is smoothed with the shorter context's, down to discounted word
-counts whose discount is the probability of the unknown. A token is scored in the longest kept suffix of
-the words before it. All words that training did not see are one token, as in the base score.
+Symbols are all words of the training texts and the end of a document. Contexts of up to `depth` words
+are kept where their next-symbol distribution diverges from that of the context one word shorter by
+enough evidence (count times Kullback-Leibler divergence); every context that does is kept. Each kept
+distribution is smoothed with the shorter context's, down to discounted word counts whose discount is
+the probability of the unknown. A token is scored in the longest kept suffix of the words before it. All
+words that training did not see are one token, as in the base score.
+
+Words, contexts and (context, symbol) pairs are 64-bit hashes, and the tree is a table of them. Only its
+hottest entries are broadcast, the other ones are joined. Before a join, bit sets of fixed size drop
+tokens whose context is surely not in the table; they never drop one that is.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,91 +26,130 @@ from factloom.llm import arrays
 from factloom.llm.frames import cut, drop, small_batches
 
 U64 = np.uint64
-BITS = 12
-END = (1 << BITS) - 1
+END = U64(0x5851F42D4C957F2D)
+BASE = U64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class TreeParams:
-    """symbols: most frequent words that are symbols (below 4095). gain: least evidence in nats of a kept
-    context. nodes and pairs: most contexts, and most (context, symbol) pairs, of one depth; contexts with
-    the most evidence a pair come first, so the tree that tasks receive has a fixed bound. prior: pseudo-count of the shorter context's distribution for each kind of
-    successor. hot: most words whose counts are broadcast; the rest are joined."""
+    """gain: least evidence in nats of a kept context. prior: pseudo-count of the shorter context's
+    distribution for each kind of successor. hot: most words whose counts are broadcast. symbols: most
+    entries (contexts and symbols behind them) of the tree that are broadcast. The rest of both is
+    joined, so neither changes a result. bits: log2 of the size of a bit set."""
 
     depth: int = 3
-    symbols: int = 4000
+    symbols: int = 500_000
     gain: float = 10.0
-    nodes: int = 8_000
-    pairs: int = 200_000
     prior: float = 1.0
     hot: int = 150_000
+    bits: int = 25
 
 
-def contexts_and_symbols(symbols: np.ndarray, offs: np.ndarray, depth: int) -> np.ndarray:
-    """For every token its symbol and the `depth` symbols before it, 12 bits each, the nearest lowest.
-
-    Other words are 0 and end a context: what lies before them is 0 too. Before a document stand ENDs.
-    """
-    since = np.arange(len(symbols)) - np.repeat(offs[:-1], np.diff(offs))
-    key = symbols.astype(np.int64)
-    live = np.ones(len(symbols), bool)
+def contexts(tokens: np.ndarray, offs: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Hashes of the 0 to `depth` tokens before every token. Before a document stand ENDs."""
+    since = np.arange(len(tokens)) - np.repeat(offs[:-1], np.diff(offs))
+    out = [np.zeros(len(tokens), U64)]
     for back in range(1, depth + 1):
-        before = np.full(len(symbols), END, np.int64)
-        before[back:] = symbols[: len(symbols) - back]
+        before = np.full(len(tokens), END, U64)
+        before[back:] = tokens[: len(tokens) - back]
         before[since < back] = END
-        live &= before != 0
-        key |= np.where(live, before, 0) << BITS * back
-    return key
-
-
-@dataclass
-class SuffixTree:
-    """words: sorted hashes of the symbols, ids beside them. By depth: kept contexts, and for each the
-    log10 weight of the shorter context; sorted (context number, symbol) pairs with log10 probabilities."""
-
-    words: np.ndarray
-    ids: np.ndarray
-    root: np.ndarray
-    contexts: list[np.ndarray]
-    backoff: list[np.ndarray]
-    pairs: list[np.ndarray]
-    logp: list[np.ndarray]
-
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        return _ids(hashes, self.words, self.ids)
-
-    def scores(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol after the longest kept suffix of its context."""
-        out = np.zeros(len(grams))
-        symbol = grams & END
-        todo = np.arange(len(grams))
-        for d in range(len(self.contexts) - 1, 0, -1):
-            if not len(self.contexts[d]) or not len(todo):
-                continue
-            ctx = grams[todo] >> BITS & (1 << BITS * d) - 1
-            at = np.minimum(np.searchsorted(self.contexts[d], ctx), len(self.contexts[d]) - 1)
-            known = self.contexts[d][at] == ctx
-            pair = at.astype(np.int64) << BITS | symbol[todo]
-            spot = np.minimum(np.searchsorted(self.pairs[d], pair), len(self.pairs[d]) - 1)
-            hit = known & (self.pairs[d][spot] == pair)
-            out[todo[hit]] += self.logp[d][spot[hit]]
-            miss = known & ~hit
-            out[todo[miss]] += self.backoff[d][at[miss]]
-            todo = todo[~hit]
-        out[todo] += self.root[symbol[todo]]
-        return out
-
-
-def _ids(hashes: np.ndarray, words: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    if not len(words):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    return np.where(words[at] == hashes, ids[at], 0)
-
-
-def _tokens(symbols: np.ndarray, woffs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols with an END behind each document, and their offsets."""
-    return np.insert(symbols, woffs[1:], END), woffs + np.arange(len(woffs))
+        out.append(arrays.mix(out[-1] * BASE + before + U64(back)))
+    return out
+
+
+def pair_keys(ctx: np.ndarray, sym: np.ndarray) -> np.ndarray:
+    return arrays.mix((ctx ^ END) * BASE + sym)
+
+
+def _tokens(h: np.ndarray, woffs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with an END behind each document, and their offsets."""
+    return np.insert(h, woffs[1:], END), woffs + np.arange(len(woffs))
+
+
+def _bit_set(rows: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each value of the low `bits` bits of `ctx`."""
+    low = F.col("ctx").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    words = rows.select(F.shiftright(low, 6).alias("at"), F.expr("shiftleft(1L, CAST(ctx & 63 AS INT))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << bits - 6, U64)
+    out[words["at"].to_numpy()] = words["bit"].to_numpy().view(U64)
+    return out
+
+
+def _maybe(ctx: np.ndarray, found: np.ndarray | None) -> np.ndarray:
+    """Whether each context may be in the bit set; without one all are."""
+    if found is None:
+        return np.ones(len(ctx), bool)
+    low = ctx & U64(64 * len(found) - 1)
+    return (found[low >> U64(6)] >> (low & U64(63)) & U64(1)).astype(bool)
+
+
+def _told(train: DataFrame, d: int, other: str, within: np.ndarray | None) -> DataFrame:
+    """(ctx, other) of every training token with a context of d words; other is `up`, the context one
+    word shorter, of which `within` is the bit set, or `sym`, with a bit set of ctx."""
+    held = train.sparkSession.sparkContext.broadcast(within)
+
+    def run(batches):
+        for _, data, offs in arrays.blocks(batches, "text"):
+            tokens, toffs = _tokens(*arrays.word_hashes(data, offs))
+            ctx = contexts(tokens, toffs, d)
+            some = _maybe(ctx[d - 1] if other == "up" else ctx[d], held.value)
+            yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)) for x in (ctx[d], ctx[d - 1] if other == "up" else tokens)], ["ctx", other])
+
+    return train.select("text").mapInArrow(run, f"ctx long, {other} long")
+
+
+def fit_tree(train: DataFrame, shortest: DataFrame, total: int, params: TreeParams = TreeParams()) -> tuple[DataFrame, list[np.ndarray]]:
+    """Fit on the `text` column of all rows. shortest: (sym, n, lp), count and log10 probability of every
+    symbol without a context.
+
+    Returns the tree as (key, seen, gone, n), and a bit set of the kept contexts of each depth from 1. The
+    log10 probability of a token is that without a context plus, for each kept context before it, either
+    `seen` of its pair or, if training has no such pair, `gone` of the context. `gone` of a pair is the
+    difference of the two, so a text that training may not hold adds `gone` of contexts and pairs.
+
+    A context of n tokens gains at most n log(m / n) on a shorter one of m tokens, so contexts below that
+    are not counted out, nor longer ones of those with m < e gain.
+    """
+    p = params
+    least = p.gain * math.e * (1 - 1e-9)
+    shorter = shortest.select(F.lit(0).cast("long").alias("up"), "sym", F.col("n").alias("n_up"), F.col("lp").alias("lp_up"))
+    sizes, open_set, entries, kept_sets, tables = None, None, [], [], []
+    for d in range(1, p.depth + 1):
+        size = _told(train, d, "up", open_set).groupBy("ctx", "up").agg(F.count("*").alias("total"))
+        size = size.join(sizes, "up") if d > 1 else size.withColumn("m", F.lit(total).cast("long"))
+        may_pass = F.col("total") * F.log(F.col("m") / F.col("total")) >= p.gain - 1e-6
+        size = cut(size.where(may_pass | (F.lit(d < p.depth) & (F.col("total") >= least))))
+        pairs = _told(train, d, "sym", _bit_set(size, p.bits) if d > 1 else None).groupBy("ctx", "sym").agg(F.count("*").alias("n"))
+        pairs = cut(pairs.join(size, "ctx").join(shorter, ["up", "sym"]))
+        gain = pairs.groupBy("ctx").agg(F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.log(F.col("n_up") / F.col("m")))).alias("gain"), F.count("*").alias("kinds"))
+        kept = gain.where(F.col("gain") >= p.gain).select("ctx", (p.prior * F.col("kinds")).alias("extra"))
+        mass = F.col("total") + F.col("extra")
+        lp = F.log10(F.col("n") / mass + F.col("extra") / mass * F.pow(F.lit(10.0), "lp_up"))
+        dist = cut(pairs.join(kept, "ctx", "left").select("ctx", "sym", "n", "total", "extra", "lp_up", F.coalesce(lp, "lp_up").alias("lp")))
+        drop(pairs)
+        tables += [size, dist]
+        told = dist.where(F.col("extra").isNotNull()).withColumn("gone", F.log10(F.col("extra") / mass)).withColumn("seen", F.col("lp") - F.col("lp_up"))
+        nodes = told.groupBy("ctx").agg(F.first("gone").alias("gone"), F.first("total").alias("n"))
+        kept_sets.append(_bit_set(nodes, p.bits))
+        entries.append(nodes.select(F.col("ctx").alias("key"), F.lit(0.0).alias("seen"), "gone", "n"))
+        entries.append(told.select("ctx", "sym", "seen", (F.col("seen") - F.col("gone")).alias("gone"), "n").mapInArrow(_keyed, "key long, seen double, gone double, n long"))
+        if d < p.depth:
+            big = F.col("total") >= least
+            sizes = size.where(big).select(F.col("ctx").alias("up"), F.col("total").alias("m"))
+            open_set = _bit_set(size.where(big), p.bits)
+            shorter = dist.where(big).select(F.col("ctx").alias("up"), "sym", F.col("n").alias("n_up"), F.col("lp").alias("lp_up"))
+    tree = entries[0]
+    for more in entries[1:]:
+        tree = tree.union(more)
+    tree = cut(tree)
+    drop(*tables)
+    return tree, kept_sets
+
+
+def _keyed(batches):
+    for batch in batches:
+        ctx, sym = (batch.column(i).to_numpy().view(U64) for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(pair_keys(ctx, sym).view(np.int64)), *batch.columns[2:]], ["key", "seen", "gone", "n"])
 
 
 def _counted(parts, most: int = 1_000_000):
@@ -131,65 +175,6 @@ def _counted(parts, most: int = 1_000_000):
         yield merged()
 
 
-def _counts(train: DataFrame, words: np.ndarray, ids: np.ndarray, p: TreeParams) -> DataFrame:
-    """(gram, n) over all tokens of the training texts."""
-    held = train.sparkSession.sparkContext.broadcast((words, ids))
-
-    def run(batches):
-        def grams():
-            for _, data, offs in arrays.blocks(batches, "text"):
-                h, woffs = arrays.word_hashes(data, offs)
-                yield contexts_and_symbols(*_tokens(_ids(h.view(np.int64), *held.value), woffs), p.depth)
-
-        for k, c in _counted(grams()):
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["gram", "n"])
-
-    return train.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def fit_tree(train: DataFrame, words: np.ndarray, ids: np.ndarray, root: np.ndarray, params: TreeParams = TreeParams()) -> SuffixTree:
-    """Fit on the `text` column of all rows. `root`: log10 probability of every symbol without a context.
-
-    The driver gets only the kept contexts, at most nodes x depth of them.
-    """
-    p = params
-    full = cut(_counts(train, words, ids, p))
-    tree = SuffixTree(words, ids, root, [np.zeros(1, np.int64)], [np.zeros(1)], [np.zeros(0, np.int64)], [np.zeros(0)])
-    shorter, tables = None, [full]
-    for d in range(p.depth + 1):
-        rows = full.select(F.shiftright("gram", BITS).bitwiseAND(F.lit((1 << BITS * d) - 1).cast("long")).alias("ctx"), F.col("gram").bitwiseAND(F.lit(END).cast("long")).alias("sym"), "n")
-        if d:
-            rows = rows.where(F.shiftright("ctx", BITS * (d - 1)) > 0)
-        dist = rows.groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
-        dist = cut(dist.join(dist.groupBy("ctx").agg(F.sum("n").alias("total")), "ctx"))
-        tables.append(dist)
-        if d:
-            up = shorter.select(F.col("ctx").alias("up"), "sym", F.log(F.col("n") / F.col("total")).alias("q"))
-            told = dist.withColumn("up", F.col("ctx").bitwiseAND(F.lit((1 << BITS * (d - 1)) - 1).cast("long"))).join(up, ["up", "sym"])
-            gain = told.groupBy("ctx").agg(F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.col("q"))).alias("gain"), F.count("*").alias("kinds"))
-            best = gain.where(F.col("gain") >= p.gain).orderBy((F.col("gain") / F.col("kinds")).desc(), "ctx").limit(p.nodes).select("ctx", "kinds").toPandas()
-            chosen = best.ctx[best.kinds.cumsum() <= p.pairs]
-            keep = full.sparkSession.createDataFrame([(int(c),) for c in chosen], "ctx long")
-            _grow(tree, dist.join(F.broadcast(keep), "ctx", "left_semi").select("ctx", "sym", "n").toPandas(), d, p)
-        shorter = dist
-    drop(*tables)
-    return tree
-
-
-def _grow(tree: SuffixTree, rows, d: int, p: TreeParams) -> None:
-    """Add the kept contexts of depth d; those of smaller depths are there."""
-    rows = rows.sort_values(["ctx", "sym"])
-    ctx, sym, n = rows.ctx.to_numpy(np.int64), rows.sym.to_numpy(np.int64), rows.n.to_numpy(np.float64)
-    kept, which = np.unique(ctx, return_inverse=True)
-    total, kinds = np.bincount(which, n, len(kept)), np.bincount(which, minlength=len(kept))
-    weight = p.prior * kinds / (total + p.prior * kinds)
-    below = 10 ** tree.scores(ctx << BITS & (1 << BITS * d) - 1 | sym) if len(ctx) else np.zeros(0)
-    tree.contexts.append(kept)
-    tree.backoff.append(np.log10(weight))
-    tree.pairs.append(which.astype(np.int64) << BITS | sym)
-    tree.logp.append(np.log10(n / (total + p.prior * kinds)[which] + weight[which] * below))
-
-
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, c): 64-bit hash and count of every word of the training texts."""
 
@@ -200,6 +185,23 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _hottest(rows: DataFrame, key: str, n: str, most: int):
+    """Least count of the at most `most` rows with the highest counts, all of each count, and those rows
+    by ascending key."""
+    shape = rows.groupBy(F.least(n, F.lit(most)).alias("n")).count().orderBy(F.col("n").desc()).toArrow()
+    fits = np.flatnonzero(np.cumsum(shape["count"].to_numpy()) <= most)
+    least = int(shape["n"][int(fits[-1])].as_py()) if len(fits) else 1 << 62
+    return least, rows.where(F.col(n) >= least).toArrow().sort_by(key)
+
+
+def _find(keys: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sorted array, and whether each key stands there."""
+    if not len(among):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return at, among[at] == keys
+
+
 def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", params: TreeParams = TreeParams()) -> DataFrame:
     """Score every row under a tree and a unigram base, both learned from the rows where `learn` holds.
 
@@ -215,74 +217,87 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = train.count()
     total, kinds = size.n + ends, size.v + (ends > 0)
-    # how many words have each count: decides which ones are frequent, and the discount
-    shape = counts.groupBy("c").count().orderBy(F.col("c").desc())
-    top = shape.limit(100_000).toPandas()
+    shape = counts.groupBy("c").count()
     once = {r.c: r["count"] for r in shape.where("c <= 2").collect()}
     discount = once.get(1, 0) / max(1, once.get(1, 0) + 2 * once.get(2, 0))
     discount = min(0.95, max(0.05, discount))
 
-    def frequent(most: int):
-        fits = top[top["count"].cumsum() <= most]
-        least = int(fits.c.iloc[-1]) if len(fits) else 1 << 62
-        rows = counts.where(F.col("c") >= least).toPandas().sort_values("word")
-        return least, rows.word.to_numpy(np.int64), rows.c.to_numpy(np.float64)
-
-    _, words, c_words = frequent(p.symbols)
-    least, hot, c_hot = frequent(p.hot)
     some = max(1, total)
-    root = np.full(1 << BITS, -np.inf)
-    root[1 : len(words) + 1] = np.log10((c_words - discount) / some)
-    root[END] = np.log10(max(ends - discount, 0.5) / some)
     unknown = float(np.log10(max(discount * kinds, 0.5) / some))
-    rest = float(np.log10(max(1 - (10 ** root[np.isfinite(root)]).sum(), 0.5 / some)))
-    root[0] = rest
-    tree = fit_tree(train, words, np.arange(1, len(words) + 1), root, p)
-    held = base.sparkSession.sparkContext.broadcast((tree, hot, c_hot))
+    end_root = float(np.log10(max(ends - discount, 0.5) / some))
+    shortest = counts.select(F.col("word").alias("sym"), F.col("c").alias("n"), F.log10((F.col("c") - discount) / some).alias("lp"))
+    shortest = shortest.union(base.sparkSession.createDataFrame([(int(END), ends, end_root)], "sym long, n long, lp double"))
+    tree, kept = fit_tree(train, shortest, total, p) if ends else (None, [])
+    least, hot = _hottest(counts, "word", "c", p.hot)
+    hot, c_hot = hot["word"].to_numpy(), hot["c"].to_numpy().astype(np.float64)
+    # the tree's hottest entries and, for the cold ones, what is joined
+    if ends:
+        least_n, top = _hottest(tree, "key", "n", p.symbols)
+        top = tuple(top[c].to_numpy() for c in ("key", "seen", "gone"))
+    else:
+        top = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    held = base.sparkSession.sparkContext.broadcast((kept, top, hot, c_hot))
     divide = float(np.log10(total + 0.5 * (kinds + 1)))
     end_score = float(np.log10(ends + 0.5) - divide)
 
     def run(batches):
-        model, hot, c = held.value
+        kept, (keys, seen, gone), hot, c = held.value
         for part, data, offs in arrays.blocks(batches, "text"):
             h, woffs = arrays.word_hashes(data, offs)
+            tokens, toffs = _tokens(h, woffs)
             h = h.view(np.int64)
-            symbols = model.symbols(h)
-            tokens, toffs = _tokens(symbols, woffs)
-            logs = model.scores(contexts_and_symbols(tokens, toffs, p.depth))
-            at = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1))
-            hit = hot[at] == h if len(hot) else np.zeros(len(h), bool)
+            n = len(offs) - 1
+            learned = part.column(part.schema.get_field_index("learned")).to_numpy(zero_copy_only=False).astype(bool)
+            owner = np.repeat(np.arange(n), np.diff(toffs))
+            score, cold, cold_doc = np.full(n, end_root), [], []
+            ctx = contexts(tokens, toffs, len(kept))
+            for d, found in enumerate(kept, 1):
+                some_at = np.flatnonzero(_maybe(ctx[d], found))
+                strange = some_at[~learned[owner[some_at]]]
+                for key, doc in ((pair_keys(ctx[d][some_at], tokens[some_at]), owner[some_at]), (ctx[d][strange], owner[strange])):
+                    key = key.view(np.int64)
+                    spot, hit = _find(key, keys)
+                    score += np.bincount(doc[hit], np.where(learned[doc[hit]], seen[spot[hit]], gone[spot[hit]]) if len(keys) else None, n)
+                    cold.append(key[~hit])
+                    cold_doc.append(doc[~hit])
+            cold = np.concatenate(cold) if cold else np.zeros(0, np.int64)
+            cold_doc = np.concatenate(cold_doc) if cold_doc else np.zeros(0, np.int64)
+            cold = cold[np.argsort(cold_doc, kind="stable")]
+            coffs = np.concatenate([[0], np.cumsum(np.bincount(cold_doc, minlength=n))])
+            at, hit = _find(h, hot)
             gain, inner = np.zeros(len(h)), np.zeros(len(h))
             gain[hit] = np.log10(c[at[hit]] + 0.5) - divide
-            inner[hit] = np.log10((c[at[hit]] - discount) / some) - rest
-            inner[symbols > 0] = 0
-            doc = np.repeat(np.arange(len(offs) - 1), np.diff(woffs))
+            inner[hit] = np.log10((c[at[hit]] - discount) / some)
+            doc = np.repeat(np.arange(n), np.diff(woffs))
             rare, roffs = h[~hit], np.concatenate([[0], np.cumsum(~hit)])[woffs]
-            n = len(offs) - 1
-            score = np.bincount(np.repeat(np.arange(n), np.diff(toffs)), logs, n) + np.bincount(doc, inner, n)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(part.schema.get_field_index("doc_id")),
                     part.column(part.schema.get_field_index("learned")),
                     pa.array(np.diff(woffs) + 1),
-                    pa.array(score),
+                    pa.array(score + np.bincount(doc, inner, n)),
                     pa.array(np.bincount(doc, gain, n)),
                     pa.array(np.bincount(doc, hit, n).astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(roffs.astype(np.int32)), pa.array(rare)),
+                    pa.ListArray.from_arrays(pa.array(coffs.astype(np.int32)), pa.array(cold)),
                 ],
-                ["doc_id", "learned", "n_tokens", "hot_score", "hot_base", "hot_known", "rare"],
+                ["doc_id", "learned", "n_tokens", "hot_score", "hot_base", "hot_known", "rare", "cold"],
             )
 
-    scored = base.mapInArrow(run, "doc_id long, learned boolean, n_tokens long, hot_score double, hot_base double, hot_known long, rare array<long>")
+    scored = base.mapInArrow(run, "doc_id long, learned boolean, n_tokens long, hot_score double, hot_base double, hot_known long, rare array<long>, cold array<long>")
     scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
     told = rare.join(counts.where(F.col("c") < least), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     sums = told.groupBy("row").agg(
         F.sum(F.col("k") * (F.log10(F.col("c") + 0.5) - divide)).alias("rare_base"),
-        F.sum(F.col("k") * (F.when(F.col("c") > 0, F.log10((F.col("c") - discount) / some)).otherwise(unknown) - rest)).alias("rare_score"),
+        F.sum(F.col("k") * (F.when(F.col("c") > 0, F.log10((F.col("c") - discount) / some)).otherwise(unknown))).alias("rare_score"),
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known"),
     )
-    out = scored.drop("rare").join(sums, "row", "left")
+    out = scored.drop("rare", "cold").join(sums, "row", "left").withColumn("cold_score", F.lit(0.0))
+    if ends:
+        cold = scored.select("row", "learned", F.explode("cold").alias("key")).join(tree.where(F.col("n") < least_n), "key")
+        cold = cold.groupBy("row").agg(F.sum(F.when(F.col("learned"), F.col("seen")).otherwise(F.col("gone"))).alias("cold_score"))
+        out = out.drop("cold_score").join(cold, "row", "left")
     return out.select(
         "doc_id",
         "learned",
@@ -290,7 +305,7 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
         (F.col("hot_known") + F.coalesce("rare_known", F.lit(0)) + int(ends > 0)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("hot_base") + F.coalesce("rare_base", F.lit(0.0)) + end_score).alias("base_score"),
-        (F.col("hot_score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
+        (F.col("hot_score") + F.coalesce("rare_score", F.lit(0.0)) + F.coalesce("cold_score", F.lit(0.0))).alias("score"),
     )
 
 

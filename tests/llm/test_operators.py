@@ -320,3 +320,53 @@ def test_empty_tables(spark, empty):
         passages.repeated_passages(empty),
     ]
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def suffix_scores(texts, learned, depth=3, gain=10.0):
+    """The suffix tree's scores of all texts with every passing context, by plain counting."""
+    own = {i: [*words(t), None] for i, t in texts.items()}
+    before = lambda w, at, d: tuple(w[at - b] if at >= b else None for b in range(1, d + 1))
+    dist = [{} for _ in range(depth + 1)]
+    for i in learned:
+        for at, x in enumerate(own[i]):
+            for d in range(depth + 1):
+                dist[d].setdefault(before(own[i], at, d), Counter())[x] += 1
+    c = dist[0][()]
+    once = Counter(n for w, n in c.items() if w is not None)
+    discount = min(0.95, max(0.05, once[1] / max(1, once[1] + 2 * once[2])))
+    n, v = sum(c.values()), len(c)
+    kept = {}
+    for d in range(1, depth + 1):
+        for ctx, own_n in dist[d].items():
+            up, total = dist[d - 1][ctx[:-1]], sum(own_n.values())
+            m = sum(up.values())
+            if sum(k * (np.log(k / total) - np.log(up[x] / m)) for x, k in own_n.items()) >= gain:
+                kept[ctx] = (own_n, total)
+
+    def probability(ctx, x):
+        if not ctx:
+            return (max(c[x] - discount, 0.5) if x is None else c[x] - discount) / n if c[x] else max(discount * v, 0.5) / n
+        below = probability(ctx[:-1], x)
+        if ctx not in kept:
+            return below
+        own_n, total = kept[ctx]
+        return (own_n[x] + len(own_n) * below) / (total + len(own_n))
+
+    return {i: sum(np.log10(probability(before(w, at, depth), x)) for at, x in enumerate(w)) for i, w in own.items()}, kept
+
+
+def many_contexts():
+    """Texts of words that are always followed by one other word, or by one of two after a third word."""
+    rng = random.Random(11)
+    return {i: " ".join(f"{rng.choice('xyz')} a{k} b{k} c{k}{rng.choice('pq')}" for k in (rng.randint(0, 2500) for _ in range(150))) for i in range(100)}
+
+
+@pytest.mark.parametrize("broadcast", [40, 500_000])
+def test_scores_keep_every_passing_context(spark, broadcast):
+    texts = many_contexts()
+    learned = [i for i in texts if i % 5]
+    want, kept = suffix_scores(texts, learned)
+    assert sum(len(ctx) == 1 for ctx in kept) > 4000 and any(len(ctx) == 2 for ctx in kept)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = suffix_tree.score_documents(df, F.col("doc_id") % 5 != 0, params=suffix_tree.TreeParams(symbols=broadcast, hot=broadcast)).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want)
