@@ -370,3 +370,13 @@ def test_scores_keep_every_passing_context(spark, broadcast):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     got = suffix_tree.score_documents(df, F.col("doc_id") % 5 != 0, params=suffix_tree.TreeParams(symbols=broadcast, hot=broadcast)).collect()
     assert {r.doc_id: r.score for r in got} == pytest.approx(want)
+
+
+def test_scores_of_words_beyond_the_frequent(spark):
+    filler = [f"w{k} w{k} w{k}" for k in range(4200)]
+    texts = [" ".join(filler[i::20]) for i in range(20)] + ["w1 zig zag w2", "w5 zig zag w9"]
+    df = spark.createDataFrame([*enumerate(texts), (100, "zig zag"), (101, "zag zig")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(df, F.col("doc_id") < 100).collect()}
+    want, kept = suffix_scores({**dict(enumerate(texts)), 100: "zig zag", 101: "zag zig"}, range(len(texts)))
+    assert (b"zig",) in kept and got[100] - got[101] > 2
+    assert got == pytest.approx(want)
