@@ -2,14 +2,16 @@
 
 Two kinds of unit are compared across documents:
 
-- paragraphs, the lines of at least `words` words, by MinHash banding on 5-word shingles; colliding ones
-  are confirmed by their exact Jaccard likeness and closed into components;
+- paragraphs, by MinHash banding on 5-word shingles: every line of at least one shingle, and the lines
+  between two blank ones joined into one, so a text wrapped into short lines is compared too. Colliding
+  ones are confirmed by their exact Jaccard likeness and closed into components;
 - passages, runs of words that stand anywhere, also inside a longer line. Windows of `words` words start
   at anchors, the least shingle hash of every `stride` shingles, so any run of words + stride - 1 words
   that two documents share holds a window that both select. Equal windows are joined, overlapping ones
   of a document are merged, and runs that share a window are closed into components.
 
-In every component the first occurrence is kept and the others are marked for removal.
+In every component the first occurrence is kept, with what overlaps it, and the others are marked for
+removal. A line and the joined lines around it can both be marked.
 """
 
 from __future__ import annotations
@@ -29,34 +31,50 @@ from factloom.llm.near import NearParams, near_groups
 
 @dataclass(frozen=True)
 class PassageParams:
-    """With 32 words and a stride of 20, a shared run of 51 words is always found. The bands miss a pair
-    of paragraphs at 0.8 with probability (1 - 0.8**5)**20 < 4e-4."""
+    """words: length of a window; paragraphs have near.k words or more. With 32 words and a stride of 20, a
+    shared run of 51 words is always found. The bands miss a pair of paragraphs at 0.8 with probability
+    (1 - 0.8**5)**20 < 4e-4."""
 
     words: int = 32
     stride: int = 20
     near: NearParams = NearParams(k=5, bands=20, rows=5, values=128)
 
 
+def spans(counts: np.ndarray, owner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of every paragraph, by the words and the document of each line: the lines
+    themselves, and two or more that no blank line parts, if they have `least` words."""
+    solid = counts > 0
+    follows = np.zeros(len(counts), bool)
+    follows[1:] = solid[1:] & solid[:-1] & (owner[1:] == owner[:-1])
+    first = np.flatnonzero(solid & ~follows)
+    last = np.flatnonzero(solid & ~np.append(follows[1:], False))
+    joined = last > first
+    own = np.arange(len(counts))
+    first, last = np.concatenate([own, first[joined]]), np.concatenate([own, last[joined]])
+    total = np.concatenate([[0], np.cumsum(counts)])
+    enough = total[last + 1] - total[first] >= least
+    return first[enough], last[enough]
+
+
 def _paragraphs(docs: DataFrame, p: PassageParams) -> DataFrame:
-    """(doc_id, start, end, id, text) of the long lines; places are byte offsets, id a hash of the words."""
+    """(doc_id, start, end, id, text) of the paragraphs; places are byte offsets, id a hash of the words."""
 
     def run(batches):
         for part, data, offs in arrays.blocks(batches, "text"):
             ids = part.column(part.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
             bounds = np.union1d(np.flatnonzero(data == 0x0A) + 1, offs)
-            starts, ends = bounds[:-1], bounds[1:]
-            ws, _, _ = arrays.words(data, bounds)
-            long = np.flatnonzero(np.diff(np.searchsorted(ws, bounds)) >= p.words)
-            if not len(long):
+            h, woffs = arrays.word_hashes(data, bounds)
+            owner = np.searchsorted(offs, bounds[:-1], "right") - 1
+            first, last = spans(np.diff(woffs), owner, p.near.k)
+            if not len(first):
                 continue
             raw = data.tobytes()
-            owner = np.searchsorted(offs, starts[long], "right") - 1
-            texts = [raw[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
-            h, woffs = arrays.word_hashes(data, bounds)
+            starts, ends, owner = bounds[first], bounds[last + 1], owner[first]
+            texts = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             whole = arrays.prefix_hash(h.view(np.uint8))
-            keys = arrays.range_hash(whole, woffs[long] * 8, woffs[long + 1] * 8)
+            keys = arrays.range_hash(whole, woffs[first] * 8, woffs[last + 1] * 8)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[owner], pa.int64()), pa.array(starts[long] - offs[owner]), pa.array(ends[long] - offs[owner]), pa.array(keys.view(np.int64)), pa.array(texts, pa.binary()).cast(pa.string())],
+                [pa.array(ids[owner], pa.int64()), pa.array(starts - offs[owner]), pa.array(ends - offs[owner]), pa.array(keys.view(np.int64)), pa.array(texts, pa.binary()).cast(pa.string())],
                 ["doc_id", "start", "end", "id", "text"],
             )
 
@@ -107,18 +125,20 @@ def _windows(docs: DataFrame, p: PassageParams) -> DataFrame:
 
 
 def _marked(rows: DataFrame, kind: str) -> DataFrame:
-    """Rows (doc_id, start, end, cluster) of clusters that reach over documents; the first one is kept."""
-    first = rows.groupBy("cluster").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("doc_id").alias("last"))
+    """Rows (doc_id, start, end, cluster) of clusters that reach over documents; the first one is kept, the longest of
+    those that start there, and so is what overlaps it."""
+    first = rows.groupBy("cluster").agg(F.min(F.struct("doc_id", "start", (-F.col("end")).alias("back"))).alias("f"), F.max("doc_id").alias("last"))
     first = first.where(F.col("f.doc_id") < F.col("last"))
     told = rows.join(first, "cluster")
-    return told.select("doc_id", F.lit(kind).alias("kind"), "start", "end", F.col("f.doc_id").alias("first_doc_id"), "cluster", (F.struct("doc_id", "start") == F.col("f")).alias("kept"))
+    kept = (F.col("doc_id") == F.col("f.doc_id")) & (F.col("start") < -F.col("f.back")) & (F.col("end") > F.col("f.start"))
+    return told.select("doc_id", F.lit(kind).alias("kind"), "start", "end", F.col("f.doc_id").alias("first_doc_id"), "cluster", kept.alias("kept"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: PassageParams = PassageParams()) -> DataFrame:
     """(doc_id, kind, start, end, first_doc_id, cluster, kept) of every repeated paragraph and passage.
 
     Places are byte offsets. Words are compared with A-Z lower-cased; white space does not matter. Null,
-    empty and short texts have no unit. What repeats only inside one document, or under one id, is left
+    empty and texts of under 5 words have no unit. What repeats only inside one document, or under one id, is left
     alone; rows without an id are left out. Repeated rows count as one document. Other columns are ignored.
     """
     p = params

@@ -380,3 +380,20 @@ def test_scores_of_words_beyond_the_frequent(spark):
     want, kept = suffix_scores({**dict(enumerate(texts)), 100: "zig zag", 101: "zag zig"}, range(len(texts)))
     assert (b"zig",) in kept and got[100] - got[101] > 2
     assert got == pytest.approx(want)
+
+
+def test_short_and_wrapped_paragraphs(spark):
+    rng = random.Random(3)
+    line = lambda n: " ".join("".join(rng.choice(SYLLABLES["aa"]) for _ in range(3)) for _ in range(n))
+    short, long = line(12), line(40).split()
+    edited = [*long[:-1], "other"]
+    wrapped = "\n".join(" ".join(edited[i : i + 4]) for i in range(0, 40, 4))
+    texts = {1: f"{line(9)}\n{short}\n{line(8)}", 2: f"{line(7)}\n{short.upper()}", 3: f"{line(9)}\n\n{' '.join(long)}\n", 4: f"{line(11)}\n\n{wrapped}\n\n{line(6)}"}
+    got = passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    found = {(r.doc_id, texts[r.doc_id][r.start : r.end].strip(), r.first_doc_id, r.kept) for r in got if r.kind == "paragraph"}
+    assert {(1, short, 1, True), (2, short.upper(), 1, False), (3, " ".join(long), 3, True), (4, wrapped, 3, False)} <= found
+    # what overlaps the kept occurrence is not marked for removal
+    both = {7: f"tiny head\n{line(40)}", 8: ""}
+    both[8] = both[7].split("\n")[1]
+    got = passages.repeated_passages(spark.createDataFrame(list(both.items()), "doc_id long, text string")).collect()
+    assert {r.kept for r in got if r.doc_id == 7 and r.kind == "paragraph"} == {True} and {r.kept for r in got if r.doc_id == 8} == {False}
