@@ -2,7 +2,8 @@
 
 A test item of m bytes may differ in k = floor(rate * m) edits. It is split into k + 1 pieces, of which
 one at least must stand unchanged in any leaked copy. One Aho-Corasick pass finds all exact piece hits
-of a document; each hit is then verified around its place.
+of a document; each hit is then verified around its place. Short items are searched exactly, as whole
+words.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from factloom.llm.frames import small_batches
 
 @dataclass(frozen=True)
 class LeakParams:
-    """rate: edits allowed per byte of an item. Items under `least` bytes are too short to be evidence
-    and are left out. block: bytes of items searched in one pass; the benchmark is broadcast in blocks
+    """rate: edits allowed per byte of an item. Items under `least` folded bytes must stand unchanged, but
+    for white space at their ends, and no word may go on at either end. block: bytes of items searched in one pass; the benchmark is broadcast in blocks
     of this size, so what a task holds does not grow with it."""
 
     rate: float = 0.05
@@ -42,6 +43,15 @@ def fold(data: np.ndarray) -> np.ndarray:
     return out
 
 
+_WORD = np.zeros(256, bool)
+_WORD[[0x5F, *range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def whole_words(text: bytes, start: int, end: int) -> bool:
+    """Whether no word of a folded text crosses the start or the end of a range."""
+    return not (start > 0 and _WORD[text[start - 1]] and _WORD[text[start]]) and not (end < len(text) and _WORD[text[end - 1]] and _WORD[text[end]])
+
+
 def item_pieces(item: bytes, k: int) -> list[tuple[int, bytes]]:
     """k + 1 nearly equal pieces with their places."""
     ends = [len(item) * i // (k + 1) for i in range(k + 2)]
@@ -90,7 +100,7 @@ def _automaton(items: list[tuple[int, bytes]], p: LeakParams):
 
     pieces: dict[bytes, list[tuple[int, int]]] = {}
     for n, (_, item) in enumerate(items):
-        for at, piece in item_pieces(item, int(p.rate * len(item))):
+        for at, piece in item_pieces(item, int(p.rate * len(item)) if len(item) >= p.least else 0):
             pieces.setdefault(piece, []).append((n, at))
     found = ahocorasick.Automaton()
     for piece, where in pieces.items():
@@ -108,6 +118,9 @@ def _search(text: bytes, automaton, items, p: LeakParams) -> list[tuple[int, int
     out = []
     for n, places in hits.items():
         item = items[n][1]
+        if len(item) < p.least:
+            out += [(n, x, x + len(item), 0) for x in places if whole_words(text, x, x + len(item))]
+            continue
         k = int(p.rate * len(item))
         places.sort()
         lo = hi = places[0]
@@ -124,15 +137,17 @@ def _search(text: bytes, automaton, items, p: LeakParams) -> list[tuple[int, int
     return out
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, p: LeakParams) -> list[list[tuple[int, bytes]]]:
-    """The folded items in blocks of about p.block bytes; the number of blocks is fixed by their total size."""
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, p: LeakParams, named: bool = True) -> list[list[tuple[int | None, bytes]]]:
+    """The folded items in blocks of about p.block bytes; the number of blocks is fixed by their total
+    size. Blank items are left out and, if `named`, those without an id."""
     small_batches(benchmark.sparkSession)
-    items = benchmark.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
+    items = benchmark.where(F.col(item_text).isNotNull() & (F.col(item_id).isNotNull() | F.lit(not named))).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // p.block))
     for b in range(n):
         block = [(r.i, fold(np.frombuffer(r.t.encode(), np.uint8)).tobytes()) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).distinct().toLocalIterator()]
-        yield [x for x in sorted(block) if len(x[1]) >= p.least]
+        block = [(i, t if len(t) >= p.least else t.strip()) for i, t in block if t.strip()]
+        yield sorted(block, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def _texts(batch, text: str):
@@ -145,7 +160,8 @@ def _texts(batch, text: str):
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: LeakParams = LeakParams(), item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, end, distance) of every leak; places are byte offsets.
 
-    Null or empty texts and items leak nothing. Equal items are reported one by one, repeated rows each
+    Null or blank texts and items leak nothing, and items without an id are not reported. Items of under
+    24 folded bytes leak where they stand unchanged as whole words. Equal items are reported one by one, repeated rows each
     time; empty tables give no row. Of overlapping candidates of one item the closest is reported.
     """
     p = params
@@ -170,9 +186,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", params: LeakParams = LeakParams(), item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents that hold no leak, with all their columns; one pass a benchmark block, no shuffle."""
+    """The documents that hold no leak, with all their columns; one pass a benchmark block, no shuffle.
+
+    Short items count as in leaks(), and so do items without an id.
+    """
     p = params
-    for items in _blocks(benchmark, item_id, item_text, p):
+    for items in _blocks(benchmark, item_id, item_text, p, named=False):
         if not items:
             continue
         held = docs.sparkSession.sparkContext.broadcast(items)

@@ -397,3 +397,12 @@ def test_short_and_wrapped_paragraphs(spark):
     both[8] = both[7].split("\n")[1]
     got = passages.repeated_passages(spark.createDataFrame(list(both.items()), "doc_id long, text string")).collect()
     assert {r.kept for r in got if r.doc_id == 7 and r.kind == "paragraph"} == {True} and {r.kept for r in got if r.doc_id == 8} == {False}
+
+
+def test_short_and_unnamed_leaks(spark):
+    texts = {1: "so: WHAT is\n17 * 23? Well", 2: "what is 17 * 234", 3: "the concatenation", 4: "a cat, sat", 5: "scat cat", 6: None, 7: "What is 17 * 2", 8: "an item without any id stands here"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "What is 17 * 23"), (2, " cat "), (3, " \n"), (None, "item without any id stands here")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start, r.end, r.distance) for r in decontamination.leaks(rows, bench).collect()}
+    assert got == {(1, 1, 4, 19, 0), (4, 2, 2, 5, 0), (5, 2, 5, 8, 0)}
+    assert sorted(r.doc_id for r in decontamination.without_leaks(rows, bench).collect()) == [2, 3, 6, 7]
