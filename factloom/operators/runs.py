@@ -207,7 +207,7 @@ def fingerprint_reuse(planned: DataFrame, done: DataFrame) -> DataFrame:
 
 def error_routing(failures: DataFrame, policy: DataFrame, max_retries: int, max_cycles: int) -> DataFrame:
     """Action for each failure (code, attempts, cycles): retry, block, open a gap, or pause."""
-    told = failures.join(F.broadcast(policy.limit(1000)), "code", "left")
+    told = failures.join(policy, "code", "left")
     retry = F.when(F.col("attempts") - 1 < max_retries, "RETRY_NODE").otherwise("BLOCK_NODE")
     gap = F.when(F.col("cycles") < max_cycles, "OPEN_RESEARCH_GAP").otherwise("PAUSE_RUN")
     return told.withColumn("routed", F.when(F.col("action") == "RETRY_NODE", retry).when(F.col("action") == "OPEN_RESEARCH_GAP", gap).otherwise(F.coalesce("action", F.lit("UNKNOWN_CODE"))))
@@ -255,5 +255,5 @@ def interaction_consistency(requests: DataFrame, checkpoints: DataFrame) -> Data
 
 def import_gate(refs: DataFrame, rules: DataFrame) -> DataFrame:
     """Decide old references by rule (source_version, kind, safe); no rule and unsafe rules reject."""
-    told = refs.join(F.broadcast(rules.limit(1000)), ["source_version", "kind"], "left")
+    told = refs.join(rules, ["source_version", "kind"], "left")
     return told.withColumn("decision", F.when(F.col("safe").isNull(), "REJECT_NO_RULE").when(~F.col("safe"), "REJECT_UNSAFE").otherwise("ACCEPT")).drop("safe")

@@ -50,7 +50,7 @@ def effective_weights(judgments: DataFrame) -> DataFrame:
 
 def missing_dimensions(judgments: DataFrame, dimensions: DataFrame) -> DataFrame:
     """Per candidate the rubric dimensions without a score, in rubric order, as an array."""
-    grid = judgments.select("competitor_id").distinct().join(F.broadcast(dimensions.select("dimension_id", "dimension_order").limit(1000)))
+    grid = judgments.select("competitor_id").distinct().crossJoin(dimensions.select("dimension_id", "dimension_order"))
     gaps = grid.join(judgments.where(_scored()).select("competitor_id", "dimension_id"), ["competitor_id", "dimension_id"], "left_anti")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("dimension_order", "dimension_id"))), lambda x: x["dimension_id"])
     return gaps.groupBy("competitor_id").agg(listed.alias("missing"))
@@ -128,7 +128,7 @@ def verification_binding(judgments: DataFrame, verifications: DataFrame) -> Data
 def claim_category_scope(judgment_claims: DataFrame, claims: DataFrame, scope: DataFrame) -> DataFrame:
     """Claims (dimension_id, claim_id) whose category the dimension does not allow; scope: dimension_id, category."""
     told = judgment_claims.join(claims.select(F.col("id").alias("claim_id"), "category"), "claim_id")
-    bad = told.join(F.broadcast(scope.limit(1000)), ["dimension_id", "category"], "left_anti")
+    bad = told.join(scope, ["dimension_id", "category"], "left_anti")
     return report(bad, "claim_scope", "CATEGORY", F.concat_ws("/", "dimension_id", "claim_id"), F.col("category"))
 
 

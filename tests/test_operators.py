@@ -125,3 +125,18 @@ def test_stateful_streams_equal_batch(spark, tmp_path):
     nodes = jobs.stream_node_state(spark.readStream.schema("run_id long, log_offset long, status string").parquet(str(tmp_path / "in2")))
     nodes.writeStream.outputMode("append").format("memory").queryName("nodes").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.log_offset, r.legal) for r in spark.table("nodes").collect()) == [(1, True), (2, True), (3, False)]
+
+
+def test_all_rows_of_a_callers_rules_count(spark):
+    n = 1500
+    codes = spark.range(n).select(F.concat(F.lit("c"), "id").alias("code"))
+    told = runs.error_routing(codes.select("code", F.lit(1).alias("attempts"), F.lit(0).alias("cycles")), codes.withColumn("action", F.lit("RETRY_NODE")), 3, 3)
+    assert told.where("routed = 'RETRY_NODE'").count() == n
+    refs = codes.select(F.lit("1").alias("source_version"), F.col("code").alias("kind"))
+    assert runs.import_gate(refs, refs.withColumn("safe", F.lit(True))).where("decision = 'ACCEPT'").count() == n
+    dims = spark.range(n).select(F.concat(F.lit("d"), "id").alias("dimension_id"), F.col("id").cast("int").alias("dimension_order"))
+    judged = spark.createDataFrame([("x", "d0", 0, "SCORED", 3)], "competitor_id string, dimension_id string, dimension_order int, judgment_status string, score int")
+    assert len(scoring.missing_dimensions(judged, dims).first().missing) == n - 1
+    links = codes.select(F.lit("d").alias("dimension_id"), F.col("code").alias("claim_id"))
+    claims = codes.select(F.col("code").alias("id"), F.col("code").alias("category"))
+    assert scoring.claim_category_scope(links, claims, codes.select(F.lit("d").alias("dimension_id"), F.col("code").alias("category"))).count() == 0
