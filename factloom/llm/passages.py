@@ -145,11 +145,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     lines = _paragraphs(base, p)
-    groups = near_groups(lines, "id", "text", p.near).select("id", F.col("component").alias("cluster")).distinct()
+    # one row for all copies: equal ids have equal words
+    unique = cut(lines.select("id", "text").dropDuplicates(["id"]))
+    groups = near_groups(unique, "id", "text", p.near).select("id", F.col("component").alias("cluster"))
     near = cut(_marked(lines.select("doc_id", "start", "end", "id").distinct().join(groups, "id"), "paragraph"))
 
-    same = Window.partitionBy("unit")
-    found = _windows(base, p).withColumn("lo", F.min("doc_id").over(same)).withColumn("hi", F.max("doc_id").over(same)).where("lo < hi").drop("lo", "hi").distinct()
+    every = cut(_windows(base, p))
+    shared = every.groupBy("unit").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("unit")
+    found = every.join(shared, "unit").distinct()
     along = Window.partitionBy("doc_id").orderBy("start")
     gap = F.col("start") > F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
     run = found.withColumn("new", F.when(F.coalesce(gap, F.lit(True)), F.col("start"))).withColumn("at", F.last("new", ignorenulls=True).over(along))
@@ -158,7 +161,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     label = components(units.join(least, "unit").select("run", "to").distinct(), "run", "to")
     runs = units.groupBy("run", "doc_id", F.col("at").alias("start")).agg(F.max("end").alias("end"))
     exact = cut(_marked(runs.join(label.select(F.col("node").alias("run"), F.col("component").alias("cluster")), "run"), "passage"))
-    drop(units)
+    drop(units, unique, every)
     return near.union(exact)
 
 
