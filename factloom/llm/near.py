@@ -1,23 +1,24 @@
 """Near-duplicate groups by min-max hashing.
 
 Each permutation of the shingle hashes is evaluated once and yields two signature values, its minimum
-and its maximum over a document. Bands of those values propose pairs; every proposed pair whose
-signature does not rule it out is confirmed on the full shingle sets, and confirmed links are closed
-into components.
+and its maximum over a unit. Bands of those values propose pairs; every proposed pair whose signature
+does not rule it out is confirmed on the full shingle sets, and confirmed links are closed into
+components. A unit is a whole text, or what another module cuts texts into.
 
 How large groups stay cheap without losing a link:
 
-1. Documents with equal shingle sets collapse into one class before banding.
-2. Each bucket tests its members against one hub, the member that collides most elsewhere; a group of
-   N copies costs N tests, not N*N.
-3. Only members that the hubs did not join are then compared with the rest of their bucket, in blocks of
-   bounded size, and an exact bound from the overlap with the hub drops pairs that cannot reach the
-   threshold. The likeliest partners are confirmed first; then every pair of a bucket whose ends are
-   still not joined is examined.
+1. Units with equal shingle sets collapse into one node.
+2. A node is first tested with one hub, the most connected member of its buckets, so a group of N near
+   copies costs N tests, not N*N.
+3. What that leaves apart is tested with the hubs of its other buckets.
+4. Members that no hub joined are compared with the rest of their bucket, in blocks of bounded size; an
+   exact bound from the overlap with the hub drops pairs that cannot reach the threshold. The likeliest
+   partners of each are confirmed first, then every pair of a bucket whose ends are still apart.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 
 from factloom.llm import arrays
 from factloom.llm.components import components
-from factloom.llm.frames import cut, drop, small_batches
+from factloom.llm.frames import bit_set, cut, drop, maybe, merge_join, shared, small_batches
+
+#: A block of texts to its units: ids, word hashes and the n+1 offsets of each unit's words.
+Units = Callable[[pa.RecordBatch, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 @dataclass(frozen=True)
@@ -38,8 +42,9 @@ class NearParams:
     values / 2 permutations give `values` signature values; the first bands x rows of them make the
     bands. With 30 bands of 5 a pair at 0.8 is missed with probability (1 - 0.8**5)**30 < 7e-6. `sure`
     signature standard deviations below the threshold, a pair is dropped unread (4.4: less than 6e-6 of
-    the pairs at the threshold). first: likeliest partners that a member left over is tested with before
-    all others.
+    the pairs at the threshold; None reads every proposed pair). first: likeliest partners that a member
+    left over is tested with before all others. bits: log2 of the size of the bit set of nodes whose
+    sets are written.
     """
 
     k: int = 5
@@ -47,28 +52,30 @@ class NearParams:
     bands: int = 30
     rows: int = 5
     values: int = 400
-    sure: float = 4.4
+    sure: float | None = 4.4
     first: int = 3
     block: int = 4096
+    bits: int = 25
     seed: int = 7
 
     @property
     def least_equal(self) -> int:
         t = self.percent / 100
-        return int(self.values * t - self.sure * (self.values * t * (1 - t)) ** 0.5)
+        return 0 if self.sure is None else int(self.values * t - self.sure * (self.values * t * (1 - t)) ** 0.5)
 
 
-def _constants(p: NearParams) -> tuple[np.ndarray, np.ndarray]:
+def _constants(p: NearParams, n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(p.seed)
-    n = p.values // 2
-    return rng.integers(1, 2**63, n, dtype=np.uint64) * arrays.U64(2) + arrays.U64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
+    made = -(-p.values // 2)
+    return (rng.integers(1, 2**63, made, dtype=np.uint64) * arrays.U64(2) + arrays.U64(1))[:n], rng.integers(0, 2**63, made, dtype=np.uint64)[:n]
 
 
-def signatures(hashes: np.ndarray, offs: np.ndarray, p: NearParams) -> np.ndarray:
-    """(documents, values) minima and maxima; only for documents with a shingle."""
-    mult, add = _constants(p)
-    out = np.empty((len(offs) - 1, p.values), np.uint64)
-    for j in range(p.values // 2):
+def signatures(hashes: np.ndarray, offs: np.ndarray, p: NearParams, values: int | None = None) -> np.ndarray:
+    """(units, values) minima and maxima, of the first `values` if told; only for units with a shingle."""
+    n = -(-(values or p.values) // 2)
+    mult, add = _constants(p, n)
+    out = np.empty((len(offs) - 1, 2 * n), np.uint64)
+    for j in range(n):
         h = hashes * mult[j] + add[j]
         out[:, 2 * j] = np.minimum.reduceat(h, offs[:-1])
         out[:, 2 * j + 1] = np.maximum.reduceat(h, offs[:-1])
@@ -82,80 +89,120 @@ def band_keys(sig: np.ndarray, p: NearParams) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in rows], pa.binary())
+def whole_texts(part: pa.RecordBatch, data: np.ndarray, offs: np.ndarray):
+    """Every text is one unit, named by its `id`."""
+    return part.column(part.schema.get_field_index("id")), *arrays.word_hashes(data, offs)
+
+
+class _Seen:
+    """Keys that a task has met lately: a table of fixed size that forgets, but never invents one."""
+
+    def __init__(self, bits: int = 18):
+        self.held = np.zeros((1 << bits, 2), np.uint64)
 
+    def fresh(self, keys: np.ndarray) -> np.ndarray:
+        """Mask of the first occurrences of (n, 2) keys that the table doesn't hold; it holds them afterwards."""
+        _, first = np.unique(keys, axis=0, return_index=True)
+        slot = (keys[first, 0] & arrays.U64(len(self.held) - 1)).astype(np.int64)
+        new = (self.held[slot] != keys[first]).any(1)
+        self.held[slot] = keys[first]
+        out = np.zeros(len(keys), bool)
+        out[first[new]] = True
+        return out
 
-def features(docs: DataFrame, id_col: str, text_col: str, p: NearParams) -> DataFrame:
-    """(id, n, set_key, bands, sig) of every row; n = 0 and null keys without a word."""
+
+def features(texts: DataFrame, p: NearParams, units: Units = whole_texts, by_id: bool = False) -> DataFrame:
+    """(id, n, set_key, keys) of every unit: its distinct shingles, a digest of them and its band keys.
+
+    n = 0 and null keys without a word; null keys too where the task gave those of an equal set before,
+    with `by_id` of an equal set under the same id.
+    """
 
     def run(batches):
-        for batch, data, offs in arrays.blocks(batches, "text"):
-            wh, woffs = arrays.word_hashes(data, offs)
+        seen = _Seen()
+        for part, data, offs in arrays.blocks(batches, "text"):
+            ids, wh, woffs = units(part, data, offs)
             sh, soffs = arrays.shingles(wh, woffs, p.k)
+            m = len(woffs) - 1
+            if not m:
+                continue
             full = np.flatnonzero(soffs[1:] > soffs[:-1])
-            n, keys = np.zeros(len(offs) - 1, np.int64), [None] * (len(offs) - 1)
-            bands, sigs = [None] * len(n), [None] * len(n)
+            sets = [np.unique(sh[soffs[i] : soffs[i + 1]]) for i in full]
+            digests = [xxhash.xxh3_128_digest(own.tobytes()) for own in sets]
+            n, digest, keys = np.zeros(m, np.int64), np.full(m, None, object), np.full(m, None, object)
+            n[full], digest[full] = [len(own) for own in sets], digests
             if len(full):
-                sig = signatures(sh, np.append(soffs[full], soffs[-1]), p)
-                rows, low = band_keys(sig, p), arrays.mix(sig).astype(np.uint8)
-                for at, i in enumerate(full):
-                    own = np.unique(sh[soffs[i] : soffs[i + 1]])
-                    n[i], keys[i] = len(own), xxhash.xxh3_128_digest(own.tobytes())
-                    bands[i], sigs[i] = rows[at], low[at].tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("id")), pa.array(n), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                ["id", "n", "set_key", "bands", "sig"],
-            )
+                told = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2).copy()
+                if by_id:
+                    told[:, 1] = np.asarray(ids, np.int64)[full].view(np.uint64)
+                new = np.flatnonzero(seen.fresh(told))
+                if len(new):
+                    soff = np.concatenate([[0], np.cumsum([len(sets[i]) for i in new])])
+                    rows = band_keys(signatures(np.concatenate([sets[i] for i in new]), soff, p, p.bands * p.rows), p)
+                    for at, i in enumerate(full[new]):
+                        keys[i] = rows[at]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(digest.tolist(), pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["id", "n", "set_key", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, set_key binary, bands array<long>, sig binary")
+    return texts.mapInArrow(run, "id long, n long, set_key binary, keys array<long>")
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, shingles): the sorted distinct shingle hashes as packed 64-bit integers."""
+def shingle_sets(texts: DataFrame, p: NearParams, wanted: np.ndarray, units: Units = whole_texts) -> DataFrame:
+    """(id, n, sig, shingles) of the units whose id may be in the bit set `wanted`: their number of
+    distinct shingles, the low byte of each signature value, and the sorted hashes as packed 64-bit integers."""
+    held = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        for batch, data, offs in arrays.blocks(batches, "text"):
-            sh, soffs = arrays.shingles(*arrays.word_hashes(data, offs), k)
-            sets = [np.unique(sh[soffs[i] : soffs[i + 1]]).tobytes() for i in range(len(offs) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), pa.array(sets, pa.binary())], ["id", "shingles"])
+        seen = _Seen()
+        for part, data, offs in arrays.blocks(batches, "text"):
+            ids, wh, woffs = units(part, data, offs)
+            named = pa.array(ids, pa.int64())
+            ids = named.fill_null(0).to_numpy()
+            sh, soffs = arrays.shingles(wh, woffs, p.k)
+            full = np.flatnonzero((soffs[1:] > soffs[:-1]) & maybe(ids.view(np.uint64), held.value) & named.is_valid().to_numpy(zero_copy_only=False))
+            sets = [np.unique(sh[soffs[i] : soffs[i + 1]]) for i in full]
+            if not sets:
+                continue
+            digests = np.frombuffer(b"".join(xxhash.xxh3_64_digest(own.tobytes()) for own in sets), np.uint64)
+            new = np.flatnonzero(seen.fresh(np.stack([digests, ids[full].view(np.uint64)], 1)))
+            if not len(new):
+                continue
+            sets = [sets[i] for i in new]
+            size = np.array([len(own) for own in sets])
+            sig = arrays.mix(signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]), p)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[full[new]]), pa.array(size), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array([own.tobytes() for own in sets], pa.binary())], ["id", "n", "sig", "shingles"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, shingles binary")
+    return texts.mapInArrow(run, "id long, n long, sig binary, shingles binary")
 
 
-def _plausible(pairs: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame:
-    """Drop pairs whose sizes or signatures cannot reach the threshold."""
-    left = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    right = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    sized = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent)
+def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
+    """(a, b, na, nb, common) of the pairs (a, b) whose sizes and signatures may reach the threshold."""
+    names = {"a": ("na", "sa"), "b": ("nb", "sb")}
+    sized = pairs
+    for end, (n, sig) in names.items():
+        sized = merge_join(sized, sets.select(F.col("id").alias(end), F.col("n").alias(n), F.col("sig").alias(sig)), end)
+    sized = sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent)
 
-    def run(batches):
+    def plausible(batches):
         for batch in batches:
             if batch.num_rows:
                 t = pa.Table.from_batches([batch])
-                s = [np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, p.values) for c in ("sa", "sb")]
-                keep = (s[0] == s[1]).sum(1) >= p.least_equal
-                yield from t.select(["a", "b"]).filter(pa.array(keep)).to_batches()
-
-    return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
+                s = [np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb")]
+                yield from t.select(["a", "b"]).filter(pa.array((s[0] == s[1]).sum(1) >= p.least_equal)).to_batches()
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, common) on full sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb"))
+    likely = sized.select("a", "b", "sa", "sb").mapInArrow(plausible, "a long, b long")
+    for end, own in (("a", "xa"), ("b", "xb")):
+        likely = merge_join(likely, sets.select(F.col("id").alias(end), F.col("shingles").alias(own)), end)
 
     def run(batches):
         for batch in batches:
-            a, b, xa, xb = (batch.column(i).to_pylist() for i in range(4))
+            xa, xb = (batch.column(i).to_pylist() for i in (2, 3))
             rows = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(xa, xb, strict=True)]
-            common = [int(len(x) and (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0 for x, y in rows]
+            common = [int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) for x, y in rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([len(x) for x, _ in rows], pa.int64()), pa.array([len(y) for _, y in rows], pa.int64()), pa.array(common, pa.int64())],
-                ["a", "b", "na", "nb", "common"],
+                [batch.column(0), batch.column(1), pa.array([len(x) for x, _ in rows], pa.int64()), pa.array([len(y) for _, y in rows], pa.int64()), pa.array(common, pa.int64())], ["a", "b", "na", "nb", "common"]
             )
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long, na long, nb long, common long")
+    return likely.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long, na long, nb long, common long")
 
 
 def _linked(tested: DataFrame, p: NearParams) -> DataFrame:
@@ -163,7 +210,7 @@ def _linked(tested: DataFrame, p: NearParams) -> DataFrame:
 
 
 def _residual(rows: DataFrame, p: NearParams, most: int | None) -> DataFrame:
-    """Pairs (a, b) inside a bucket that are not yet in one component.
+    """Pairs (x, y, equal) inside a bucket that are not yet in one component, and their equal signature values.
 
     rows: key, id, n, sig, comp, hub_comp, common (overlap with the bucket's hub or null). Members
     outside the hub's component are queries against all members, in blocks of at most `block` rows;
@@ -172,7 +219,7 @@ def _residual(rows: DataFrame, p: NearParams, most: int | None) -> DataFrame:
     split = rows.withColumn("query", F.col("comp") != F.col("hub_comp"))
     counts = split.groupBy("key").agg(F.count("*").alias("m"), F.count_if("query").alias("q")).where("q > 0")
     counts = counts.select("key", F.ceil(F.col("m") / p.block).cast("int").alias("nm"), F.ceil(F.col("q") / p.block).cast("int").alias("nq"))
-    split = split.join(counts, "key").withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
+    split = merge_join(split, counts, "key").withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
     every = F.sequence(F.lit(0), F.col("nq") - 1)
     members = split.select("key", (F.col("h") % F.col("nm")).cast("int").alias("mb"), F.explode(every).alias("qb"), F.lit(False).alias("query"), "id", "n", "sig", "comp", "common")
     asked = split.where("query").select("key", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"), (F.col("h") % F.col("nq")).cast("int").alias("qb"), F.lit(True).alias("query"), "id", "n", "sig", "comp", "common")
@@ -212,10 +259,9 @@ def _residual(rows: DataFrame, p: NearParams, most: int | None) -> DataFrame:
                 x, y = x[order], y[order]
                 first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
                 rank = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
-                x, y = x[rank < most], y[rank < most]
+                x, y, equal = x[rank < most], y[rank < most], equal[order][rank < most]
             if len(x):
-                out = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(equal)], ["x", "y", "equal"])
 
     def run(batches):
         held, size = [], 0
@@ -239,52 +285,97 @@ def _residual(rows: DataFrame, p: NearParams, most: int | None) -> DataFrame:
         if held:
             yield from compare(pa.Table.from_batches(held).combine_chunks())
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "x long, y long, equal long")
+
+
+def _ends(x: str, y: str) -> list:
+    """An unordered pair of nodes as one row (a, b) with a < b."""
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The node labels (id, comp) after some more links (a, b)."""
+    for end in ("a", "b"):
+        links = merge_join(links, comp.select(F.col("id").alias(end), F.col("comp").alias("c" + end)), end)
+    edges = cut(links.select("ca", "cb").where("ca <> cb").distinct())
+    if edges.isEmpty():
+        drop(edges)
+        return comp
+    label = components(edges, "ca", "cb").withColumnsRenamed({"node": "comp", "component": "least"})
+    out = cut(merge_join(comp, label, "comp", "left").select("id", F.coalesce("least", "comp").alias("comp")))
+    drop(edges, comp)
+    return out
+
+
+def near_components(keyed: DataFrame, texts: DataFrame, p: NearParams, units: Units = whole_texts) -> DataFrame:
+    """(id, comp): the least node that each node of a shared bucket reaches.
+
+    keyed: id and band keys of every node, also more than once. texts: the rows whose units give the
+    nodes' shingle sets.
+    """
+    bucket = cut(shared(keyed.select(F.col("keys").alias("key"), "id"), "key", "id").distinct())
+    size = bucket.groupBy("key").agg(F.count("*").alias("m"))
+    weight = merge_join(bucket, size, "key").groupBy("id").agg(F.sum("m").alias("w"))
+    hubs = merge_join(bucket, weight, "id").groupBy("key").agg(F.max(F.struct("w", F.bitwise_not("id").alias("i"))).alias("h"), F.count("*").alias("m"))
+    starred = cut(merge_join(bucket, hubs, "key").select("key", "id", F.bitwise_not("h.i").alias("hub"), F.col("h.w").alias("w"), "m"))
+    drop(bucket)
+    nodes = starred.select("id").distinct()
+    sets = cut(shingle_sets(texts, p, bit_set(nodes, "id", p.bits), units))
+    comp = cut(nodes.select("id", F.col("id").alias("comp")))
+    tested: list[DataFrame] = []
+
+    def test(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        for old in tested:
+            pairs = pairs.join(old.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        tested.append(cut(_confirmed(pairs, sets, p)))
+        return _joined(comp, _linked(tested[-1], p).select("a", "b"))
+
+    def apart(comp: DataFrame) -> DataFrame:
+        told = merge_join(starred, comp, "id")
+        return merge_join(told, comp.select(F.col("id").alias("hub"), F.col("comp").alias("hub_comp")), "hub")
+
+    best = starred.where("id <> hub").groupBy("id").agg(F.max_by("hub", F.struct("w", F.bitwise_not("hub"))).alias("hub"))
+    comp = test(best.select(*_ends("id", "hub")).distinct(), comp)
+    comp = test(apart(comp).where("comp <> hub_comp").select(*_ends("id", "hub")).distinct(), comp)
+    overlap = tested[0].union(tested[1]).select("a", "b", "common").distinct()
+    overlap = overlap.select(F.col("a").alias("id"), F.col("b").alias("hub"), "common").union(overlap.select(F.col("b").alias("id"), F.col("a").alias("hub"), "common"))
+    for most in (p.first, None):
+        # a bucket of two is its hub's test
+        told = apart(comp).where("m > 2")
+        split = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        rows = told.join(split.hint("merge"), "key", "left_semi").join(overlap.hint("merge"), ["id", "hub"], "left")
+        rows = cut(merge_join(rows, sets.select("id", "n", "sig"), "id").withColumn("common", F.when(F.col("id") == F.col("hub"), F.col("n")).otherwise(F.col("common"))))
+        if rows.isEmpty():
+            drop(rows)
+            break
+        rest = _residual(rows.select("key", "id", "n", "sig", "comp", "hub_comp", "common"), p, most)
+        if most:
+            likely = rest.groupBy("x").agg(F.slice(F.sort_array(F.collect_set(F.struct("equal", "y")), asc=False), 1, most).alias("s"))
+            rest = likely.select("x", F.explode("s.y").alias("y"))
+        comp = test(rest.select(*_ends("x", "y")).distinct(), comp)
+        drop(rows)
+    drop(starred, sets, *tested)
+    return comp
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: NearParams = NearParams()) -> DataFrame:
     """One row per input row: (id, n_shingles, component), the least id of the near-duplicate group.
 
     Null, empty or blank texts have no shingle and are linked with nothing. Texts shorter than k words
-    count as one shingle. Rows that share an id are one node; repeated rows give repeated output rows.
-    Other columns of `docs` are ignored.
+    count as one shingle. Rows that share an id are one node; repeated rows give repeated output rows. A
+    row without an id has the component of a row with an equal set, null if there is none. Other columns
+    of `docs` are ignored; an empty table gives no row.
     """
     p = params
     small_batches(docs.sparkSession)
-    feat = cut(features(docs, id_col, text_col, p))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    feat = cut(features(texts, p))
     classes = feat.where("n > 0").groupBy("set_key").agg(F.min("id").alias("cls"))
-    members = cut(feat.select("id", "n", "set_key").join(classes, "set_key", "left").select("id", "n", F.coalesce("cls", "id").alias("cls")))
-    reps = feat.where("n > 0").join(members.select(F.col("cls").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "set_key"])
-    banded = reps.select("id", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    bucket = cut(banded.join(shared, "key"))
-    reps = cut(reps.join(bucket.select("id").distinct(), "id", "left_semi").select("id", "n", "sig"))
-    drop(feat)
-    weight = bucket.groupBy("id").agg(F.sum("m").alias("w"))
-    hubs = bucket.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("hub"))
-    starred = cut(bucket.select("key", "id").join(hubs, "key"))
-    drop(bucket)
-    # ids in ascending order, so a pair is the same one in every bucket
-    pairs = starred.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    wanted = reps.select(F.col("id").alias(id_col))
-    sets = cut(shingle_sets(docs.select(id_col, text_col).join(wanted.hint("merge"), id_col, "left_semi"), id_col, text_col, p.k))
-    hub_tests = cut(_confirm(_plausible(pairs, reps, p), sets))
-    both = hub_tests.select(F.col("a").alias("id"), F.col("b").alias("hub"), "common").union(hub_tests.select(F.col("b").alias("id"), F.col("a").alias("hub"), "common"))
-    tested, tables = hub_tests, [hub_tests]
-    for most in (p.first, None):
-        label = components(_linked(tested, p))
-        comp = cut(reps.select("id").join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("component", "id").alias("comp")))
-        told = starred.join(comp, "id").join(comp.select(F.col("id").alias("hub"), F.col("comp").alias("hub_comp")), "hub")
-        split = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        open_rows = told.join(split, "key", "left_semi").join(both, ["id", "hub"], "left").join(reps, "id")
-        open_rows = open_rows.withColumn("common", F.when(F.col("id") == F.col("hub"), F.col("n")).otherwise(F.col("common")))
-        rest = _residual(open_rows.select("key", "id", "n", "sig", "comp", "hub_comp", "common"), p, most).distinct()
-        rest = rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tables += [comp, cut(_confirm(rest, sets))]
-        tested = tested.union(tables[-1])
-    final = components(_linked(tested, p))
-    out = cut(members.join(final.select(F.col("node").alias("cls"), "component"), "cls", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "cls").alias("component")))
-    drop(members, reps, starred, sets, *tables)
+    members = cut(merge_join(feat.select("id", "n", "set_key"), classes, "set_key", "left").select("id", "n", F.coalesce("cls", "id").alias("cls")))
+    keyed = merge_join(feat.where("keys IS NOT NULL").select("set_key", "keys"), classes, "set_key").select(F.col("cls").alias("id"), "keys")
+    comp = near_components(keyed.where("id IS NOT NULL"), texts, p)
+    out = cut(merge_join(members, comp.withColumnRenamed("id", "cls"), "cls", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("comp", "cls").alias("component")))
+    drop(feat, members, comp)
     return out
 
 

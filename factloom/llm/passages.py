@@ -10,7 +10,8 @@ Two kinds of unit are compared across documents:
   that two documents share holds a window that both select. Equal windows are joined, overlapping ones
   of a document are merged, and runs that share a window are closed into components.
 
-In every component the first occurrence is kept, with what overlaps it, and the others are marked for
+Both find what stands in one document only early: of rows with one key a single shuffle keeps those that
+two values share. In every component the first occurrence is kept, with what overlaps it, and the others are marked for
 removal. A line and the joined lines around it can both be marked.
 """
 
@@ -25,19 +26,19 @@ from pyspark.sql import functions as F
 
 from factloom.llm import arrays
 from factloom.llm.components import components
-from factloom.llm.frames import cut, drop, small_batches
-from factloom.llm.near import NearParams, near_groups
+from factloom.llm.frames import cut, drop, merge_join, shared, small_batches
+from factloom.llm.near import NearParams, features, near_components
 
 
 @dataclass(frozen=True)
 class PassageParams:
     """words: length of a window; paragraphs have near.k words or more. With 32 words and a stride of 20, a
     shared run of 51 words is always found. The bands miss a pair of paragraphs at 0.8 with probability
-    (1 - 0.8**5)**20 < 4e-4."""
+    (1 - 0.8**4)**14 < 7e-4, at 0.9 with less than 2e-7."""
 
     words: int = 32
     stride: int = 20
-    near: NearParams = NearParams(k=5, bands=20, rows=5, values=128)
+    near: NearParams = NearParams(k=5, bands=14, rows=4, values=128)
 
 
 def spans(counts: np.ndarray, owner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,29 +57,41 @@ def spans(counts: np.ndarray, owner: np.ndarray, least: int) -> tuple[np.ndarray
     return first[enough], last[enough]
 
 
-def _paragraphs(docs: DataFrame, p: PassageParams) -> DataFrame:
-    """(doc_id, start, end, id, text) of the paragraphs; places are byte offsets, id a hash of the words."""
+def _paragraphs(data: np.ndarray, offs: np.ndarray, least: int):
+    """Of a block: owner, start and end of the paragraphs in bytes, their ids (a hash of the words), the
+    words' hashes, and first and last word of each paragraph."""
+    bounds = np.union1d(np.flatnonzero(data == 0x0A) + 1, offs)
+    h, woffs = arrays.word_hashes(data, bounds)
+    owner = np.searchsorted(offs, bounds[:-1], "right") - 1
+    first, last = spans(np.diff(woffs), owner, least)
+    at, to = woffs[first], woffs[last + 1]
+    ids = arrays.range_hash(arrays.prefix_hash(h.view(np.uint8)), at * 8, to * 8).view(np.int64)
+    return owner[first], bounds[first], bounds[last + 1], ids, h, at, to
+
+
+def paragraph_units(least: int):
+    """Paragraphs of at least `least` words as the units of near-duplicate search; equal words give one id."""
+
+    def units(part, data, offs):
+        *_, ids, h, at, to = _paragraphs(data, offs, least)
+        n = to - at
+        woffs = np.concatenate([[0], np.cumsum(n)])
+        return ids, h[np.repeat(at - woffs[:-1], n) + np.arange(woffs[-1])], woffs
+
+    return units
+
+
+def _places(docs: DataFrame, p: PassageParams) -> DataFrame:
+    """(doc_id, start, end, n_words, id) of the paragraphs; places are byte offsets."""
 
     def run(batches):
         for part, data, offs in arrays.blocks(batches, "text"):
-            ids = part.column(part.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-            bounds = np.union1d(np.flatnonzero(data == 0x0A) + 1, offs)
-            h, woffs = arrays.word_hashes(data, bounds)
-            owner = np.searchsorted(offs, bounds[:-1], "right") - 1
-            first, last = spans(np.diff(woffs), owner, p.near.k)
-            if not len(first):
-                continue
-            raw = data.tobytes()
-            starts, ends, owner = bounds[first], bounds[last + 1], owner[first]
-            texts = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            whole = arrays.prefix_hash(h.view(np.uint8))
-            keys = arrays.range_hash(whole, woffs[first] * 8, woffs[last + 1] * 8)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[owner], pa.int64()), pa.array(starts - offs[owner]), pa.array(ends - offs[owner]), pa.array(keys.view(np.int64)), pa.array(texts, pa.binary()).cast(pa.string())],
-                ["doc_id", "start", "end", "id", "text"],
-            )
+            doc = part.column(part.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
+            owner, start, end, ids, _, at, to = _paragraphs(data, offs, p.near.k)
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[owner], pa.int64()), pa.array(start - offs[owner]), pa.array(end - offs[owner]), pa.array(to - at), pa.array(ids)], ["doc_id", "start", "end", "n_words", "id"])
 
-    return docs.mapInArrow(run, "doc_id long, start long, end long, id long, text string")
+    return docs.mapInArrow(run, "doc_id long, start long, end long, n_words long, id long")
 
 
 def windows(hashes: np.ndarray, woffs: np.ndarray, p: PassageParams) -> np.ndarray:
@@ -106,7 +119,7 @@ def windows(hashes: np.ndarray, woffs: np.ndarray, p: PassageParams) -> np.ndarr
 
 
 def _windows(docs: DataFrame, p: PassageParams) -> DataFrame:
-    """(unit, doc_id, start, end): hash of each selected window and its bytes."""
+    """(unit, doc_id, start, bytes, word): hash of each selected window, its place and its first word's number."""
 
     def run(batches):
         for part, data, offs in arrays.blocks(batches, "text"):
@@ -117,25 +130,24 @@ def _windows(docs: DataFrame, p: PassageParams) -> DataFrame:
             whole = arrays.prefix_hash(h.view(np.uint8))
             unit = arrays.range_hash(whole, first * 8, (first + p.words) * 8)
             owner = np.searchsorted(woffs, first, "right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(unit.view(np.int64)), pa.array(ids[owner].astype(np.int64)), pa.array(starts[first] - offs[owner]), pa.array(ends[first + p.words - 1] - offs[owner])], ["unit", "doc_id", "start", "end"]
-            )
+            cols = [unit.view(np.int64), ids[owner].astype(np.int64), starts[first] - offs[owner], ends[first + p.words - 1] - starts[first], first - woffs[owner]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["unit", "doc_id", "start", "bytes", "word"])
 
-    return docs.mapInArrow(run, "unit long, doc_id long, start long, end long")
+    return docs.mapInArrow(run, "unit long, doc_id long, start long, bytes long, word long")
 
 
 def _marked(rows: DataFrame, kind: str) -> DataFrame:
-    """Rows (doc_id, start, end, cluster) of clusters that reach over documents; the first one is kept, the longest of
-    those that start there, and so is what overlaps it."""
+    """The rows of clusters that reach over documents; the first one is kept, the longest of those that
+    start there, and so is what overlaps it."""
     first = rows.groupBy("cluster").agg(F.min(F.struct("doc_id", "start", (-F.col("end")).alias("back"))).alias("f"), F.max("doc_id").alias("last"))
     first = first.where(F.col("f.doc_id") < F.col("last"))
-    told = rows.join(first, "cluster")
+    told = merge_join(rows, first, "cluster")
     kept = (F.col("doc_id") == F.col("f.doc_id")) & (F.col("start") < -F.col("f.back")) & (F.col("end") > F.col("f.start"))
-    return told.select("doc_id", F.lit(kind).alias("kind"), "start", "end", F.col("f.doc_id").alias("first_doc_id"), "cluster", kept.alias("kept"))
+    return told.select("doc_id", F.lit(kind).alias("kind"), "start", "end", "n_words", F.col("f.doc_id").alias("first_doc_id"), "cluster", kept.alias("kept"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: PassageParams = PassageParams()) -> DataFrame:
-    """(doc_id, kind, start, end, first_doc_id, cluster, kept) of every repeated paragraph and passage.
+    """(doc_id, kind, start, end, n_words, first_doc_id, cluster, kept) of every repeated paragraph and passage.
 
     Places are byte offsets. Words are compared with A-Z lower-cased; white space does not matter. Null,
     empty and texts of under 5 words have no unit. What repeats only inside one document, or under one id, is left
@@ -144,25 +156,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     p = params
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    lines = _paragraphs(base, p)
-    # one row for all copies: equal ids have equal words
-    unique = cut(lines.select("id", "text").dropDuplicates(["id"]))
-    groups = near_groups(unique, "id", "text", p.near).select("id", F.col("component").alias("cluster"))
-    near = cut(_marked(lines.select("doc_id", "start", "end", "id").distinct().join(groups, "id"), "paragraph"))
-
-    every = cut(_windows(base, p))
-    shared = every.groupBy("unit").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("unit")
-    found = every.join(shared, "unit").distinct()
+    units = paragraph_units(p.near.k)
+    keyed = features(base, p.near, units, by_id=True).where("keys IS NOT NULL").select("id", "keys")
+    near = near_components(keyed, base, p.near, units)
+    # a paragraph without a near one is a cluster of its copies
+    places = merge_join(_places(base, p).distinct(), near, "id", "left").withColumn("cluster", F.coalesce("comp", "id"))
+    paragraphs = cut(_marked(places.drop("id", "comp"), "paragraph"))
+    drop(near)
+
+    found = shared(_windows(base, p), "unit", "doc_id").distinct().withColumn("end", F.col("start") + F.col("bytes"))
     along = Window.partitionBy("doc_id").orderBy("start")
     gap = F.col("start") > F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
     run = found.withColumn("new", F.when(F.coalesce(gap, F.lit(True)), F.col("start"))).withColumn("at", F.last("new", ignorenulls=True).over(along))
-    units = cut(run.select("unit", "doc_id", "end", "at", F.xxhash64("doc_id", "at").alias("run")))
-    least = units.groupBy("unit").agg(F.min("run").alias("to"))
-    label = components(units.join(least, "unit").select("run", "to").distinct(), "run", "to")
-    runs = units.groupBy("run", "doc_id", F.col("at").alias("start")).agg(F.max("end").alias("end"))
-    exact = cut(_marked(runs.join(label.select(F.col("node").alias("run"), F.col("component").alias("cluster")), "run"), "passage"))
-    drop(units, unique, every)
-    return near.union(exact)
+    found = cut(run.select("unit", "doc_id", "end", "word", "at", F.xxhash64("doc_id", "at").alias("run")))
+    least = found.groupBy("unit").agg(F.min("run").alias("to"))
+    label = components(merge_join(found, least, "unit").select("run", "to").distinct(), "run", "to").select(F.col("node").alias("run"), F.col("component").alias("cluster"))
+    runs = found.groupBy("run", "doc_id", F.col("at").alias("start")).agg(F.max("end").alias("end"), (F.max("word") - F.min("word") + p.words).alias("n_words"))
+    passages = cut(_marked(merge_join(runs, label, "run").drop("run"), "passage"))
+    drop(found)
+    return paragraphs.union(passages)
 
 
 def op2_passage_dedup(spark, sf_dir: str) -> DataFrame:

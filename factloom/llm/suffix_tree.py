@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import arrays
-from factloom.llm.frames import cut, drop, small_batches
+from factloom.llm.frames import bit_set, cut, drop, maybe, small_batches
 
 U64 = np.uint64
 END = U64(0x5851F42D4C957F2D)
@@ -66,23 +66,6 @@ def _tokens(h: np.ndarray, woffs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, woffs[1:], END), woffs + np.arange(len(woffs))
 
 
-def _bit_set(rows: DataFrame, bits: int) -> np.ndarray:
-    """One bit for each value of the low `bits` bits of `ctx`."""
-    low = F.col("ctx").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    words = rows.select(F.shiftright(low, 6).alias("at"), F.expr("shiftleft(1L, CAST(ctx & 63 AS INT))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros(1 << bits - 6, U64)
-    out[words["at"].to_numpy()] = words["bit"].to_numpy().view(U64)
-    return out
-
-
-def _maybe(ctx: np.ndarray, found: np.ndarray | None) -> np.ndarray:
-    """Whether each context may be in the bit set; without one all are."""
-    if found is None:
-        return np.ones(len(ctx), bool)
-    low = ctx & U64(64 * len(found) - 1)
-    return (found[low >> U64(6)] >> (low & U64(63)) & U64(1)).astype(bool)
-
-
 def _told(train: DataFrame, d: int, other: str, within: np.ndarray | None) -> DataFrame:
     """(ctx, other) of every training token with a context of d words; other is `up`, the context one
     word shorter, of which `within` is the bit set, or `sym`, with a bit set of ctx."""
@@ -92,7 +75,7 @@ def _told(train: DataFrame, d: int, other: str, within: np.ndarray | None) -> Da
         for _, data, offs in arrays.blocks(batches, "text"):
             tokens, toffs = _tokens(*arrays.word_hashes(data, offs))
             ctx = contexts(tokens, toffs, d)
-            some = _maybe(ctx[d - 1] if other == "up" else ctx[d], held.value)
+            some = maybe(ctx[d - 1] if other == "up" else ctx[d], held.value)
             yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)) for x in (ctx[d], ctx[d - 1] if other == "up" else tokens)], ["ctx", other])
 
     return train.select("text").mapInArrow(run, f"ctx long, {other} long")
@@ -119,7 +102,7 @@ def fit_tree(train: DataFrame, shortest: DataFrame, total: int, params: TreePara
         size = size.join(sizes, "up") if d > 1 else size.withColumn("m", F.lit(total).cast("long"))
         may_pass = F.col("total") * F.log(F.col("m") / F.col("total")) >= p.gain - 1e-6
         size = cut(size.where(may_pass | (F.lit(d < p.depth) & (F.col("total") >= least))))
-        pairs = _told(train, d, "sym", _bit_set(size, p.bits) if d > 1 else None).groupBy("ctx", "sym").agg(F.count("*").alias("n"))
+        pairs = _told(train, d, "sym", bit_set(size, "ctx", p.bits) if d > 1 else None).groupBy("ctx", "sym").agg(F.count("*").alias("n"))
         pairs = cut(pairs.join(size, "ctx").join(shorter, ["up", "sym"]))
         gain = pairs.groupBy("ctx").agg(F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.log(F.col("n_up") / F.col("m")))).alias("gain"), F.count("*").alias("kinds"))
         kept = gain.where(F.col("gain") >= p.gain).select("ctx", (p.prior * F.col("kinds")).alias("extra"))
@@ -130,13 +113,13 @@ def fit_tree(train: DataFrame, shortest: DataFrame, total: int, params: TreePara
         tables += [size, dist]
         told = dist.where(F.col("extra").isNotNull()).withColumn("gone", F.log10(F.col("extra") / mass)).withColumn("seen", F.col("lp") - F.col("lp_up"))
         nodes = told.groupBy("ctx").agg(F.first("gone").alias("gone"), F.first("total").alias("n"))
-        kept_sets.append(_bit_set(nodes, p.bits))
+        kept_sets.append(bit_set(nodes, "ctx", p.bits))
         entries.append(nodes.select(F.col("ctx").alias("key"), F.lit(0.0).alias("seen"), "gone", "n"))
         entries.append(told.select("ctx", "sym", "seen", (F.col("seen") - F.col("gone")).alias("gone"), "n").mapInArrow(_keyed, "key long, seen double, gone double, n long"))
         if d < p.depth:
             big = F.col("total") >= least
             sizes = size.where(big).select(F.col("ctx").alias("up"), F.col("total").alias("m"))
-            open_set = _bit_set(size.where(big), p.bits)
+            open_set = bit_set(size.where(big), "ctx", p.bits)
             shorter = dist.where(big).select(F.col("ctx").alias("up"), "sym", F.col("n").alias("n_up"), F.col("lp").alias("lp_up"))
     tree = entries[0]
     for more in entries[1:]:
@@ -252,7 +235,7 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
             score, cold, cold_doc = np.full(n, end_root), [], []
             ctx = contexts(tokens, toffs, len(kept))
             for d, found in enumerate(kept, 1):
-                some_at = np.flatnonzero(_maybe(ctx[d], found))
+                some_at = np.flatnonzero(maybe(ctx[d], found))
                 strange = some_at[~learned[owner[some_at]]]
                 for key, doc in ((pair_keys(ctx[d][some_at], tokens[some_at]), owner[some_at]), (ctx[d][strange], owner[strange])):
                     key = key.view(np.int64)
