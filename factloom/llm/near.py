@@ -11,9 +11,9 @@ How large groups stay cheap without losing a link:
 2. A node is first tested with one hub, the most connected member of its buckets, so a group of N near
    copies costs N tests, not N*N.
 3. What that leaves apart is tested with the hubs of its other buckets.
-4. Members that no hub joined are compared with the rest of their bucket, in blocks of bounded size; an
-   exact bound from the overlap with the hub drops pairs that cannot reach the threshold. The likeliest
-   partners of each are confirmed first, then every pair of a bucket whose ends are still apart.
+4. Members that no hub joined are compared with the rest of their bucket, in blocks of bounded size. An
+   exact bound from the overlap with the hub drops pairs that cannot reach the threshold; the others are
+   confirmed inside the block, the likeliest first, unless links have joined them meanwhile.
 """
 
 from __future__ import annotations
@@ -42,8 +42,7 @@ class NearParams:
     values / 2 permutations give `values` signature values; the first bands x rows of them make the
     bands. With 30 bands of 5 a pair at 0.8 is missed with probability (1 - 0.8**5)**30 < 7e-6. `sure`
     signature standard deviations below the threshold, a pair is dropped unread (4.4: less than 6e-6 of
-    the pairs at the threshold; None reads every proposed pair). first: likeliest partners that a member
-    left over is tested with before all others. bits: log2 of the size of the bit set of nodes whose
+    the pairs at the threshold; None reads every proposed pair). bits: log2 of the size of the bit set of nodes whose
     sets are written.
     """
 
@@ -53,7 +52,6 @@ class NearParams:
     rows: int = 5
     values: int = 400
     sure: float | None = 4.4
-    first: int = 3
     block: int = 4096
     bits: int = 25
     seed: int = 7
@@ -209,34 +207,60 @@ def _linked(tested: DataFrame, p: NearParams) -> DataFrame:
     return tested.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * p.percent)
 
 
-def _residual(rows: DataFrame, p: NearParams, most: int | None) -> DataFrame:
-    """Pairs (x, y, equal) inside a bucket that are not yet in one component, and their equal signature values.
+class _Merged:
+    """Components that links found by one task have joined."""
 
-    rows: key, id, n, sig, comp, hub_comp, common (overlap with the bucket's hub or null). Members
-    outside the hub's component are queries against all members, in blocks of at most `block` rows;
-    with `most`, a query gives only its likeliest partners of each block.
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, c: int) -> int:
+        while (up := self.parent.get(c, c)) != c:
+            self.parent[c] = self.parent.get(up, up)
+            c = up
+        return c
+
+    def roots(self, codes: np.ndarray) -> np.ndarray:
+        return np.array([self.root(c) for c in codes.tolist()], np.int64)
+
+
+def _residual(rows: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
+    """Links (a, b) that join the members of a bucket which are not yet in one component.
+
+    rows: key, id, n, comp, hub_comp, common (overlap with the bucket's hub or null), keys (all buckets
+    of the id). Members outside the hub's component are queries against all members, in blocks of at most
+    `block` rows or 64 MB of sets. A block confirms its plausible pairs, the likeliest first, in the least
+    bucket that they share, and skips those that links have joined meanwhile: no pair leaves it but links.
     """
     split = rows.withColumn("query", F.col("comp") != F.col("hub_comp"))
-    counts = split.groupBy("key").agg(F.count("*").alias("m"), F.count_if("query").alias("q")).where("q > 0")
-    counts = counts.select("key", F.ceil(F.col("m") / p.block).cast("int").alias("nm"), F.ceil(F.col("q") / p.block).cast("int").alias("nq"))
+    held = lambda n, rows: F.ceil(F.greatest(rows / p.block, n / (8 << 20))).cast("int")
+    own = F.when(F.col("query"), F.col("n"))
+    counts = split.groupBy("key").agg(held(F.sum("n"), F.count("*")).alias("nm"), held(F.coalesce(F.sum(own), F.lit(0)), F.count(own)).alias("nq")).where("nq > 0")
     split = merge_join(split, counts, "key").withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
-    every = F.sequence(F.lit(0), F.col("nq") - 1)
-    members = split.select("key", (F.col("h") % F.col("nm")).cast("int").alias("mb"), F.explode(every).alias("qb"), F.lit(False).alias("query"), "id", "n", "sig", "comp", "common")
-    asked = split.where("query").select("key", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"), (F.col("h") % F.col("nq")).cast("int").alias("qb"), F.lit(True).alias("query"), "id", "n", "sig", "comp", "common")
-    dealt = members.union(asked).repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb", "query")
-
-    def compare(t: pa.Table):
-        """Plausible pairs of whole groups; in each group the members come first, then the queries."""
-        ids, n, comp = (t.column(c).to_numpy() for c in ("id", "n", "comp"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["id", "comp", "common", "keys"]
+    members = split.select("key", (F.col("h") % F.col("nm")).cast("int").alias("mb"), every("nq").alias("qb"), F.lit(False).alias("query"), *cols)
+    asked = split.where("query").select("key", every("nm").alias("mb"), (F.col("h") % F.col("nq")).cast("int").alias("qb"), F.lit(True).alias("query"), *cols)
+    dealt = merge_join(members.union(asked), sets, "id").repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb", "query")
+
+    def compare(t: pa.Table, merged: _Merged):
+        """Links of whole groups; in each group the members come first, then the queries."""
+        ids, n, key = (t.column(c).to_numpy() for c in ("id", "n", "key"))
+        labels, comp = np.unique(t.column("comp").to_numpy(), return_inverse=True)
+        root = merged.roots(labels)
         common, query = t.column("common").fill_null(-1).to_numpy(), t.column("query").to_numpy(zero_copy_only=False).astype(bool)
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, p.values)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        held = t.column("shingles").to_pylist()
         at = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "mb", "qb")], 1)
         start = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(1)]))
         group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(at))))
         members = np.bincount(group, ~query, len(start)).astype(np.int64)
+        lists = t.column("keys").to_pylist()
+        buckets = np.full((len(ids), max(map(len, lists))), np.iinfo(np.int64).max)
+        for row, own in enumerate(lists):
+            buckets[row, : len(own)] = own
         asked = np.flatnonzero(query)
         ends = np.cumsum(members[group[asked]])
-        lo = 0
+        links, lo = [], 0
         while lo < len(asked):
             base = ends[lo - 1] if lo else 0
             hi = max(lo + 1, int(np.searchsorted(ends, base + 1_000_000, "right")))
@@ -244,7 +268,7 @@ def _residual(rows: DataFrame, p: NearParams, most: int | None) -> DataFrame:
             lo, reps = hi, members[group[rows]]
             x = np.repeat(rows, reps)
             y = np.repeat(start[group[rows]] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
-            near = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * p.percent)
+            near = (root[comp[x]] != root[comp[y]]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * p.percent)
             x, y = x[near], y[near]
             # with the hub's set h: |x & y| <= min(|x & h|, |y & h|) + min(|x - h|, |y - h|)
             told = (common[x] >= 0) & (common[y] >= 0)
@@ -252,40 +276,47 @@ def _residual(rows: DataFrame, p: NearParams, most: int | None) -> DataFrame:
             near = bound * 100 >= (n[x] + n[y] - bound) * p.percent
             x, y = x[near], y[near]
             equal = np.concatenate([(sig[x[i : i + 50_000]] == sig[y[i : i + 50_000]]).sum(1) for i in range(0, len(x), 50_000)]) if len(x) else np.zeros(0, np.int64)
-            near = equal >= p.least_equal
-            x, y, equal = x[near], y[near], equal[near]
-            if most and len(x):
-                order = np.lexsort((ids[y], -equal, x))
-                x, y = x[order], y[order]
-                first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-                rank = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
-                x, y, equal = x[rank < most], y[rank < most], equal[order][rank < most]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(equal)], ["x", "y", "equal"])
+            order = np.flatnonzero(equal >= p.least_equal)
+            order = order[np.argsort(-equal[order], kind="stable")]
+            for i in range(0, len(order), 1000):
+                x_now, y_now = x[order[i : i + 1000]], y[order[i : i + 1000]]
+                near = root[comp[x_now]] != root[comp[y_now]]
+                x_now, y_now = x_now[near], y_now[near]
+                both = (buckets[x_now][:, :, None] == buckets[y_now][:, None, :]).any(2)
+                least = np.where(both, buckets[x_now], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
+                for a, b in zip(*(z[least == key[x_now]].tolist() for z in (x_now, y_now)), strict=True):
+                    if root[comp[a]] == root[comp[b]]:
+                        continue
+                    u, v = np.frombuffer(held[a], np.uint64), np.frombuffer(held[b], np.uint64)
+                    same = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+                    if same * 100 >= (len(u) + len(v) - same) * p.percent:
+                        links.append((int(ids[a]), int(ids[b])))
+                        into, gone = root[comp[a]], root[comp[b]]
+                        merged.parent[int(gone)] = int(into)
+                        root[root == gone] = into
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
     def run(batches):
-        held, size = [], 0
+        merged, held = _Merged(), []
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            size += batch.num_rows
-            if size < 30_000:
+            if sum(b.nbytes for b in held) < 32 << 20:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
-            last = [t.column(c)[size - 1].as_py() for c in ("key", "mb", "qb")]
-            open_rows = np.ones(size, bool)
-            for c, x in zip(("key", "mb", "qb"), last, strict=True):
-                open_rows &= t.column(c).to_numpy() == x
+            open_rows = np.ones(len(t), bool)
+            for c in ("key", "mb", "qb"):
+                open_rows &= t.column(c).to_numpy() == t.column(c)[len(t) - 1].as_py()
             whole = int(np.argmax(open_rows))
             if whole:
-                yield from compare(t.slice(0, whole))
+                yield from compare(t.slice(0, whole), merged)
             held = t.slice(whole).to_batches()
-            size -= whole
         if held:
-            yield from compare(pa.Table.from_batches(held).combine_chunks())
+            yield from compare(pa.Table.from_batches(held).combine_chunks(), merged)
 
-    return dealt.mapInArrow(run, "x long, y long, equal long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _ends(x: str, y: str) -> list:
@@ -320,7 +351,8 @@ def near_components(keyed: DataFrame, texts: DataFrame, p: NearParams, units: Un
     starred = cut(merge_join(bucket, hubs, "key").select("key", "id", F.bitwise_not("h.i").alias("hub"), F.col("h.w").alias("w"), "m"))
     drop(bucket)
     nodes = starred.select("id").distinct()
-    sets = cut(shingle_sets(texts, p, bit_set(nodes, "id", p.bits), units))
+    # tasks give the set of one node each
+    sets = cut(shingle_sets(texts, p, bit_set(nodes, "id", p.bits), units).dropDuplicates(["id", "n", "sig"]))
     comp = cut(nodes.select("id", F.col("id").alias("comp")))
     tested: list[DataFrame] = []
 
@@ -339,21 +371,15 @@ def near_components(keyed: DataFrame, texts: DataFrame, p: NearParams, units: Un
     comp = test(apart(comp).where("comp <> hub_comp").select(*_ends("id", "hub")).distinct(), comp)
     overlap = tested[0].union(tested[1]).select("a", "b", "common").distinct()
     overlap = overlap.select(F.col("a").alias("id"), F.col("b").alias("hub"), "common").union(overlap.select(F.col("b").alias("id"), F.col("a").alias("hub"), "common"))
-    for most in (p.first, None):
-        # a bucket of two is its hub's test
-        told = apart(comp).where("m > 2")
-        split = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        rows = told.join(split.hint("merge"), "key", "left_semi").join(overlap.hint("merge"), ["id", "hub"], "left")
-        rows = cut(merge_join(rows, sets.select("id", "n", "sig"), "id").withColumn("common", F.when(F.col("id") == F.col("hub"), F.col("n")).otherwise(F.col("common"))))
-        if rows.isEmpty():
-            drop(rows)
-            break
-        rest = _residual(rows.select("key", "id", "n", "sig", "comp", "hub_comp", "common"), p, most)
-        if most:
-            likely = rest.groupBy("x").agg(F.slice(F.sort_array(F.collect_set(F.struct("equal", "y")), asc=False), 1, most).alias("s"))
-            rest = likely.select("x", F.explode("s.y").alias("y"))
-        comp = test(rest.select(*_ends("x", "y")).distinct(), comp)
-        drop(rows)
+    # a bucket of two is its hub's test
+    told = apart(comp).where("m > 2")
+    split = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    told = told.join(split.hint("merge"), "key", "left_semi").join(overlap.hint("merge"), ["id", "hub"], "left")
+    rows = merge_join(told, sets.select("id", "n"), "id").withColumn("common", F.when(F.col("id") == F.col("hub"), F.col("n")).otherwise(F.col("common")))
+    rows = cut(rows.select("key", "id", "n", "comp", "hub_comp", "common"))
+    every = rows.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    comp = _joined(comp, _residual(merge_join(rows, every, "id"), sets, p))
+    drop(rows)
     drop(starred, sets, *tested)
     return comp
 
