@@ -1,9 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes. DataFrame functions only.
 
 A run is a Parquet table of (h1, h2, n_docs, last_doc), sorted by hash within hash partitions. Each new
-batch of documents is aggregated to its distinct line hashes, anti-joined with the runs (what is left
-was never seen) and added as a run of level 0. When a level holds `fanout` runs they are merged into one
-run of the next level, so a look-up reads a number of runs that grows with the logarithm of the batches.
+batch of documents is aggregated to its distinct line hashes and merge-joined with the runs: hashes that
+no run holds become a run of level 0, the others are noted as repeats. When a level holds `fanout` runs
+they are merged into one run of the next level, so a look-up reads a number of runs that grows with the
+logarithm of the batches. Only repeats are ever counted again.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.frames import cut, drop
+from factloom.llm.frames import cut, drop, merge_join
 
 #: The white space stripped from both ends of a line: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -31,32 +32,49 @@ def _hashes(key: Column) -> tuple[Column, Column]:
 
 
 class LineRuns:
-    """The state of an incremental line deduplication: sorted runs in levels."""
+    """The state of an incremental line deduplication: sorted runs in levels, and what repeated since.
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
+    Every hash has its row in the one run of the batch that brought it, or in a run compacted from that;
+    what later batches say of it is kept beside the runs.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[DataFrame]] = []
+        self.repeats: list[DataFrame] = []
+        self.stale: list[DataFrame] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
     def merged(self) -> DataFrame | None:
-        """All runs as one table with a row for each line hash; None before the first batch."""
+        """(h1, h2, n_docs, last_doc) of every line hash; None before the first batch."""
         runs = self.runs()
-        return _merge(runs) if runs else None
+        if not runs:
+            return None
+        home = reduce(DataFrame.union, runs)
+        if not self.repeats:
+            return home
+        more = reduce(DataFrame.union, self.repeats).groupBy("h1", "h2").agg(F.sum("n_docs").alias("more"), F.max("last_doc").alias("later"))
+        return merge_join(home, more, ["h1", "h2"], "left").select("h1", "h2", (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "later").alias("last_doc"))
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Add a batch of (doc_id, h1, h2) rows of documents not added before; return its new line hashes."""
+        """Add a batch of (doc_id, h1, h2) rows of documents not added before; return its new line hashes,
+        to be read before the next batch is added."""
+        drop(*self.stale)
+        self.stale = []
         own = lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
         runs = self.runs()
         if runs:
-            seen = reduce(DataFrame.union, [r.select("h1", "h2") for r in runs]).withColumn("old", F.lit(True)).distinct()
-            own = own.hint("merge").join(seen, ["h1", "h2"], "left").withColumn("fresh", F.col("old").isNull()).drop("old")
+            own = cut(own)
+            seen = reduce(DataFrame.union, [r.select("h1", "h2") for r in runs])
+            self.repeats.append(cut(own.join(seen.hint("merge"), ["h1", "h2"], "left_semi")))
+            fresh = _sorted(own.join(seen.hint("merge"), ["h1", "h2"], "left_anti"))
+            drop(own)
         else:
-            own = own.withColumn("fresh", F.lit(True))
-        run = cut(own.repartition("h1").sortWithinPartitions("h1", "h2"))
-        self._put(0, run)
-        return run.where("fresh").drop("fresh")
+            fresh = _sorted(own)
+        self._put(0, fresh)
+        return fresh
 
     def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
@@ -64,19 +82,21 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._put(level + 1, cut(_merge(full).withColumn("fresh", F.lit(False)).repartition("h1").sortWithinPartitions("h1", "h2")))
-            # a lazily returned batch may still read its run of level 0
-            if level:
-                drop(*full)
+            self._put(level + 1, _sorted(reduce(DataFrame.union, full)))
+            self.stale += full
+
+    def close(self) -> None:
+        """Delete all tables of the state."""
+        drop(*self.runs(), *self.repeats, *self.stale)
 
 
-def _merge(runs: list[DataFrame]) -> DataFrame:
-    every = reduce(DataFrame.union, [r.select("h1", "h2", "n_docs", "last_doc") for r in runs])
-    return every.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+def _sorted(run: DataFrame) -> DataFrame:
+    """A run as it is kept: no hash stands in two runs, so runs are compacted by sorting alone."""
+    return cut(run.repartition("h1").sortWithinPartitions("h1", "h2"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
-    """The documents with repeated lines taken out: all columns, and n_lines, n_dropped beside them.
+    """The documents with repeated lines taken out: all columns, and n_lines, n_dropped behind them.
 
     A line whose key has at least `min_chars` code points and is found in at least `min_docs` documents
     is dropped everywhere but in the largest id that holds it, where all its copies stay. A null text
@@ -94,20 +114,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         state.add(keyed.where(F.col("batch") == b).drop("batch"))
     common = state.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
     gone = keyed.join(common, ["h1", "h2"]).where("doc_id <> last_doc")
-    gone = cut(gone.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone")).withColumnRenamed("doc_id", "_doc"))
-    drop(keyed, *state.runs())
-    # the texts are dealt by id at every size, so cost follows the input
-    joined = docs.drop("n_lines", "n_dropped", "_gone", "_doc").join(gone.hint("merge"), F.col(id_col) == F.col("_doc"), "left").drop("_doc")
-    lines = F.split(text, "\n", -1)
+    gone = cut(gone.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone")))
+    drop(keyed)
+    state.close()
+    # the rows go along as one struct, so that no column of theirs can clash; they are dealt by id at every
+    # size, so cost follows the input
+    rest = docs.drop("n_lines", "n_dropped", text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*(rest[c] for c in rest.columns), F.lit(True).alias("held by the operator")).alias("row"))
+    joined = merge_join(rows, gone, "doc_id", "left").select("row", "text", "gone", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1).alias("lines"))
 
     def stays(line: Column) -> Column:
         key = line_key(line)
-        return ~((F.char_length(key) >= min_chars) & F.array_contains(F.col("_gone"), F.struct(*_hashes(key))))
+        return ~((F.char_length(key) >= min_chars) & F.array_contains(F.col("gone"), F.struct(*_hashes(key))))
 
-    kept = F.when(F.col("_gone").isNotNull(), F.filter(lines, stays))
-    out = joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn("_kept", kept)
-    out = out.withColumn("n_dropped", F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - F.size("_kept")))
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))).drop("_gone", "_kept")
+    out = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), F.filter("lines", stays)))
+    new_text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    n_dropped = F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise((F.size("lines") - F.size("kept")).cast("long"))
+    kept_columns = [new_text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*kept_columns, F.size("lines").cast("long").alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ are a few exact look-ups beside it.
 from __future__ import annotations
 
 import base64
+import json
+import re
 from collections import deque
 from dataclasses import dataclass
 from functools import lru_cache
@@ -58,33 +60,48 @@ def _encoding(ranks_path: str | None):
 
     with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    added = {}
+    if ranks_path is None:
+        with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+            added = {t["content"].encode(): t["id"] for t in json.load(f)["added_tokens"]}
     encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    size = max(ranks.values()) + 1
+    size = max([*ranks.values(), *added.values()]) + 1
     lengths, ends, opens = np.zeros(size, np.int64), np.zeros(size, bool), np.zeros(size, bool)
     for token, rank in ranks.items():
         lengths[rank] = len(token)
         ends[rank] = token.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?") or token.endswith(b"\n")
         opens[rank] = token[:1].isspace()
-    return encoding, lengths, ends, opens
+    return encoding, lengths, ends, opens, added
 
 
 def token_ids(data: np.ndarray, offs: np.ndarray, ranks_path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of a block of documents and their n+1 offsets.
 
     No pre-token crosses the place before a blank that a visible character follows. Texts are split
-    there, each distinct part of the block is encoded once, and the ids are gathered back.
+    there, each distinct part of the block is encoded once, and the ids are gathered back. Added tokens
+    of the vocabulary stand for themselves wherever they are written, and text ends before them.
     """
     if not len(data):
         return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-    encoding, lengths, _, _ = _encoding(ranks_path)
+    encoding, lengths, _, _, added = _encoding(ranks_path)
     cut = np.zeros(len(data), bool)
     cut[:-1] = (data[:-1] == 0x20) & _OPENS[data[1:]]
+    raw = data.tobytes()
+    special = {m.start(): m.end() for m in re.finditer(b"|".join(map(re.escape, sorted(added, key=len, reverse=True))), raw)} if added else {}
+    # not over the end of a document
+    special = {a: b for a, b in special.items() if offs[np.searchsorted(offs, a, "right")] >= b}
+    for a in special:
+        cut[max(a - 1, 0)] = False
     joined = cut.copy()
     cut[offs[:-1][offs[1:] > offs[:-1]]] = True
+    for a, b in special.items():
+        cut[a + 1 : b], joined[a + 1 : b] = False, False
+        cut[a] = True
+        cut[min(b, len(data) - 1)] |= b < len(data)
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], len(data))
     _, first, which = np.unique(arrays.range_hash(arrays.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
-    raw, plain = data.tobytes(), joined[starts[first]]
+    plain = joined[starts[first]]
     begin, n = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
     pool, size = [], 0
     s, e = starts[first], ends[first]
@@ -99,6 +116,11 @@ def token_ids(data: np.ndarray, offs: np.ndarray, ranks_path: str | None = None)
         begin[together] = np.append(0, last[:-1] + 1)[: len(together)]
         pool, size = [ids], len(ids)
     rest = np.setdiff1d(np.arange(len(first)), together)
+    for i in [i for i in rest.tolist() if s[i] in special]:
+        begin[i], n[i] = size, 1
+        pool.append(np.array([added[raw[s[i] : e[i]]]], np.uint32))
+        size += 1
+    rest = np.array([i for i in rest.tolist() if s[i] not in special], np.int64)
     for i, own in zip(rest, encoding.encode_ordinary_batch([raw[a:b].decode() for a, b in zip(s[rest].tolist(), e[rest].tolist(), strict=True)], num_threads=1), strict=True):
         begin[i], n[i] = size, len(own)
         pool.append(np.array(own, np.uint32))
@@ -112,7 +134,7 @@ def token_ids(data: np.ndarray, offs: np.ndarray, ranks_path: str | None = None)
 
 def cut_points(ids: np.ndarray, offs: np.ndarray, p: PackParams) -> tuple[np.ndarray, np.ndarray]:
     """Places where a window may end, and what a cut there costs. `offs` ends documents."""
-    _, _, ends, opens = _encoding(p.ranks_path)
+    _, _, ends, opens, _ = _encoding(p.ranks_path)
     after = np.flatnonzero(ends[ids[:-1]] & opens[ids[1:]]) + 1 if len(ids) > 1 else np.zeros(0, np.int64)
     soft = np.union1d(after, offs[1:][offs[1:] > 0])
     gaps = np.diff(soft, prepend=0)

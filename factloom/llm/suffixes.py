@@ -14,15 +14,16 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import arrays
-from factloom.llm.frames import cut, drop, small_batches
+from factloom.llm.frames import ALONE, LEADS, TOLD, cut, drop, merge_join, shared, small_batches
 
 U64 = np.uint64
 
@@ -165,7 +166,10 @@ def _anchor_rows(docs: DataFrame, p: RepeatParams) -> DataFrame:
 
 
 def _written(affected: DataFrame, p: RepeatParams) -> DataFrame:
-    """(key, reach, left, right, text_key, place): occurrences as strings around their common middle."""
+    """(key, reach, left, right, text_key, place, state): occurrences as strings around their common middle.
+
+    Of those that a batch holds more than once one leads the others, which are told already to be repeated.
+    """
     wide = p.length - p.gram
 
     def run(batches):
@@ -187,10 +191,16 @@ def _written(affected: DataFrame, p: RepeatParams) -> DataFrame:
                         code = int.from_bytes(hashlib.blake2b(middle, digest_size=8, key=(spot["anchor"] & 2**64 - 1).to_bytes(8, "little") + bytes([a // p.fine, b - a])).digest(), "little", signed=True)
                         out.append((code, b - a, raw[at - y : at - a], raw[at - b + p.length : at - x + p.length], key, at - a))
             if out:
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "reach", "left", "right", "text_key", "place"])
+                times = Counter(row[:4] for row in out)
+                led: set[tuple] = set()
+                for i, row in enumerate(out):
+                    context = row[:4]
+                    out[i] = (*row, ALONE if times[context] == 1 else TOLD if context in led else LEADS)
+                    led.add(context)
+                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int8()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "reach", "left", "right", "text_key", "place", "state"])
 
-    return affected.mapInArrow(run, "key long, reach int, left binary, right binary, text_key long, place long")
+    return affected.mapInArrow(run, "key long, reach int, left binary, right binary, text_key long, place long, state byte")
 
 
 def _equal_windows(contexts: list[tuple[int, int, bytes, bytes]]) -> list[np.ndarray]:
@@ -220,6 +230,14 @@ def _equal_windows(contexts: list[tuple[int, int, bytes, bytes]]) -> list[np.nda
     s = begins[owner[chosen]] + offset[chosen]
     window = arrays.mix((value[s + reach[owner[chosen]] + 1] - value[s]) * power[1][s])
     same = window[1:] == window[:-1]
+    # equal hashes only propose: the symbols decide
+    same &= reach[owner[chosen[1:]]] == reach[owner[chosen[:-1]]]
+    for r in np.unique(reach[owner[chosen[1:][same]]]).tolist() if same.any() else []:
+        view = np.lib.stride_tricks.sliding_window_view(text, r + 1)
+        spots = np.flatnonzero(same & (reach[owner[chosen[1:]]] == r))
+        for lo in range(0, len(spots), 20_000):
+            some = spots[lo : lo + 20_000]
+            same[some] = (view[s[some]] == view[s[some + 1]]).all(1)
     covered = np.zeros(len(owner), bool)
     covered[chosen[1:][same]] = True
     covered[chosen[:-1][same]] = True
@@ -264,8 +282,11 @@ def _covered(written: DataFrame, p: RepeatParams) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for key, reach, left, right, text_key, place in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for key, reach, left, right, text_key, place, state in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 context = (key, reach, left, right)
+                if state == TOLD:
+                    rows.append(whole((context, text_key, place)))
+                    continue
                 if held and held[-1][0] == context:
                     if not held[-1][3]:
                         rows.append(whole(held[-1]))
@@ -274,14 +295,18 @@ def _covered(written: DataFrame, p: RepeatParams) -> DataFrame:
                     continue
                 if size > p.symbols and held[-1][0][0] != key:
                     rows += close(True)
-                held.append((context, text_key, place, False))
+                held.append((context, text_key, place, state == LEADS))
+                if state == LEADS:
+                    rows.append(whole(held[-1]))
                 size += len(left) + len(right) + 2
             if rows:
                 yield table(rows)
         if held and (rows := close(True)):
             yield table(rows)
 
-    dealt = written.repartition("key").sortWithinPartitions("key", "reach", "left", "right")
+    # what is told needs no neighbour, so copies of one passage don't gather in its task
+    place = F.when(F.col("state") == TOLD, F.xxhash64("text_key", "place")).otherwise(F.col("key"))
+    dealt = written.repartition(place).sortWithinPartitions("key", "reach", "left", "right")
     return dealt.mapInArrow(run, "text_key long, start long, end long")
 
 
@@ -323,15 +348,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("text_key", F.xxhash64("text", F.octet_length("text")))
     long_texts = base.where(F.octet_length("text") >= p.length)
-    found = _anchor_rows(long_texts, p).withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
-    spots = found.select("text_key", F.struct("anchor", "loc", (F.col("n") > p.hot).alias("hot")).alias("s"))
+    found = cut(shared(_anchor_rows(long_texts, p).withColumn("row", F.monotonically_increasing_id()), "anchor", "row").drop("row"))
+    hot = found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > p.hot)
+    spots = merge_join(found, hot, "anchor", "left").select("text_key", F.struct("anchor", "loc", F.col("n").isNotNull().alias("hot")).alias("s"))
     # copies of a text give each spot as often; the text itself comes that often too
     spots = spots.groupBy("text_key").agg(F.collect_set("s").alias("spots"))
     affected = cut(long_texts.select("text_key", "text").join(spots, "text_key"))
     spans = _covered(_written(affected, p), p).groupBy("text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     texts = affected.select("text_key", "text").dropDuplicates(["text_key"])
     done = cut(_cut_out(texts.join(spans, "text_key")))
-    drop(affected)
+    drop(affected, found)
     out = base.select("doc_id", "text_key", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     out = out.select("doc_id", "text_key", "n_bytes", F.sha2("text", 256).alias("whole_sha256"))
     out = out.join(done, "text_key", "left")
@@ -341,4 +367,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Bytes of all documents covered by 400-byte strings that start more than once."""
     out = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce(F.sha2("kept", 256), F.col("whole_sha256")).alias("kept_sha256"))
+    kept = F.coalesce(F.sha2("kept", 256), F.col("whole_sha256")).alias("kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", kept, (F.col("n_removed") > 0).alias("repeats"))

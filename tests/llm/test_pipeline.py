@@ -1,6 +1,7 @@
 """The pipeline on the smallest tables, stage by stage, against plain Python."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +42,29 @@ def test_stages(spark):
 def shingles(text):
     w = text.encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def test_odd_rows_and_clashing_names(spark):
+    """Every stage keeps all columns as they are, whatever their names, and takes repeated rows and missing ids."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    names = ["_kept", "_gone", "_doc", "score", "lang_pred", "rejected", "row", "at", "id", "component", "n_lines", "n_dropped", "gone", "lines", "key", "comp", "held by the operator"]
+    rows = docs
+    for c in names:
+        rows = rows.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    rows = rows.union(rows.where("doc_id = 5")).union(rows.where("doc_id IN (5, 6)").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = corpus_pipeline.cut(rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.cut(stage(spark, rows, SF))
+        assert out.columns == rows.columns
+        assert out.where(" OR ".join(f"`{c}` <> concat('{c}', doc_id)" for c in names)).count() == 0
+        if name == "near_dedup":
+            assert out.where("doc_id IS NULL").count() == 0 and out.where("doc_id = 5").count() == 1
+        rows = out
+    assert corpus_pipeline.pack(spark, rows, SF).count()
+
+
+def test_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.cut(stage(spark, docs, SF))
+        assert docs.count() == 0
