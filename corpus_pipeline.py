@@ -11,29 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import decontamination, languages, lines, near, packing
-from factloom.llm.frames import cut
+from factloom.llm.frames import cut, merge_join
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language the model accepts; it learns from two thirds of the labels."""
     labelled = docs.where(~languages.held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    found = languages.identify(docs, languages.train_languages(labelled))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"])
+    found = languages.identify(rows, languages.train_languages(labelled))
+    return found.where(~F.col("rejected")).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop repeated long lines; every document stays, its text and length are those of the kept lines."""
-    out = lines.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    out = lines.dedup_lines(rows)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each near-duplicate group (5-word shingles, 0.8)."""
-    groups = near.near_groups(docs)
-    gone = groups.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each near-duplicate group (5-word shingles, 0.8): that of the least id, a row with an
+    id before one without. Rows are told apart by themselves, so repeated rows and rows that share an id or
+    have none are judged like any other; rows without a word stay."""
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*(docs[c] for c in docs.columns)).alias("row")))
+    groups = near.near_groups(rows.select("at", "row.text"), "at")
+    told = merge_join(groups.select(F.col("id").alias("at"), "component"), rows.select("at", "row.doc_id"), "at")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
+    kept = told.groupBy("component").agg(F.min(order).alias("first")).select("first.at")
+    return merge_join(rows, kept, "at", "left_semi").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
