@@ -60,12 +60,21 @@ def merge_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str
     return left.join(right.hint("merge"), on, how)
 
 
+def _low(values: np.ndarray, bits: int) -> np.ndarray:
+    """The low bits of a hash, so that ids which differ in their high bits only stand apart too."""
+    return arrays.mix(values) & np.uint64((1 << bits) - 1)
+
+
 def bit_set(rows: DataFrame, col: str, bits: int) -> np.ndarray:
-    """One bit for each value of the low `bits` bits of a long column: a set of fixed size that may hold
-    more values than the column, but none less."""
-    low = F.col(col).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    one = F.expr(f"shiftleft(1L, CAST(`{col}` & 63 AS INT))")
-    words = rows.select(F.shiftright(low, 6).alias("at"), one.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    """One bit for each hashed value of a long column: a set of fixed size that may hold more values than
+    the column, but none less."""
+
+    def run(batches):
+        for batch in batches:
+            low = np.unique(_low(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((low >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (low & np.uint64(63))).view(np.int64))], ["at", "bit"])
+
+    words = rows.select(col).mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << bits - 6, np.uint64)
     out[words["at"].to_numpy()] = words["bit"].to_numpy().view(np.uint64)
     return out
@@ -75,7 +84,7 @@ def maybe(values: np.ndarray, found: np.ndarray | None) -> np.ndarray:
     """Whether each unsigned value may be in the bit set; without one all are."""
     if found is None:
         return np.ones(len(values), bool)
-    low = values & np.uint64(64 * len(found) - 1)
+    low = _low(values, (64 * len(found)).bit_length() - 1)
     return (found[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
