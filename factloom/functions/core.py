@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -178,3 +180,38 @@ def safe_relative_path(path: str | Column) -> Column:
 
 def feature_statement(name: Column, coverage: Column) -> Column:
     return F.format_string("%s covers %.1f%% of the feature taxonomy.", name, coverage * 100)
+
+
+def json_pointer(doc: Column, pointer: str) -> Column:
+    """The value at an RFC 6901 pointer of a JSON text, as a variant; null where it does not resolve.
+
+    Strict: array indexes have no leading zero, `-` is none, nothing is found below a scalar. A pointer
+    without its leading slash or with a `~` before anything but 0 and 1 is an error of the caller.
+    """
+    if not pointer.startswith("/") or re.search("~(?![01])", pointer):
+        raise ValueError(f"not a JSON pointer: {pointer!r}")
+    found = F.try_parse_json(doc)
+    for raw in pointer[1:].split("/"):
+        token = raw.replace("~1", "/").replace("~0", "~")
+        quote = "'" if "'" not in token else '"'
+        if quote in token:  # no variant path can name it
+            named = F.from_json(F.to_json(found), "map<string, variant>")[token]
+        else:
+            named = F.try_variant_get(found, f"$[{quote}{token}{quote}]", "variant")
+        found = F.coalesce(F.try_variant_get(found, f"$[{token}]", "variant"), named) if re.fullmatch("0|[1-9][0-9]*", token) else named
+    return found
+
+
+def input_fingerprint(skill_ref: Column, input_refs: Column, profile_ref: Column, contract_ref: Column, config: Column, permissions: dict[str, Column], budget: dict[str, Column]) -> Column:
+    """Canonical hash of what an attempt runs on. References and write paths are sets; `config` is a struct
+    with its names in order and keeps the order of its lists."""
+    fields = {
+        "budget": F.struct(*(budget[k].alias(k) for k in ("cost_limit", "max_sources", "timeout_minutes", "token_limit"))),
+        "input_artifact_refs": F.array_sort(F.array_distinct(input_refs)),
+        "permissions": F.struct(permissions["external_access"].alias("external_access"), permissions["secrets"].alias("secrets"), F.array_sort(F.array_distinct(permissions["workspace_write_paths"])).alias("workspace_write_paths")),
+        "profile_ref": profile_ref,
+        "relevant_config": config,
+        "research_contract_ref": contract_ref,
+        "skill_ref": skill_ref,
+    }
+    return canonical_value_hash(**fields)

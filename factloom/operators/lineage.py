@@ -23,6 +23,8 @@ def downstream_impact(edges: DataFrame, roots: DataFrame, include_roots: bool =
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
+    else:
+        raise RuntimeError(f"the closure is not complete after {most} rounds")
     return seen if include_roots else seen.join(roots.select("node"), "node", "left_anti")
 
 
@@ -37,6 +39,8 @@ def cycle_nodes(edges: DataFrame, most: int = 10_000) -> DataFrame:
         if left == n or not left:
             break
         n = left
+    else:
+        raise RuntimeError(f"nodes are still peeled off after {most} rounds")
     return links.select("node").distinct()
 
 

@@ -20,6 +20,39 @@ TRANSITIONS = {
     "VERIFIED": ("INVALIDATED",),
     "INVALIDATED": ("PENDING",),
 }
+HUMAN_GATE = {
+    "PENDING": ("READY", "SKIPPED", "BLOCKED", "INVALIDATED"),
+    "READY": ("WAITING_FOR_USER", "SKIPPED", "BLOCKED", "INVALIDATED"),
+    "WAITING_FOR_USER": ("APPROVED", "BLOCKED", "INVALIDATED"),
+    "APPROVED": ("INVALIDATED",),
+    "INVALIDATED": ("PENDING",),
+}
+EXTERNAL_INPUT = {
+    "PENDING": ("READY", "SKIPPED", "BLOCKED", "INVALIDATED"),
+    "READY": ("WAITING_FOR_EXTERNAL", "SKIPPED", "BLOCKED", "INVALIDATED"),
+    "WAITING_FOR_EXTERNAL": ("COMPLETED", "FAILED", "BLOCKED", "INVALIDATED"),
+    "COMPLETED": ("VERIFYING", "INVALIDATED"),
+    "VERIFYING": ("VERIFIED", "FAILED", "BLOCKED", "INVALIDATED"),
+    "FAILED": ("RETRY_READY", "BLOCKED", "INVALIDATED"),
+    "RETRY_READY": ("WAITING_FOR_EXTERNAL", "INVALIDATED"),
+    "VERIFIED": ("INVALIDATED",),
+    "INVALIDATED": ("PENDING",),
+}
+WORKFLOW = {
+    "CREATED": ("RUNNING", "PAUSED", "CANCELLED", "FAILED"),
+    "RUNNING": ("WAITING_FOR_USER", "WAITING_FOR_EXTERNAL", "PAUSED", "COMPLETED", "CANCELLED", "FAILED"),
+    "WAITING_FOR_USER": ("RUNNING", "PAUSED", "CANCELLED", "FAILED"),
+    "WAITING_FOR_EXTERNAL": ("RUNNING", "PAUSED", "CANCELLED", "FAILED"),
+    "PAUSED": ("RUNNING", "CANCELLED", "FAILED"),
+}
+ATTEMPT = {
+    "RUNNING": ("WAITING_FOR_USER", "WAITING_FOR_EXTERNAL", "COMPLETED", "FAILED", "INVALIDATED"),
+    "WAITING_FOR_USER": ("RUNNING", "FAILED", "INVALIDATED"),
+    "WAITING_FOR_EXTERNAL": ("RUNNING", "FAILED", "INVALIDATED"),
+}
+# moves beside those of an executable node: of every one, and of an interactive one
+WAITING = {"RUNNING": ("WAITING_FOR_EXTERNAL",), "WAITING_FOR_EXTERNAL": ("RUNNING", "FAILED", "BLOCKED", "INVALIDATED")}
+ASKING = {"RUNNING": ("WAITING_FOR_USER",), "WAITING_FOR_USER": ("RUNNING", "FAILED", "BLOCKED")}
 EVENT_FIELDS = [
     "event", "ts", "state_version", "run_id", "node", "attempt", "question_id", "method", "round", "target_unknown_id", "reason",
     "source_contract_version", "ref_type", "content_hash", "matrix_rule", "artifact", "decision_id", "adapter_type", "operation",
@@ -27,6 +60,21 @@ EVENT_FIELDS = [
 MOST_CHARS = 256
 
 
+def _with(moves: dict, more: dict) -> dict:
+    return moves | {a: (*moves.get(a, ()), *bs) for a, bs in more.items()}
+
+
+#: Allowed moves by the kind of what has the status.
+MOVES = {
+    "executable": _with(TRANSITIONS, WAITING),
+    "interactive": _with(_with(TRANSITIONS, WAITING), ASKING),
+    "human_gate": HUMAN_GATE,
+    "external_input": EXTERNAL_INPUT,
+    "workflow": WORKFLOW,
+    "attempt": ATTEMPT,
+}
+
+
 def read_artifacts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """JSON documents under a fixed schema; unreadable ones keep their text in _corrupt_record."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
@@ -109,11 +157,17 @@ def event_field_bounds(events: DataFrame, key: Column) -> DataFrame:
     return report(bad, "event_fields", F.col("v.code"), F.col("k"), F.col("v.f"))
 
 
-def illegal_transitions(log: DataFrame, by: list[str], order: str, allowed: dict = TRANSITIONS) -> DataFrame:
-    """Status changes that the table of moves does not have; a first status is free, a repeat is no change."""
-    table = log.sparkSession.createDataFrame([(a, b) for a, bs in allowed.items() for b in bs], "before string, status string")
-    told = log.withColumn("before", F.lag("status").over(Window.partitionBy(*by).orderBy(order))).where("before IS NOT NULL AND before <> status")
-    bad = told.join(F.broadcast(table), ["before", "status"], "left_anti")
+def illegal_transitions(log: DataFrame, by: list[str], order: str, allowed: dict = TRANSITIONS, kind: str | None = None) -> DataFrame:
+    """Status changes that the table of moves does not have; a first status is free, a repeat is no change.
+
+    With `kind`, a column of the log, `allowed` holds a table of moves for each kind (see MOVES); a kind
+    without one has no moves.
+    """
+    tables = allowed if kind else {"": allowed}
+    # a table of fixed size
+    table = log.sparkSession.createDataFrame([(k, a, b) for k, moves in tables.items() for a, bs in moves.items() for b in bs], "_kind string, before string, status string")
+    told = log.withColumn("_kind", F.col(kind) if kind else F.lit("")).withColumn("before", F.lag("status").over(Window.partitionBy(*by).orderBy(order))).where("before IS NOT NULL AND before <> status")
+    bad = told.join(F.broadcast(table), ["_kind", "before", "status"], "left_anti")
     return report(bad, "transition", "ILLEGAL", F.concat_ws("/", *(F.col(c).cast("string") for c in (*by, order))), F.concat_ws(">", "before", "status"))
 
 

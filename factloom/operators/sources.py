@@ -110,17 +110,25 @@ def evidence_sufficiency(candidates: DataFrame, links: DataFrame, sources: DataF
 
 
 def append_immutable(target: DataFrame, batch: DataFrame, key: str, content: Column) -> tuple[DataFrame, DataFrame]:
-    """New rows to append, and a violation for each key that comes again with other content."""
-    known = target.select(F.col(key), content.alias("_old")).dropDuplicates([key])
-    told = batch.withColumn("_new", content).join(known, key, "left")
-    fresh = told.where(F.col("_old").isNull()).drop("_old", "_new")
-    return fresh, report(told.where(F.col("_old") != F.col("_new")), "immutable_append", "CONFLICT", F.col(key))
+    """One new row for each key to append, and a violation for each key that comes again with other content.
+
+    A key that stands in the batch with two contents is a conflict too, and none of its rows is appended.
+    A null content is one content; rows without a key are left out.
+    """
+    told = batch.where(F.col(key).isNotNull())
+    known = target.select(F.col(key), F.struct(content.alias("v")).alias("_old")).dropDuplicates([key])
+    own = told.groupBy(key).agg(F.min(F.struct(content.alias("v"))).alias("_lo"), F.max(F.struct(content.alias("v"))).alias("_hi"))
+    own = own.join(known, key, "left").withColumn("_conflict", ~F.col("_lo").eqNullSafe(F.col("_hi")) | (F.col("_old").isNotNull() & ~F.col("_lo").eqNullSafe(F.col("_old"))))
+    fresh = told.join(own.where(F.col("_old").isNull() & ~F.col("_conflict")).select(key), key, "left_semi").dropDuplicates([key])
+    return fresh, report(own.where("_conflict"), "immutable_append", "CONFLICT", F.col(key))
 
 
 def catalog_lookup(keys: DataFrame, catalog: DataFrame, key: str = "key") -> DataFrame:
-    """The catalog's value of each key, or that of `*`."""
-    default = catalog.where(F.col(key) == "*").select(F.col("value").alias("_any"))
-    return keys.join(catalog, key, "left").join(F.broadcast(default.limit(1)), how="left").select(key, F.coalesce("value", "_any").alias("value"))
+    """The catalog's value of each key, or that of `*` (the least one if there are several)."""
+    told = catalog.where(F.col(key) != "*")
+    # one row
+    default = catalog.where(F.col(key) == "*").agg(F.min("value").alias("_any"))
+    return keys.join(told, key, "left").join(F.broadcast(default)).select(key, F.coalesce("value", "_any").alias("value"))
 
 
 def claim_status(evidence: DataFrame, sources: DataFrame) -> DataFrame:

@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write a frame below spark.checkpoint.dir (a temporary folder only where that is unset) and read it back."""
+    """Write a frame below spark.checkpoint.dir and read it back. Where that is unset a local master gets a
+    temporary folder; on a cluster executors share none, so there it is an error."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/round-{uuid.uuid4().hex}"

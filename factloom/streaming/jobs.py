@@ -49,7 +49,7 @@ def stream_provenance_append(stream: DataFrame, table: str, checkpoint: str, key
 
     def append(df: DataFrame, batch: int) -> None:
         known = _before(df.sparkSession, table, batch, schema)
-        fresh, conflicts = sources.append_immutable(known, df.dropDuplicates([key]), key, content)
+        fresh, conflicts = sources.append_immutable(known, df, key, content)
         conflicts.write.mode("overwrite").parquet(f"{table}_conflicts/v={batch}")
         fresh.withColumn("batch_id", F.lit(batch)).write.mode("overwrite").parquet(f"{table}/v={batch}")
 

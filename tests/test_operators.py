@@ -96,10 +96,35 @@ def test_source_stream_equals_batch(spark, tmp_path):
 
 
 def test_append_stream_reports_conflicts(spark, tmp_path):
-    stream = _stream(spark, [("a", "1"), ("b", "1"), ("c", "1"), ("d", "1")], "id string, body string", str(tmp_path / "in"))
-    jobs.stream_provenance_append(stream, str(tmp_path / "t"), str(tmp_path / "cp"), "id", F.col("body")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
-    assert spark.read.parquet(str(tmp_path / "t_conflicts")).count() == 0
+    """Conflicts inside one micro-batch and across two; repeats are no conflict."""
+    schema = "id string, body string"
+    for n, rows in enumerate(([("a", "1"), ("a", "2"), ("b", "1"), ("b", "1")], [("b", "1"), ("b", "9"), ("c", "1"), ("d", None)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.stream_provenance_append(stream, str(tmp_path / "t"), str(tmp_path / "cp"), "id", F.col("body")).awaitTermination()
+        bad = {(r.key, r.v) for r in spark.read.parquet(str(tmp_path / "t_conflicts")).select("key", "v").collect()}
+        assert bad == ({("a", 0)} if n == 0 else {("a", 0), ("b", 1)})
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["b", "c", "d"]
+
+
+def test_append_immutable(spark):
+    schema = "id string, body string"
+    target = spark.createDataFrame([("a", "1"), ("n", None)], schema)
+    batch = spark.createDataFrame([("a", "1"), ("x", "1"), ("x", "2"), ("y", "3"), ("y", "3"), ("n", None), ("z", None), ("z", "1"), (None, "1")], schema)
+    fresh, bad = sources.append_immutable(target, batch, "id", F.col("body"))
+    assert [(r.id, r.body) for r in fresh.collect()] == [("y", "3")]
+    assert sorted(r.key for r in bad.collect()) == ["x", "z"]
+
+
+def test_json_pointer(spark):
+    doc = '{"a/b": [1, {"0": "x"}], "": {"~": null}, "q\'s": "{\\"k\\": 1}", "12": true, "\'\\"": 7}'
+    pointers = {"/a~1b/0": "1", "/a~1b/1/0": "x", "/a~1b/00": None, "/a~1b/-": None, "/a~1b/2": None, "/a~1b/0/x": None, "/q's/k": None, "/q's": '{"k": 1}', "/12": "true", "/'\"": "7", "/no": None}
+    for pointer, want in pointers.items():
+        assert one(spark, core.json_pointer(F.col("d"), pointer).cast("string"), d=doc) == want
+    assert one(spark, core.json_pointer(F.col("d"), "/a~1b").cast("string"), d="not json") is None
+    for bad in ("a", "", "/a~2", "/a~"):
+        with pytest.raises(ValueError):
+            core.json_pointer(F.lit("{}"), bad)
 
 
 def test_budget_stream(spark, tmp_path):
