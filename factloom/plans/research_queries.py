@@ -119,9 +119,9 @@ def _(v):
     return research.gate_actions(gates, {"F": ["approve", "reject"], "O": ["approve", "reject"]})
 
 
-@query("required_charts", "WITH h AS (SELECT user_id AS g, bool_or(event_type = 'click') AS c, bool_or(event_type = 'error') AS e, count(DISTINCT CASE WHEN event_type IN ('view', 'signup') THEN event_type END) AS n FROM events WHERE event_id % 7 = 0 GROUP BY 1) SELECT 'required_charts' AS rule, 'MISSING' AS code, CAST(g AS STRING) AS key, 'click' AS detail FROM h WHERE NOT c UNION ALL SELECT 'required_charts', 'MISSING', CAST(g AS STRING), 'error' FROM h WHERE NOT e UNION ALL SELECT 'required_charts', 'CHOICE', CAST(g AS STRING), '' FROM h WHERE n <> 1")
+@query("required_charts", "WITH h AS (SELECT user_id AS g, bool_or(event_type = 'click') AS c, bool_or(event_type = 'error') AS e, count(DISTINCT CASE WHEN event_type IN ('view', 'signup') THEN event_type END) AS n FROM events GROUP BY 1) SELECT 'required_charts' AS rule, 'MISSING' AS code, CAST(g AS STRING) AS key, 'click' AS detail FROM h WHERE NOT c UNION ALL SELECT 'required_charts', 'MISSING', CAST(g AS STRING), 'error' FROM h WHERE NOT e UNION ALL SELECT 'required_charts', 'CHOICE', CAST(g AS STRING), '' FROM h WHERE n <> 1")
 def _(v):
-    charts = v("events").where("event_id % 7 = 0").select(F.col("user_id").alias("group_id"), F.col("event_type").alias("chart"))
+    charts = v("events").select(F.col("user_id").alias("group_id"), F.col("event_type").alias("chart"))
     return research.required_charts(charts, ["click", "error"], ["view", "signup"])
 
 

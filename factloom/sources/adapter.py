@@ -67,7 +67,7 @@ FROM supplier s CROSS JOIN k4 k CROSS JOIN (SELECT count(*) AS n FROM pages) n W
     "v_features": """
 SELECT DISTINCT 'cmp_' || CAST(l.l_suppkey AS STRING) AS competitor_id,
        CASE WHEN p.p_size % 2 = 0 THEN 'feature' ELSE 'workflow' END AS kind, p.p_brand AS label
-FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_linenumber = 1 AND l.l_orderkey % 7 = 0
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
 """,
     "v_judgments": """
 SELECT 'cmp_' || CAST(a.l_suppkey AS STRING) AS competitor_id, k.dimension_id, CAST(k.k AS INT) AS dimension_order,
@@ -77,7 +77,7 @@ FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey) a CROSS
 """,
     "v_events": """
 SELECT user_id AS run_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS log_offset, ts, event_type AS event, event_id, value
-FROM events WHERE event_id % 97 <> 5
+FROM events
 """,
     "v_attempts": """
 SELECT o_custkey AS run_id, o_orderkey AS attempt_id, o_orderdate AS started_at,
