@@ -75,7 +75,8 @@ def test_near_groups(docs, k):
     assert {r.id: (r.n_shingles, r.component) for r in got} == {i: (len(sets[i]), group[i]) for i in sets}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [3, 500_000])
+def test_components(spark, block):
     rng = random.Random(1)
     pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 120)]
     label = {x: x for p in pairs for x in p if p[0] != p[1]}
@@ -83,8 +84,8 @@ def test_components(spark):
         for a, b in pairs:
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
-    got = components(spark.createDataFrame(pairs, "a long, b long"))
-    assert {r.node: r.component for r in got.collect()} == label
+    got = components(spark.createDataFrame(pairs + pairs[::2] + [(None, 1), (1, None)], "a long, b long").repartition(5), block=block).collect()
+    assert {r.node: r.component for r in got} == label and len(got) == len(label)
 
 
 def test_packing_round_trip(docs):
