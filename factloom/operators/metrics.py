@@ -124,3 +124,12 @@ def time_index(rows: DataFrame, at: str) -> DataFrame:
     local = times.withColumn("_day", F.to_date(at)).withColumn("_at", F.row_number().over(Window.partitionBy("_day").orderBy(at)))
     index = local.join(days, "_day").select(at, (F.col("_before") + F.col("_at")).cast("long").alias("time_index"))
     return rows.join(index, at)
+
+
+def row_order(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """Position `pos` of each row by `group`, then `order`: rows are numbered inside their group, and only the
+    groups' counts are summed in order."""
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = rows.withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return told.join(counts.select(group, before.alias("_before")), group).withColumn("pos", (F.col("_before") + F.col("_at")).cast("long")).drop("_at", "_before")

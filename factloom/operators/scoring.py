@@ -147,11 +147,12 @@ def collection_order(scores: DataFrame) -> DataFrame:
 
 def min_max_scale(rows: DataFrame, value: str, by: list[str], zero: bool = False) -> DataFrame:
     """`scaled` from 0 to 1 over the group's domain; a domain of one value is padded by max(10 %, 1)."""
-    w = Window.partitionBy(*by)
-    lo, hi = F.min(value).over(w).cast("double"), F.max(value).over(w).cast("double")
+    lo, hi = F.min(value).cast("double"), F.max(value).cast("double")
     if zero:
         lo, hi = F.least(lo, F.lit(0.0)), F.greatest(hi, F.lit(0.0))
-    out = rows.withColumn("_lo", lo).withColumn("_hi", hi)
+    domains = rows.groupBy(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by))).agg(lo.alias("_lo"), hi.alias("_hi"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    out = rows.join(domains, same).drop(*(f"_by{i}" for i in range(len(by)))) if by else rows.join(domains)
     pad = F.when(F.col("_lo") == F.col("_hi"), F.greatest(F.abs("_hi") * 0.1, F.lit(1.0))).otherwise(0.0)
     out = out.withColumn("_pad", pad)
     low, high = F.col("_lo") - F.col("_pad"), F.col("_hi") + F.col("_pad")

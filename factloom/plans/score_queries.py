@@ -230,10 +230,9 @@ def _(v):
     return metrics.time_index(v("v_events"), "ts").select("event_id", "time_index")
 
 
-@query("chart_row_order", "SELECT competitor_id, dimension_id, row_number() OVER (ORDER BY competitor_id, dimension_id) AS pos FROM v_judgments WHERE competitor_id LIKE 'cmp_1%'")
+@query("chart_row_order", "SELECT competitor_id, dimension_id, row_number() OVER (ORDER BY competitor_id, dimension_id) AS pos FROM v_judgments")
 def _(v):
-    rows = v("v_judgments").where("competitor_id LIKE 'cmp_1%'")
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy("competitor_id", "dimension_id")).cast("long")).select("competitor_id", "dimension_id", "pos")
+    return metrics.row_order(v("v_judgments"), "competitor_id", "dimension_id").select("competitor_id", "dimension_id", "pos")
 
 
 @query("score_hash", "SELECT competitor_id, 'CL-COMP-' || upper(substr(SHA256(competitor_id || '|' || dimension_id), 1, 16)) AS claim_id FROM v_judgments")
