@@ -311,3 +311,14 @@ def import_gate(refs: DataFrame, rules: DataFrame) -> DataFrame:
     """Decide old references by rule (source_version, kind, safe); no rule and unsafe rules reject."""
     told = refs.join(rules, ["source_version", "kind"], "left")
     return told.withColumn("decision", F.when(F.col("safe").isNull(), "REJECT_NO_RULE").when(~F.col("safe"), "REJECT_UNSAFE").otherwise("ACCEPT")).drop("safe")
+
+
+def subgraph_complete(members: DataFrame, by: str, done: Column) -> DataFrame:
+    """(by, complete): whether every member of a subgraph is done; an unknown state is not."""
+    return members.groupBy(by).agg(F.bool_and(F.coalesce(done, F.lit(False))).alias("complete"))
+
+
+def error_metadata_check(errors: DataFrame, policy: DataFrame, key: Column) -> DataFrame:
+    """Errors (code, reported) whose reported action is not the policy's (code, action) of a known code."""
+    told = errors.join(policy.select("code", "action"), "code")
+    return report(told.where(~F.col("reported").eqNullSafe(F.col("action"))), "error_metadata", "ACTION", key, F.col("code"))

@@ -147,7 +147,7 @@ def _(v):
 @query("subgraph_complete", "SELECT p_brand AS subgraph, bool_and(p_size % 3 = 0 OR (p_size % 3 = 1 AND p_size % 2 = 0)) AS complete FROM part GROUP BY p_brand")
 def _(v):
     good = (F.col("p_size") % 3 == 0) | ((F.col("p_size") % 3 == 1) & (F.col("p_size") % 2 == 0))
-    return v("part").groupBy(F.col("p_brand").alias("subgraph")).agg(F.bool_and(good).alias("complete"))
+    return runs.subgraph_complete(v("part").withColumnRenamed("p_brand", "subgraph"), "subgraph", good)
 
 
 @query("uncommitted_tail", "WITH c AS (SELECT run_id, max(log_offset) - 3 AS last_event_offset FROM v_events GROUP BY run_id) SELECT e.run_id, e.log_offset, e.event_id FROM v_events e JOIN c ON e.run_id = c.run_id AND e.log_offset > c.last_event_offset")
@@ -175,11 +175,8 @@ def _(v):
 
 @query("error_metadata_check", f"SELECT 'error_metadata' AS rule, 'ACTION' AS code, CAST(event_id AS STRING) AS key, code AS detail FROM (SELECT event_id, {_CODES} AS code FROM v_events) t WHERE code IN ('SOURCE_UNAVAILABLE', 'EXECUTOR_FAILED', 'GATE_NOT_APPROVED')")
 def _(v):
-    from factloom.operators.violations import report
-
     rows = v("v_events").withColumn("code", F.expr(_CODES)).withColumn("reported", F.lit("OPEN_RESEARCH_GAP"))
-    told = rows.join(F.broadcast(v.spark.createDataFrame(_POLICY, "code string, action string")), "code")
-    return report(told.where(~F.col("reported").eqNullSafe(F.col("action"))), "error_metadata", "ACTION", F.col("event_id"), F.col("code"))
+    return runs.error_metadata_check(rows, v.spark.createDataFrame(_POLICY, "code string, action string"), F.col("event_id"))
 
 
 @query("decision_events", "WITH l AS (SELECT run_id, max(log_offset) AS last FROM v_events GROUP BY run_id), d AS (SELECT o_custkey % 200 AS run_id, o_orderkey % 120 AS event_offset FROM orders) SELECT 'decision_event' AS rule, 'OFFSET' AS code, CAST(d.run_id AS STRING) || '/' || CAST(event_offset AS STRING) AS key, '' AS detail FROM d LEFT JOIN l ON l.run_id = d.run_id WHERE last IS NULL OR event_offset > last OR event_offset < 1")
