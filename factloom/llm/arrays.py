@@ -30,7 +30,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse modulo 2**64."""
     global _POW, _INV
     if len(_POW) <= n:
-        size = max(n + 1, BLOCK_BYTES + 1)
+        size = max(n + 1, len(_POW) * 3 // 2, BLOCK_BYTES + 1)
         base = np.full(size, _BASE, U64)
         base[0] = 1
         inverse = np.full(size, pow(_BASE, -1, 2**64), U64)
@@ -78,8 +78,15 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_prefix(hashes: np.ndarray) -> np.ndarray:
+    """prefix_hash of a sequence of word hashes: differences of it give the hash of any run of words."""
+    out = np.zeros(len(hashes) + 1, U64)
+    np.cumsum(hashes * _powers(len(hashes))[0][: len(hashes)], out=out[1:])
+    return out
+
+
 def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, equal wherever the bytes are equal."""
+    """64-bit hashes of ranges of bytes or words, equal wherever those are equal."""
     return mix((prefix[ends] - prefix[starts]) * _powers(len(prefix))[1][starts])
 
 

@@ -109,11 +109,10 @@ class _Seen:
         return out
 
 
-def features(texts: DataFrame, p: NearParams, units: Units = whole_texts, by_id: bool = False) -> DataFrame:
+def features(texts: DataFrame, p: NearParams, units: Units = whole_texts) -> DataFrame:
     """(id, n, set_key, keys) of every unit: its distinct shingles, a digest of them and its band keys.
 
-    n = 0 and null keys without a word; null keys too where the task gave those of an equal set before,
-    with `by_id` of an equal set under the same id.
+    n = 0 and null keys without a word; null keys too where the task gave those of an equal set before.
     """
 
     def run(batches):
@@ -130,10 +129,7 @@ def features(texts: DataFrame, p: NearParams, units: Units = whole_texts, by_id:
             n, digest, keys = np.zeros(m, np.int64), np.full(m, None, object), np.full(m, None, object)
             n[full], digest[full] = [len(own) for own in sets], digests
             if len(full):
-                told = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2).copy()
-                if by_id:
-                    told[:, 1] = np.asarray(ids, np.int64)[full].view(np.uint64)
-                new = np.flatnonzero(seen.fresh(told))
+                new = np.flatnonzero(seen.fresh(np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)))
                 if len(new):
                     soff = np.concatenate([[0], np.cumsum([len(sets[i]) for i in new])])
                     rows = band_keys(signatures(np.concatenate([sets[i] for i in new]), soff, p, p.bands * p.rows), p)
@@ -144,9 +140,37 @@ def features(texts: DataFrame, p: NearParams, units: Units = whole_texts, by_id:
     return texts.mapInArrow(run, "id long, n long, set_key binary, keys array<long>")
 
 
+def _picked(hashes: np.ndarray, woffs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of some units, and their offsets."""
+    size = woffs[at + 1] - woffs[at]
+    offs = np.concatenate([[0], np.cumsum(size)])
+    return hashes[np.repeat(woffs[at] - offs[:-1], size) + np.arange(offs[-1])], offs
+
+
+def banded(texts: DataFrame, p: NearParams, units: Units) -> DataFrame:
+    """(id, keys) of the units with a word, where equal ids stand for equal words: a unit whose id the task
+    met lately is left out. Signatures don't ask how often a shingle stands, so no set is built."""
+
+    def run(batches):
+        seen = _Seen()
+        for part, data, offs in arrays.blocks(batches, "text"):
+            ids, wh, woffs = units(part, data, offs)
+            ids = np.asarray(ids, np.int64)
+            full = np.flatnonzero(woffs[1:] > woffs[:-1])
+            full = full[seen.fresh(np.stack([ids[full].view(np.uint64)] * 2, 1))]
+            if len(full):
+                sh, soffs = arrays.shingles(*_picked(wh, woffs, full), p.k)
+                keys = band_keys(signatures(sh, soffs, p, p.bands * p.rows), p)
+                ends = pa.array(np.arange(len(full) + 1, dtype=np.int32) * p.bands)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[full]), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], ["id", "keys"])
+
+    return texts.mapInArrow(run, "id long, keys array<long>")
+
+
 def shingle_sets(texts: DataFrame, p: NearParams, wanted: np.ndarray, units: Units = whole_texts) -> DataFrame:
     """(id, n, sig, shingles) of the units whose id may be in the bit set `wanted`: their number of
-    distinct shingles, the low byte of each signature value, and the sorted hashes as packed 64-bit integers."""
+    distinct shingles, the low byte of each signature value, and the sorted hashes as packed 64-bit integers.
+    Units of equal id and equal words come once or a few times."""
     held = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
@@ -155,16 +179,16 @@ def shingle_sets(texts: DataFrame, p: NearParams, wanted: np.ndarray, units: Uni
             ids, wh, woffs = units(part, data, offs)
             named = pa.array(ids, pa.int64())
             ids = named.fill_null(0).to_numpy()
-            sh, soffs = arrays.shingles(wh, woffs, p.k)
-            full = np.flatnonzero((soffs[1:] > soffs[:-1]) & maybe(ids.view(np.uint64), held.value) & named.is_valid().to_numpy(zero_copy_only=False))
-            sets = [np.unique(sh[soffs[i] : soffs[i + 1]]) for i in full]
-            if not sets:
+            full = np.flatnonzero((woffs[1:] > woffs[:-1]) & maybe(ids.view(np.uint64), held.value) & named.is_valid().to_numpy(zero_copy_only=False))
+            if not len(full):
                 continue
-            digests = np.frombuffer(b"".join(xxhash.xxh3_64_digest(own.tobytes()) for own in sets), np.uint64)
-            new = np.flatnonzero(seen.fresh(np.stack([digests, ids[full].view(np.uint64)], 1)))
+            wh, woffs = _picked(wh, woffs, full)
+            whole = arrays.range_hash(arrays.word_prefix(wh), woffs[:-1], woffs[1:])
+            new = np.flatnonzero(seen.fresh(np.stack([whole, ids[full].view(np.uint64)], 1)))
             if not len(new):
                 continue
-            sets = [sets[i] for i in new]
+            sh, soffs = arrays.shingles(*_picked(wh, woffs, new), p.k)
+            sets = [np.unique(sh[soffs[i] : soffs[i + 1]]) for i in range(len(new))]
             size = np.array([len(own) for own in sets])
             sig = arrays.mix(signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]), p)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array(ids[full[new]]), pa.array(size), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array([own.tobytes() for own in sets], pa.binary())], ["id", "n", "sig", "shingles"])

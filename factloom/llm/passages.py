@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from factloom.llm import arrays
 from factloom.llm.components import components
 from factloom.llm.frames import cut, drop, merge_join, shared, small_batches
-from factloom.llm.near import NearParams, features, near_components
+from factloom.llm.near import NearParams, banded, near_components
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ def _paragraphs(data: np.ndarray, offs: np.ndarray, least: int):
     owner = np.searchsorted(offs, bounds[:-1], "right") - 1
     first, last = spans(np.diff(woffs), owner, least)
     at, to = woffs[first], woffs[last + 1]
-    ids = arrays.range_hash(arrays.prefix_hash(h.view(np.uint8)), at * 8, to * 8).view(np.int64)
+    ids = arrays.range_hash(arrays.word_prefix(h), at, to).view(np.int64)
     return owner[first], bounds[first], bounds[last + 1], ids, h, at, to
 
 
@@ -127,8 +127,8 @@ def _windows(docs: DataFrame, p: PassageParams) -> DataFrame:
             starts, ends, woffs = arrays.words(data, offs)
             h = arrays.range_hash(arrays.prefix_hash(arrays.LOWER[data]), starts, ends)
             first = windows(h, woffs, p)
-            whole = arrays.prefix_hash(h.view(np.uint8))
-            unit = arrays.range_hash(whole, first * 8, (first + p.words) * 8)
+            whole = arrays.word_prefix(h)
+            unit = arrays.range_hash(whole, first, first + p.words)
             owner = np.searchsorted(woffs, first, "right") - 1
             cols = [unit.view(np.int64), ids[owner].astype(np.int64), starts[first] - offs[owner], ends[first + p.words - 1] - starts[first], first - woffs[owner]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["unit", "doc_id", "start", "bytes", "word"])
@@ -157,8 +157,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     units = paragraph_units(p.near.k)
-    keyed = features(base, p.near, units, by_id=True).where("keys IS NOT NULL").select("id", "keys")
-    near = near_components(keyed, base, p.near, units)
+    near = near_components(banded(base, p.near, units), base, p.near, units)
     # a paragraph without a near one is a cluster of its copies
     places = merge_join(_places(base, p).distinct(), near, "id", "left").withColumn("cluster", F.coalesce("comp", "id"))
     paragraphs = cut(_marked(places.drop("id", "comp"), "paragraph"))
