@@ -12,6 +12,7 @@ from factloom.llm.near import OP3_SQL, op3_near_dedup
 from factloom.llm.packing import op1_packing
 from factloom.llm.passages import op2_passage_dedup
 from factloom.llm.sharding import op10_sharding
+from factloom.llm.spellings import OP13_SQL, op13_spelling_variants
 from factloom.llm.suffix_tree import op4_lm_scoring
 from factloom.llm.suffixes import op5_suffix_dedup
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op3_near_dedup": OP3_SQL, "op8_line_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_near_dedup": OP3_SQL, "op8_line_dedup": OP8_SQL, "op13_spelling_variants": OP13_SQL}
