@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import arrays
+from factloom.llm.duck import CRC_TABLE, crc32
 from factloom.llm.frames import cut, drop, merge_join, small_batches
 
 _LETTER = np.zeros(256, bool)
@@ -207,16 +208,13 @@ def op13_spelling_variants(spark, sf_dir: str) -> DataFrame:
     return spelling_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
 
 
-OP13_SQL = r"""
-WITH RECURSIVE tab AS (
-  SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
-), found AS (
-  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+OP13_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE}, found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
 ), each AS (
   SELECT doc_id, run, count(*) AS n, hex(encode(doc_id::VARCHAR || ':' || run)) AS h FROM found GROUP BY doc_id, run
 ), crcs AS (
-  SELECT run, n, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
-         lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM each, tab
+  SELECT run, n, {crc32('h')} AS crc FROM each, tab
 ), told AS (
   SELECT CASE WHEN crc % 97 = 0 THEN substr(run, 1, (crc % length(run))::INT) || substr(run, (crc % length(run))::INT + 2) ELSE run END AS word, n FROM crcs
 ), words AS (
