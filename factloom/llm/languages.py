@@ -42,7 +42,9 @@ def _letters() -> np.ndarray:
         if ch.isalpha():
             low = ch.lower()
             table[c] = ord(low) if len(low) == 1 else c
-    table[0x10000:] = 0xFFFD
+    for c in range(0x10000, 0x110000):
+        if chr(c).isalpha():
+            table[c] = 0xFFFD
     return table
 
 

@@ -100,7 +100,10 @@ def token_ids(data: np.ndarray, offs: np.ndarray, ranks_path: str | None = None)
         cut[min(b, len(data) - 1)] |= b < len(data)
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], len(data))
-    _, first, which = np.unique(arrays.range_hash(arrays.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
+    # equal parts are found by their bytes
+    parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)])
+    which = parts.dictionary_encode().indices.to_numpy().astype(np.int64)
+    first = np.unique(which, return_index=True)[1]
     plain = joined[starts[first]]
     begin, n = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
     pool, size = [], 0

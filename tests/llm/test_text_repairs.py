@@ -14,8 +14,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
+from tokenizers import Tokenizer
 
-from factloom.llm import conversations, sentencepieces, spellings
+from factloom.llm import conversations, languages, packing, sentencepieces, spellings
 
 SF = "/root/testdata/sf0.001"
 
@@ -245,3 +246,24 @@ def test_run_crcs():
     ends, before = starts + rng.integers(1, 130, 300), rng.integers(0, 2**32, 300, dtype=np.uint32)
     assert spellings.run_crcs(data, starts, ends, before).tolist() == [zlib.crc32(data[a:b].tobytes(), int(c)) for a, b, c in zip(starts, ends, before, strict=True)]
     assert isinstance(spellings._slices(data[:0], starts[:0], ends[:0]), pa.Array)
+
+
+# mended operators
+
+
+def test_parts_of_equal_hash_keep_their_ids():
+    """Two texts of 1,024 characters that a polynomial hash modulo 2**64 cannot tell apart."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate({97: 98, 98: 97})
+    texts = [word, word.translate({97: 98, 98: 97}), word]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    ids, offs = packing.token_ids(data, np.array([0, 1024, 2048, 3072]))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_letters_beyond_the_basic_plane():
+    letters = languages._letters()
+    assert not letters[[ord(c) for c in "😀🚀𝟘🀄"]].any()
+    assert letters[[ord(c) for c in "𠀀𐎠𐤀"]].all() and all(bool(letters[c]) == chr(c).isalpha() for c in range(0, 0x110000, 7))
