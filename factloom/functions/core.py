@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions import documents
+
 # fixed values
 TIERS = {
     1: ("official_documentation", "official_api", "repository", "filing", "paper", "original_dataset"),
@@ -40,9 +42,9 @@ def sha(s: Column) -> Column:
 
 
 def canonical_value_hash(**fields: Column) -> Column:
-    """`sha256:` and the digest of compact JSON with sorted names, nulls written out."""
+    """`sha256:` and the digest of canonical JSON: names sorted at every level, nulls written out."""
     body = F.struct(*(fields[k].alias(k) for k in sorted(fields)))
-    return F.concat(F.lit("sha256:"), sha(F.to_json(body, {"ignoreNullFields": "false"})))
+    return documents.json_hash(F.to_json(body, {"ignoreNullFields": "false"}))
 
 
 def artifact_content_hash(content_hash_field: str = "content_hash", **fields: Column) -> Column:
@@ -65,6 +67,11 @@ def evidence_id(*parts: Column) -> Column:
     return _digest_id("EV-COMP-", 16, F.lit("|"), parts)
 
 
+def competitor_fact_id(*parts: Column) -> Column:
+    """The id of a fact bound to a field: of its origin, pointer and content hash."""
+    return _digest_id("FACT-COMP-", 20, F.expr("chr(0)"), parts)
+
+
 def fact_id(*parts: Column) -> Column:
     return _digest_id("FACT-", 20, F.expr("chr(0)"), parts)
 
@@ -182,12 +189,15 @@ def feature_statement(name: Column, coverage: Column) -> Column:
     return F.format_string("%s covers %.1f%% of the feature taxonomy.", name, coverage * 100)
 
 
-def json_pointer(doc: Column, pointer: str) -> Column:
+def json_pointer(doc: Column, pointer: str | Column) -> Column:
     """The value at an RFC 6901 pointer of a JSON text, as a variant; null where it does not resolve.
 
     Strict: array indexes have no leading zero, `-` is none, nothing is found below a scalar. A pointer
-    without its leading slash or with a `~` before anything but 0 and 1 is an error of the caller.
+    without its leading slash or with a `~` before anything but 0 and 1 is an error of the caller where it
+    is a text; in a column of pointers, one for each row, it resolves to null.
     """
+    if isinstance(pointer, Column):
+        return F.try_parse_json(documents.value_at(doc, pointer))
     if not pointer.startswith("/") or re.search("~(?![01])", pointer):
         raise ValueError(f"not a JSON pointer: {pointer!r}")
     found = F.try_parse_json(doc)
@@ -204,7 +214,7 @@ def json_pointer(doc: Column, pointer: str) -> Column:
 
 def input_fingerprint(skill_ref: Column, input_refs: Column, profile_ref: Column, contract_ref: Column, config: Column, permissions: dict[str, Column], budget: dict[str, Column]) -> Column:
     """Canonical hash of what an attempt runs on. References and write paths are sets; `config` is a struct
-    with its names in order and keeps the order of its lists."""
+    and keeps the order of its lists, names may stand in any order."""
     fields = {
         "budget": F.struct(*(budget[k].alias(k) for k in ("cost_limit", "max_sources", "timeout_minutes", "token_limit"))),
         "input_artifact_refs": F.array_sort(F.array_distinct(input_refs)),

@@ -1,7 +1,7 @@
 """Lineage over an edge table (node, depends_on): impact, cycles, and states after a change.
 
-Loops write their frontier to the shared folder, so a lost executor costs one round, and stop when it is
-empty; the driver sees one number a round.
+Loops (see reach) write each round to the shared folder, so a lost executor costs one round; the driver
+sees one row a round.
 """
 
 from __future__ import annotations
@@ -9,39 +9,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators import reach
 from factloom.operators.violations import report
-from factloom.sources.scratch import written
 
 
-def downstream_impact(edges: DataFrame, roots: DataFrame, include_roots: bool = False, most: int = 10_000) -> DataFrame:
+def downstream_impact(edges: DataFrame, roots: DataFrame, include_roots: bool = False) -> DataFrame:
     """All nodes that depend on a root, directly or not."""
-    links = edges.select("node", "depends_on").distinct()
-    seen = frontier = written(roots.select("node").distinct())
-    for _ in range(most):
-        found = links.join(frontier.select(F.col("node").alias("depends_on")), "depends_on", "left_semi").select("node").distinct()
-        frontier = written(found.join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier)
-    else:
-        raise RuntimeError(f"the closure is not complete after {most} rounds")
-    return seen if include_roots else seen.join(roots.select("node"), "node", "left_anti")
-
-
-def cycle_nodes(edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """Nodes on a cycle or behind one: what is left when nodes without open dependencies are peeled off."""
-    links = written(edges.select("node", "depends_on").distinct())
-    n = links.count()
-    for _ in range(most):
-        # an edge stays while the node it depends on itself depends on something
-        links = written(links.join(links.select(F.col("node").alias("depends_on")).distinct(), "depends_on", "left_semi").select("node", "depends_on"))
-        left = links.count()
-        if left == n or not left:
-            break
-        n = left
-    else:
-        raise RuntimeError(f"nodes are still peeled off after {most} rounds")
-    return links.select("node").distinct()
+    found = reach.reached(reach.arcs_of(edges), roots, labelled=False)[0].select("node")
+    own = roots.select("node").where("node IS NOT NULL").distinct()
+    return found.union(own).distinct() if include_roots else found.join(own, "node", "left_anti")
+
+
+def impact_by_root(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node): the nodes that depend on each root, directly or not."""
+    return reach.reached(reach.arcs_of(edges), roots)[0]
+
+
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(node, cycle) of the nodes on a cycle; a cycle is named by its least node."""
+    return reach.strong_cycles(edges)[0]
+
+
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes on a cycle or behind one."""
+    return downstream_impact(edges, cycle_members(edges), include_roots=True)
+
+
+def cycle_violations(edges: DataFrame) -> DataFrame:
+    """A violation for each node on a cycle, which names the cycle."""
+    return report(cycle_members(edges), "dag_cycle", "CYCLE", F.col("node"), F.col("cycle"))
 
 
 def impact_blocked(impact: DataFrame, attempts: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def fact_closure(facts: DataFrame, evidence: DataFrame, sources: DataFrame) -> D
     return told.groupBy("fact_id").agg(F.sort_array(F.collect_set("evidence_id")).alias("evidence_refs"), F.sort_array(F.collect_set("source_id")).alias("source_refs"))
 
 
-def fact_binding_audit(facts: DataFrame) -> DataFrame:
+def stale_facts(facts: DataFrame) -> DataFrame:
     """Facts whose stored hash is not the hash of their content."""
     return report(facts.where("content_hash <> bound_hash"), "fact_binding", "CONTENT_HASH", F.col("fact_id"), F.col("bound_hash"))
 
@@ -105,7 +105,7 @@ def report_rows(facts: DataFrame, evidence: DataFrame, sources: DataFrame) -> tu
     """Flat (group_id, fact_id, source_id, source_type) table of intact facts, and violations for the others."""
     good = facts.where("content_hash = bound_hash")
     told = good.select("group_id", "fact_id", "claim_id").join(evidence.select("claim_id", "source_id"), "claim_id").join(sources.select(F.col("id").alias("source_id"), "source_type"), "source_id")
-    return told.select("group_id", "fact_id", "source_id", "source_type").distinct(), fact_binding_audit(facts)
+    return told.select("group_id", "fact_id", "source_id", "source_type").distinct(), stale_facts(facts)
 
 
 def projection_audit(stored: DataFrame, facts: DataFrame, state: Column) -> DataFrame:

@@ -54,9 +54,9 @@ def _(v):
     return out.select("fact_id", F.array_join("evidence_refs", ",").alias("evidence_refs"), F.array_join("source_refs", ",").alias("source_refs"))
 
 
-@query("fact_binding_audit", "SELECT 'fact_binding' AS rule, 'CONTENT_HASH' AS code, fact_id AS key, bound_hash AS detail FROM v_facts WHERE content_hash <> bound_hash")
+@query("stale_facts", "SELECT 'fact_binding' AS rule, 'CONTENT_HASH' AS code, fact_id AS key, bound_hash AS detail FROM v_facts WHERE content_hash <> bound_hash")
 def _(v):
-    return pv.fact_binding_audit(v("v_facts"))
+    return pv.stale_facts(v("v_facts"))
 
 
 @query("claims_reachable", "SELECT 'chart_claims' AS rule, 'MISSING' AS code, source_id AS key, 'CL-none' AS detail FROM v_evidence GROUP BY source_id")

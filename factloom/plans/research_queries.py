@@ -173,6 +173,21 @@ def _(v):
     return lineage.cycle_nodes(e.union(back))
 
 
+_BACK = "RECURSIVE e AS (SELECT node, depends_on FROM v_edges UNION SELECT CAST(1 AS BIGINT), max(node) FROM v_edges), r AS (SELECT node, depends_on FROM e UNION SELECT r.node, e.depends_on FROM r JOIN e ON e.node = r.depends_on)"
+
+
+@query("cycle_violations", f"WITH {_BACK} SELECT 'dag_cycle' AS rule, 'CYCLE' AS code, CAST(a.node AS STRING) AS key, CAST(min(a.depends_on) AS STRING) AS detail FROM r a JOIN r b ON b.node = a.depends_on AND b.depends_on = a.node GROUP BY a.node")
+def _(v):
+    e = v("v_edges")
+    return lineage.cycle_violations(e.union(e.agg(F.lit(1).cast("long").alias("node"), F.max("node").alias("depends_on"))))
+
+
+@query("impact_by_root", "WITH RECURSIVE i AS (SELECT depends_on AS root, node FROM v_edges WHERE depends_on % 40 = 3 UNION SELECT i.root, e.node FROM i JOIN v_edges e ON e.depends_on = i.node) SELECT root, node FROM i")
+def _(v):
+    e = v("v_edges")
+    return lineage.impact_by_root(e, e.where("depends_on % 40 = 3").select(F.col("depends_on").alias("node")))
+
+
 @query("dangling_dependencies", "SELECT 'dependency' AS rule, 'UNKNOWN' AS code, CAST(node AS STRING) AS key, CAST(depends_on AS STRING) AS detail FROM v_edges WHERE depends_on NOT IN (SELECT p_partkey FROM part WHERE p_size % 10 <> 0) UNION ALL SELECT 'dependency', 'SELF', CAST(node AS STRING), CAST(depends_on AS STRING) FROM v_edges WHERE node = depends_on")
 def _(v):
     return lineage.dangling_dependencies(v("v_edges"), v("part").where("p_size % 10 <> 0").select(F.col("p_partkey").alias("node")))

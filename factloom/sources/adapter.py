@@ -145,6 +145,33 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 SELECT 'F' || CAST(doc_id AS STRING) AS fact_id, source AS projection, lang AS group_id, 'CL-' || CAST(doc_id AS STRING) AS claim_id,
        SHA256(CAST(n_chars AS STRING)) AS content_hash, CASE WHEN doc_id % 37 = 5 THEN 'stale' ELSE SHA256(CAST(n_chars AS STRING)) END AS bound_hash, doc_id
 FROM documents
+""",
+    "v_json_docs": """
+SELECT o_orderkey AS k, 'ART-' || CAST(o_orderkey AS STRING) || '@1' AS artifact_ref, CAST(o_custkey AS STRING) AS stars, o_orderstatus AS state, o_orderpriority AS priority,
+       '{"metrics" : {"stars": ' || CAST(o_custkey AS STRING) || ', "rate": 1.50, "tags": ["a", {"z": null, "b": "' || o_orderstatus || '"}]}, "artifact": {"id": "A", "content_hash": "old"}, "name": "caf'
+       || chr(92) || 'u00e9 ' || o_orderpriority || '", "a/b": 1e2, "m~n": {"d": {"c": {"y": -0.0, "x": 12345678901234567890}}}}' AS doc
+FROM orders
+""",
+    "v_bindings": """
+SELECT 'B' || CAST(k AS STRING) AS key, k, origin_artifact_ref, origin_field_pointer, content, content_hash,
+       CASE WHEN k % 29 = 2 THEN 'FACT-COMP-0' ELSE 'FACT-COMP-' || upper(substr(SHA256(origin_artifact_ref || chr(0) || origin_field_pointer || chr(0) || content_hash), 1, 20)) END AS fact_id
+FROM (
+  SELECT k, origin_artifact_ref, origin_field_pointer, content, CASE WHEN k % 23 = 1 THEN 'sha256:stale' ELSE 'sha256:' || SHA256(content) END AS content_hash FROM (
+    SELECT k, CASE WHEN k % 41 = 3 THEN 'ART-' || CAST(k AS STRING) || '@0' ELSE artifact_ref END AS origin_artifact_ref,
+           CASE k % 10 WHEN 0 THEN '/metrics/stars' WHEN 1 THEN '/metrics/tags/1' WHEN 2 THEN '/name' WHEN 3 THEN '/a~1b' WHEN 4 THEN '/m~0n/d' WHEN 5 THEN '/metrics/tags/01' WHEN 6 THEN '/name/x' WHEN 7 THEN 'name' WHEN 8 THEN '/a~2' ELSE '' END AS origin_field_pointer,
+           CASE k % 10 WHEN 0 THEN stars WHEN 1 THEN '{"b":"' || state || '","z":null}' WHEN 2 THEN '"café ' || priority || '"' WHEN 3 THEN '100.0' WHEN 4 THEN '{"c":{"x":12345678901234567890,"y":-0.0}}' ELSE 'none' END AS content
+    FROM v_json_docs) a) b
+""",
+    "v_binding_links": """
+SELECT key, k, 'claim' AS kind, claim_id AS ref FROM (SELECT o_orderkey AS k, 'B' || CAST(o_orderkey AS STRING) AS key, 'CL-' || CAST(o_orderkey % (n.n + 9) AS STRING) AS claim_id FROM orders CROSS JOIN (SELECT count(*) AS n FROM documents) n) c
+UNION ALL
+SELECT 'B' || CAST(o_orderkey AS STRING), o_orderkey, 'evidence', e.id FROM (SELECT o_orderkey, 'CL-' || CAST(o_orderkey % (n.n + 9) AS STRING) AS claim_id FROM orders CROSS JOIN (SELECT count(*) AS n FROM documents) n) c
+JOIN v_evidence e ON e.claim_id = c.claim_id WHERE o_orderkey % 13 <> 4 OR e.id NOT LIKE '%-0'
+UNION ALL
+SELECT 'B' || CAST(o_orderkey AS STRING), o_orderkey, 'evidence', 'EV-none' FROM orders WHERE o_orderkey % 31 = 5
+UNION ALL
+SELECT DISTINCT 'B' || CAST(o_orderkey AS STRING), o_orderkey, 'source', e.source_id FROM (SELECT o_orderkey, 'CL-' || CAST(o_orderkey % (n.n + 9) AS STRING) AS claim_id FROM orders CROSS JOIN (SELECT count(*) AS n FROM documents) n) c
+JOIN v_evidence e ON e.claim_id = c.claim_id WHERE o_orderkey % 17 <> 6 OR e.id NOT LIKE '%-1'
 """,
     "v_scores": """
 SELECT competitor_id, CAST(sum(score) AS BIGINT) AS points, CAST(count(score) AS BIGINT) AS scored, CAST(count(*) AS BIGINT) AS dimensions,
