@@ -142,6 +142,13 @@ def canonical_json(doc: Column, without: str | None = None) -> Column:
     return F.when(doc.rlike(_ODD), _written(_marked(doc))).otherwise(F.to_json(F.try_parse_json(doc)))
 
 
+def json_names(doc: Column) -> Column:
+    """The distinct names of all objects of a document at any depth, as they read without escapes."""
+    tokens = F.regexp_extract_all(doc, F.lit(_TOKENS), F.lit(0))
+    names = _let(tokens, lambda ts: F.filter(ts, lambda t, i: t.startswith('"') & (F.get(ts, i + 1) == ":")))
+    return F.array_distinct(F.transform(names, unquoted))
+
+
 def pointer_valid(pointer: Column) -> Column:
     """Whether a text is a pointer that may be looked up: it begins with a slash, and 0 or 1 follows every `~`."""
     return F.coalesce(pointer.startswith("/") & ~pointer.rlike("~(?![01])"), F.lit(False))

@@ -92,6 +92,43 @@ def build_evidence(observations: DataFrame, sources: DataFrame, analysis: str) -
     )
 
 
+def build_claims(observations: DataFrame, sources: DataFrame) -> DataFrame:
+    """Claim rows of (run_id, node, statement, source_id) observations, one for each statement of a node.
+
+    VALIDATED with MEDIUM confidence if all its sources are fresh and one is of tier 1, else
+    PARTIALLY_VALIDATED with LOW. Its evidence is what build_evidence gives under its id; sources that are
+    not known make no evidence, and a statement with none makes no claim.
+    """
+    rows = observations.select("run_id", "node", "statement", "source_id").distinct().join(sources.select(F.col("id").alias("source_id"), "source_tier", "freshness_status"), "source_id")
+    fresh = F.bool_and(F.coalesce(F.col("freshness_status") == "FRESH", F.lit(False)))
+    told = rows.groupBy("run_id", "node", "statement").agg((fresh & F.bool_or(F.coalesce(F.col("source_tier") == 1, F.lit(False)))).alias("ok"), F.count("*").alias("n_evidence"))
+    return told.select(
+        core.claim_id(F.col("run_id"), F.col("node"), F.col("statement")).alias("id"),
+        "statement",
+        F.lit("competitor").alias("category"),
+        F.when(F.col("ok"), "VALIDATED").otherwise("PARTIALLY_VALIDATED").alias("status"),
+        F.when(F.col("ok"), "MEDIUM").otherwise("LOW").alias("confidence"),
+        "n_evidence",
+    )
+
+
+def unequal_sets(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Keys whose sets (key, member) differ: members are hashed twice and combined, so a set of any size is
+    compared by three numbers and no row holds a group."""
+    sides = []
+    for name, df in (("l", left), ("r", right)):
+        told = df.select("key", "member").distinct()
+        prints = (F.bit_xor(F.xxhash64("member")), F.bit_xor(F.xxhash64("member", F.lit(1))), F.count("*"))
+        sides.append(told.groupBy("key").agg(F.struct(*(p.alias(f"p{i}") for i, p in enumerate(prints))).alias(name)))
+    return sides[0].join(sides[1], "key", "full_outer").where(~F.col("l").eqNullSafe(F.col("r"))).select("key")
+
+
+def set_differences(left: DataFrame, right: DataFrame, rule: str) -> DataFrame:
+    """set_equality, which looks only into the keys whose sets differ."""
+    keys = unequal_sets(left, right)
+    return set_equality(left.join(keys, "key", "left_semi"), right.join(keys, "key", "left_semi"), rule)
+
+
 def publication_union(text_groups: DataFrame, charts: DataFrame) -> DataFrame:
     """Text fact groups followed by one group per chart: (group_id, section, pos), charts in order of type."""
     chart = charts.select(core.chart_group_id(F.col("chart_type")).alias("group_id"), F.lower(core.chart_group_id(F.col("chart_type"))).alias("section"), F.lit(1).alias("part"), F.col("chart_type").alias("order"))

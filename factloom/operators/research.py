@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions import documents
 from factloom.operators.violations import report
 
 
@@ -76,10 +77,10 @@ def top_k(rows: DataFrame, by: str, order: list, k: int) -> DataFrame:
 
 
 def field_whitelist(df: DataFrame, key: Column, body: str, allowed: list[str], reserved: list[str]) -> DataFrame:
-    """JSON objects may hold only the allowed keys, and no reserved key at any depth."""
+    """JSON objects may hold only the allowed keys, and no reserved key at any depth, however it is written."""
     keys = F.json_object_keys(body)
     extra = F.transform(F.array_except(keys, F.array(*map(F.lit, allowed))), lambda k: F.struct(F.lit("UNKNOWN_KEY").alias("code"), k.alias("k")))
-    deep = F.array_distinct(F.regexp_extract_all(body, F.lit(r'"([^"\\]+)"\s*:'), 1))
+    deep = documents.json_names(F.col(body))
     hit = F.transform(F.array_intersect(deep, F.array(*map(F.lit, reserved))), lambda k: F.struct(F.lit("RESERVED_KEY").alias("code"), k.alias("k")))
     bad = df.select(key.cast("string").alias("key"), F.explode(F.concat(F.coalesce(extra, F.array().cast("array<struct<code:string,k:string>>")), hit)).alias("v"))
     return report(bad, "field_whitelist", F.col("v.code"), F.col("key"), F.col("v.k"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from factloom.functions import core, documents
 from factloom.operators.violations import report
 
 # fixed values: allowed moves of an executable node
@@ -184,6 +185,17 @@ def budget_violations(attempts: DataFrame, usage: str, limit: int, order: list[s
     return report(told.where(code.isNotNull()), "budget", code, F.concat_ws("/", F.col("run_id").cast("string"), F.col("attempt_id").cast("string")))
 
 
+def limit_violations(attempts: DataFrame, limits: dict[str, int | None], order: list[str]) -> DataFrame:
+    """Attempts at which a run's usage so far passes one of its limits, or cannot be known, for all limits in
+    one pass over one window. A limit of None is no limit. One row for each broken limit."""
+    w = Window.partitionBy("run_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    set_limits = {c: most for c, most in limits.items() if most is not None}
+    told = attempts.select("*", *(F.sum(c).over(w).alias(f"_sum_{c}") for c in set_limits), *(F.sum(F.col(c).isNull().cast("int")).over(w).alias(f"_open_{c}") for c in set_limits))
+    broken = [F.when(F.col(f"_open_{c}") > 0, F.struct(F.lit("UNKNOWN_USAGE").alias("code"), F.lit(c).alias("c"))).when(F.col(f"_sum_{c}") > most, F.struct(F.lit("EXCEEDED").alias("code"), F.lit(c).alias("c"))) for c, most in set_limits.items()]
+    bad = told.select("run_id", "attempt_id", F.explode(F.array_compact(F.array(*broken))).alias("v"))
+    return report(bad, "budget", F.col("v.code"), F.concat_ws("/", F.col("run_id").cast("string"), F.col("attempt_id").cast("string")), F.col("v.c"))
+
+
 def run_budget_exceeded(attempts: DataFrame, usage: str, limit: int) -> DataFrame:
     return attempts.groupBy("run_id").agg(F.sum(usage).alias("used")).where(F.col("used") >= limit)
 
@@ -244,6 +256,21 @@ def dependency_readiness(edges: DataFrame, states: DataFrame) -> DataFrame:
     return told.groupBy("node").agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("satisfied"), F.bool_and(F.coalesce(over, F.lit(False))).alias("resolved"))
 
 
+def committed_outside(log: DataFrame, commits: DataFrame) -> DataFrame:
+    """Runs whose committed offset their log does not reach."""
+    last = log.groupBy("run_id").agg(F.max("log_offset").alias("last"))
+    told = commits.join(last, "run_id", "left").where(F.col("last_event_offset") > F.coalesce("last", F.lit(0)))
+    return report(told, "event_log", "OFFSET_OUTSIDE_LOG", F.col("run_id"), F.col("last_event_offset"))
+
+
+def ambiguous_artifacts(artifacts: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Manifest entries that more than one stored artifact matches, or none."""
+    keys = ["run_id", "artifact_id", "version"]
+    n = artifacts.groupBy(*keys).agg(F.count("*").alias("n"))
+    told = manifest.join(n, keys, "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n <> 1")
+    return report(told, "current_artifact", F.when(F.col("n") == 0, "MISSING").otherwise("AMBIGUOUS"), F.concat_ws("/", *(F.col(k).cast("string") for k in keys)), F.col("n"))
+
+
 def uncommitted_tail(log: DataFrame, commits: DataFrame) -> DataFrame:
     """Events above the committed offset of their run."""
     return log.join(commits.select("run_id", "last_event_offset"), "run_id").where("log_offset > last_event_offset").drop("last_event_offset")
@@ -275,10 +302,46 @@ def decision_events(decisions: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def producer_audit(artifacts: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Artifacts whose producing attempt is missing, or not completed."""
-    told = artifacts.join(attempts.select("attempt_id", "status"), "attempt_id", "left")
-    code = F.when(F.col("status").isNull(), "NO_ATTEMPT").when(F.col("status") != "COMPLETED", "NOT_VERIFIED")
-    return report(told.where(code.isNotNull()), "producer", code, F.col("artifact_ref"))
+    """Artifacts whose producing attempt is missing, or not completed.
+
+    Where both tables name a skill or a version these must agree too, and an artifact with a document (doc,
+    content_hash) must have its hash, taken without the hash itself. Every broken rule is a row.
+    """
+    compared = [c for c in ("skill", "version") if c in artifacts.columns and c in attempts.columns]
+    told = artifacts.join(attempts.select("attempt_id", "status", *(F.col(c).alias(f"made_{c}") for c in compared)), "attempt_id", "left")
+    known = F.col("status").isNotNull()
+    codes = [F.when(~known, "NO_ATTEMPT").when(F.col("status") != "COMPLETED", "NOT_VERIFIED")]
+    codes += [F.when(known & ~F.col(c).eqNullSafe(F.col(f"made_{c}")), c.upper()) for c in compared]
+    if "doc" in artifacts.columns:
+        codes.append(F.when(~F.coalesce(documents.json_hash(F.col("doc"), "/artifact/content_hash") == F.col("content_hash"), F.lit(False)), "HASH"))
+    return report(told.select("artifact_ref", F.explode(F.array_compact(F.array(*codes))).alias("code")), "producer", F.col("code"), F.col("artifact_ref"))
+
+
+def path_violations(requested: DataFrame, declared: DataFrame) -> DataFrame:
+    """Requested write paths (attempt, path) that lie in no declared one (attempt, prefix).
+
+    A path lies in itself and in every folder above it, so `a/b` holds `a/b/c` and not `a/bc`. Each path is
+    taken apart into these, and one equality join finds the declared ones. Unsafe paths lie nowhere.
+    """
+    told = requested.select("attempt", "path").distinct()
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    held = told.where(core.safe_relative_path("path")).select("attempt", "path", F.explode(above).alias("prefix"))
+    inside = held.join(declared.select("attempt", F.regexp_replace("prefix", "/+$", "").alias("prefix")), ["attempt", "prefix"], "left_semi").select("attempt", "path")
+    outside = told.join(inside, ["attempt", "path"], "left_anti")
+    return report(outside, "permission", "WRITE_PATH", F.col("attempt"), F.col("path"))
+
+
+def budget_mismatch(requested: DataFrame, planned: DataFrame, limits: list[str]) -> DataFrame:
+    """Limits that attempts request and that are not those of their plan: BUDGET_EXCEEDED where the plan has
+    a limit and the request a higher one or none, else DIFFERENT. Attempts without a plan are NOT_PLANNED."""
+    told = requested.alias("r").join(planned.withColumn("_planned", F.lit(True)).alias("p"), "attempt", "left")
+    entries = [F.when(F.col("p._planned").isNull(), F.struct(F.lit("NOT_PLANNED").alias("code"), F.lit("").alias("c")))]
+    for c in limits:
+        asked, most = F.col(f"r.{c}"), F.col(f"p.{c}")
+        code = F.when(most.isNotNull() & (asked.isNull() | (asked > most)), "BUDGET_EXCEEDED").otherwise("DIFFERENT")
+        entries.append(F.when(F.col("p._planned").isNotNull() & ~asked.eqNullSafe(most), F.struct(code.alias("code"), F.lit(c).alias("c"))))
+    return report(told.select("attempt", F.explode(F.array_compact(F.array(*entries))).alias("v")), "request_budget", F.col("v.code"), F.col("attempt"), F.col("v.c"))
 
 
 def permission_audit(requests: DataFrame, declared: DataFrame) -> DataFrame:
@@ -308,8 +371,9 @@ def interaction_consistency(requests: DataFrame, checkpoints: DataFrame) -> Data
 
 
 def import_gate(refs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Decide old references by rule (source_version, kind, safe); no rule and unsafe rules reject."""
-    told = refs.join(rules, ["source_version", "kind"], "left")
+    """Decide old references by rule (source and target version, kind, purpose, safe); no rule and unsafe
+    rules reject. Keys that the rules leave out are not asked for."""
+    told = refs.join(rules, [k for k in ("source_version", "target_version", "kind", "purpose") if k in rules.columns], "left")
     return told.withColumn("decision", F.when(F.col("safe").isNull(), "REJECT_NO_RULE").when(~F.col("safe"), "REJECT_UNSAFE").otherwise("ACCEPT")).drop("safe")
 
 

@@ -69,18 +69,54 @@ def competition_rank(scores: DataFrame) -> DataFrame:
 
 
 def rubric_check(dimensions: DataFrame) -> DataFrame:
-    """Five dimensions, no repeats, equal weights that sum to 1, at least one piece of evidence."""
+    """Five dimensions, no repeats, weights of 0.2 that sum to 1, at least one piece of evidence."""
     rows = dimensions.groupBy("rubric_ref").agg(
         F.count("*").alias("n"), F.count_distinct("dimension_id").alias("d"), F.sum("weight").alias("w"), F.min("weight").alias("lo"), F.max("weight").alias("hi"), F.min("minimum_evidence_count").alias("e")
     )
     codes = F.array_compact(
         F.array(
-            F.when(F.col("n") != 5, "DIMENSION_COUNT"), F.when(F.col("d") < F.col("n"), "DUPLICATE_DIMENSION"), F.when(F.col("w") != 1, "WEIGHT_SUM"), F.when(F.col("lo") != F.col("hi"), "WEIGHT"), F.when(F.col("e") < 1, "MINIMUM_EVIDENCE")
+            F.when(F.col("n") != 5, "DIMENSION_COUNT"), F.when(F.col("d") < F.col("n"), "DUPLICATE_DIMENSION"), F.when(F.col("w") != 1, "WEIGHT_SUM"), F.when((F.col("lo") != F.lit("0.2").cast("decimal(9,6)")) | (F.col("hi") != F.lit("0.2").cast("decimal(9,6)")), "WEIGHT"), F.when(F.col("e") < 1, "MINIMUM_EVIDENCE")
         )
     )
     return report(rows.select("rubric_ref", F.explode(codes).alias("code")), "rubric", F.col("code"), F.col("rubric_ref"))
 
 
+def rubric_bands_check(bands: DataFrame) -> DataFrame:
+    """Rubrics (rubric_ref, lo, hi) whose bands are not 1-2, 3-4, ..., 9-10, each once."""
+    pair = (F.col("lo") % 2 == 1) & (F.col("hi") == F.col("lo") + 1) & F.col("lo").between(1, 9)
+    told = bands.groupBy("rubric_ref").agg(F.count("*").alias("n"), F.count_distinct("lo").alias("d"), F.count_if(pair).alias("fit"))
+    return report(told.where("n <> 5 OR d <> 5 OR fit <> 5"), "rubric", "BANDS", F.col("rubric_ref"))
+
+
+def repeated_refs(judgments: DataFrame) -> DataFrame:
+    """Judgment and verification refs that more than one record uses."""
+    kinds = F.stack(F.lit(2), F.lit("judgment"), F.col("judgment_ref"), F.lit("verification"), F.col("verification_ref")).alias("kind", "ref")
+    twice = judgments.select(kinds).where("ref IS NOT NULL").groupBy("kind", "ref").count().where("count > 1")
+    return report(twice, "judgments", "DUPLICATE_REF", F.concat_ws("/", "kind", F.col("ref").cast("string")), F.col("count"))
+
+
+def score_parts_audit(judgments: DataFrame, dimensions: DataFrame, missing: DataFrame, weights: DataFrame) -> DataFrame:
+    """Stored missing dimensions (competitor_id, dimension_id) and effective weights (with effective_weight)
+    that are not those of the judgments, dimension by dimension."""
+    keys = ["competitor_id", "dimension_id"]
+    fresh = effective_weights(judgments).select(*keys, F.col("effective_weight").alias("now"))
+    grid = judgments.select("competitor_id").distinct().crossJoin(F.broadcast(_few(dimensions.select("dimension_id").distinct())))
+    open_now = grid.join(judgments.where(_scored()).select(*keys), keys, "left_anti").withColumn("l", F.lit(True))
+    told = open_now.join(missing.select(*keys).distinct().withColumn("r", F.lit(True)), keys, "full_outer").where("l IS NULL OR r IS NULL")
+    key = F.concat_ws("/", *keys)
+    found = report(told, "score_audit", F.when(F.col("l").isNull(), "NOT_MISSING").otherwise("MISSING_UNSTATED"), key)
+    both = fresh.join(weights.select(*keys, "effective_weight"), keys, "full_outer").where(~F.col("now").eqNullSafe(F.col("effective_weight")))
+    return found.union(report(both, "score_audit", "WEIGHT", key, F.col("now").cast("decimal(9,6)")))
+
+
+def _few(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table that may be sent to every task: its rows are counted, and more than `most` are an error."""
+    n = rows.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"a rubric of more than {most} dimensions")
+    return rows
+
+
 def score_status_check(judgments: DataFrame, key: Column) -> DataFrame:
     """SCORED needs a whole score from 1 to 10; UNRESOLVED must have none."""
     bad = F.when(_scored() & (F.col("score").isNull() | ~F.col("score").between(1, 10)), "SCORE").when(~_scored() & F.col("score").isNotNull(), "UNRESOLVED_SCORE")

@@ -22,15 +22,24 @@ def public_sources(sources: DataFrame) -> DataFrame:
     return sources.where(F.col("access_status") == "public")
 
 
-def identity() -> Column:
-    """Canonical URL, or else publisher, title and date."""
-    other = F.concat_ws("|", F.lit("meta"), "publisher", "title", F.col("accessed_on").cast("string"))
-    return F.coalesce(F.col("canonical_url"), other)
+def identity(columns: list[str] | None = None) -> Column:
+    """Canonical URL, or else publisher, title, publication date and content hash, each of which may be null.
 
+    The fallback is written as a JSON list, so a missing field differs from an empty one and no separator
+    can be mistaken. With `columns`, fields that the table lacks are null.
+    """
+    fields = ("publisher", "title", "published_on", "content_hash")
+    parts = [F.col(c).cast("string") if columns is None or c in columns else F.lit(None).cast("string") for c in fields]
+    return F.coalesce(F.col("canonical_url"), F.concat(F.lit("meta"), F.to_json(F.array(*parts))))
+
+
+#: What may change from one copy of a source to the next, and what is known of it here.
+CHANGING = ("id", "accessed_on", "freshness_status", "url", "canonical_url", "stored", "batch", "identity")
 
-def stable_fields() -> Column:
-    """What may not differ inside an identity."""
-    return F.xxhash64(F.coalesce("source_type", F.lit("")), F.coalesce("title", F.lit("")), F.coalesce("publisher", F.lit("")), F.coalesce("source_tier", F.lit(-1)))
+
+def stable_fields(columns: list[str]) -> Column:
+    """What may not differ inside an identity: every field that is not one of CHANGING, nulls kept apart."""
+    return F.to_json(F.struct(*(F.col(c) for c in sorted(columns) if c not in CHANGING)), {"ignoreNullFields": "false"})
 
 
 def batch_union(stored: DataFrame, supplied: DataFrame) -> DataFrame:
@@ -39,35 +48,44 @@ def batch_union(stored: DataFrame, supplied: DataFrame) -> DataFrame:
 
 def dedup_conflicts(sources: DataFrame) -> DataFrame:
     """Identities whose members disagree on a stable field."""
-    groups = sources.groupBy(identity().alias("identity")).agg(F.count_distinct(stable_fields()).alias("n")).where("n > 1")
+    groups = sources.groupBy(identity(sources.columns).alias("identity")).agg(F.count_distinct(stable_fields(sources.columns)).alias("n")).where("n > 1")
     return report(groups, "source_identity", "CONFLICT", F.col("identity"), F.col("n"))
 
 
 def dedup_sources(sources: DataFrame) -> DataFrame:
     """One row per identity: the newest by date and id, under the group's canonical id. One hash aggregate."""
-    rows = sources.groupBy(identity().alias("identity")).agg(
-        F.max_by(F.struct(*[c for c in sources.columns if c not in ("id", "stored")]), F.struct("accessed_on", "id")).alias("r"), _canonical_id().alias("id")
+    rows = sources.groupBy(identity(sources.columns).alias("identity")).agg(
+        F.max_by(F.struct(*[c for c in sources.columns if c not in ("id", "stored")]), F.struct("accessed_on", "id")).alias("r"), canonical_id().alias("id")
     )
     return rows.select("id", "identity", "r.*")
 
 
-def _canonical_id() -> Column:
+def canonical_id() -> Column:
+    """The smallest stored id of a group, or else the smallest id."""
     return F.coalesce(F.min(F.when(F.col("stored"), F.col("id"))), F.min("id"))
 
 
 def canonical_ids(sources: DataFrame) -> DataFrame:
-    return sources.groupBy(identity().alias("identity")).agg(_canonical_id().alias("canonical_id"))
+    return sources.groupBy(identity(sources.columns).alias("identity")).agg(canonical_id().alias("canonical_id"))
 
 
 def source_aliases(sources: DataFrame) -> DataFrame:
     """Every provider id with its canonical id."""
-    keyed = sources.withColumn("identity", identity())
+    keyed = sources.withColumn("identity", identity(sources.columns))
     return keyed.select("id", "identity").join(canonical_ids(sources), "identity").select("id", "canonical_id").distinct()
 
 
+def alias_changes(was: DataFrame, now: DataFrame) -> DataFrame:
+    """(change, id, identity, canonical_id): -1 for each alias (id, identity, canonical_id) that no longer holds, +1 for each new one."""
+    keys = ["id", "identity", "canonical_id"]
+    lost = was.join(now, keys, "left_anti").select(F.lit(-1).alias("change"), *keys)
+    return lost.union(now.join(was, keys, "left_anti").select(F.lit(1).alias("change"), *keys))
+
+
 def canonical_collisions(sources: DataFrame) -> DataFrame:
     """Canonical ids elected by more than one identity with other content."""
-    rows = dedup_sources(sources).groupBy("id").agg(F.count_distinct(stable_fields()).alias("n")).where("n > 1")
+    merged = dedup_sources(sources)
+    rows = merged.groupBy("id").agg(F.count_distinct(stable_fields(merged.columns)).alias("n")).where("n > 1")
     return report(rows, "canonical_id", "COLLISION", F.col("id"), F.col("n"))
 
 

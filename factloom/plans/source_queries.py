@@ -18,7 +18,7 @@ parts AS (
     scheme || '://' || host || CASE WHEN port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') THEN '' ELSE ':' || port END
     || CASE WHEN path = '' THEN '/' ELSE path END || coalesce(q, '') END AS canonical_url FROM hosts
 ), ident AS (
-  SELECT *, coalesce(canonical_url, 'meta|' || publisher || '|' || title || '|' || CAST(accessed_on AS STRING)) AS identity, batch = 0 AS stored FROM canon
+  SELECT *, coalesce(canonical_url, 'meta' || CAST(to_json([publisher, title, CAST(published_on AS VARCHAR), content_hash]) AS VARCHAR)) AS identity, batch = 0 AS stored FROM canon
 )"""
 _VALID = """
 good AS (
@@ -59,7 +59,7 @@ def _(v):
     return sources.batch_union(rows.where("batch = 0").drop("batch"), rows.where("batch = 1").drop("batch"))
 
 
-@query("dedup_conflicts", f"WITH {_CANON} SELECT 'source_identity' AS rule, 'CONFLICT' AS code, identity AS key, CAST(count(DISTINCT (source_type, title, publisher, source_tier)) AS STRING) AS detail FROM ident GROUP BY identity HAVING count(DISTINCT (source_type, title, publisher, source_tier)) > 1")
+@query("dedup_conflicts", f"WITH {_CANON} SELECT 'source_identity' AS rule, 'CONFLICT' AS code, identity AS key, CAST(count(DISTINCT (source_type, title, publisher, source_tier, access_status, published_on, content_hash)) AS STRING) AS detail FROM ident GROUP BY identity HAVING count(DISTINCT (source_type, title, publisher, source_tier, access_status, published_on, content_hash)) > 1")
 def _(v):
     return sources.dedup_conflicts(raw(v))
 

@@ -23,17 +23,20 @@ SELECT * FROM (VALUES (0,'workflow_fit'),(1,'developer_experience'),(2,'extensib
 SELECT 'SRC-' || CAST(page_id AS STRING) AS id, CAST(0 AS INT) AS batch,
        CASE WHEN page_id % 41 = 7 THEN 'ftp://files.example.com/x' WHEN page_id % 29 = 3 THEN NULL ELSE url END AS url,
        CASE page_id % 3 WHEN 0 THEN 'official_documentation' WHEN 1 THEN 'repository' ELSE 'community_post' END AS source_type,
-       'Page ' || CAST(page_id AS STRING) AS title, 'Publisher ' || CAST(page_id % 5 AS STRING) AS publisher,
+       CASE WHEN page_id % 29 = 3 THEN CASE WHEN page_id % 2 = 0 THEN 'T' END ELSE 'Page ' || CAST(page_id AS STRING) END AS title,
+       CASE WHEN page_id % 29 = 3 THEN CASE WHEN page_id % 3 > 0 THEN 'T' END ELSE 'Publisher ' || CAST(page_id % 5 AS STRING) END AS publisher,
        CAST(1 + page_id % 4 AS INT) AS source_tier,
        CASE WHEN page_id % 17 = 0 THEN 'restricted' ELSE 'public' END AS access_status,
-       DATE '2024-01-31' - CAST(page_id % 60 AS INT) AS accessed_on
+       DATE '2024-01-31' - CAST(page_id % 60 AS INT) AS accessed_on,
+       CASE WHEN page_id % 4 <> 1 THEN DATE '2023-06-01' - CAST(page_id % 2 AS INT) END AS published_on, CASE WHEN page_id % 5 > 1 THEN 'h' || CAST(page_id % 3 AS STRING) END AS content_hash
 FROM pages
 UNION ALL
 SELECT 'SRC-' || CAST(page_id + 1000000 AS STRING), CAST(1 AS INT), url || '#dup',
        CASE page_id % 3 WHEN 0 THEN 'official_documentation' WHEN 1 THEN 'repository' ELSE 'community_post' END,
        CASE WHEN page_id % 70 = 0 THEN 'Renamed' ELSE 'Page ' || CAST(page_id AS STRING) END, 'Publisher ' || CAST(page_id % 5 AS STRING),
        CAST(1 + page_id % 4 AS INT), CASE WHEN page_id % 17 = 0 THEN 'restricted' ELSE 'public' END,
-       DATE '2024-01-31'
+       DATE '2024-01-31',
+       CASE WHEN page_id % 4 <> 1 THEN DATE '2023-06-01' - CAST(page_id % 2 AS INT) END, CASE WHEN page_id % 140 = 7 THEN 'changed' WHEN page_id % 5 > 1 THEN 'h' || CAST(page_id % 3 AS STRING) END
 FROM pages WHERE page_id % 7 = 0 AND page_id % 41 <> 7 AND page_id % 29 <> 3
 """,
     "v_sources": """

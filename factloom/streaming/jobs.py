@@ -1,7 +1,9 @@
 """Incremental forms of the batch operators as Structured Streaming jobs.
 
-Each job leaves the same rows as its batch operator on the same input. Upserts keep their state in a
-Parquet table of one version folder per batch, so a repeated batch rewrites its own version only.
+Each job leaves the same rows as its batch operator on the same input, whatever its batches are. What a
+key must remember is keyed state of Spark's state store, so the cost of a batch does not grow with the
+batches before it; tables that a job keeps beside have one version folder per batch, so a repeated batch
+rewrites its own version only.
 """
 
 from __future__ import annotations
@@ -11,49 +13,151 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from factloom.operators import runs, sources
+from factloom.operators import reach, runs, sources
 from factloom.operators.violations import report
+from factloom.sources.scratch import written
 
+NO_TIMEOUT, CLOCK = GroupStateTimeout.NoTimeout, GroupStateTimeout.ProcessingTimeTimeout
 
-def _each_batch(stream: DataFrame, checkpoint: str, f: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(f).start()
 
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
-def _before(spark: SparkSession, table: str, batch: int, schema: StructType) -> DataFrame:
-    """The rows that earlier batches left."""
-    if not batch:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{table}/*").where(F.col("batch_id") < batch)
+
+def _each_batch(stream: DataFrame, checkpoint: str, f: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
+    """Run a stream over what its source holds now, and end.
+
+    A stream with timers on the clock asks for another batch after each one, and one that ends when its
+    source is read would go on for ever; so it gets no batches without data here, and its timers fire in the
+    next batch with some. Started with a trigger of its own it fires them in time.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(_EMPTY_BATCHES)
+    conf.set(_EMPTY_BATCHES, "false")
+    try:
+        return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(f).start()
+    finally:
+        conf.set(_EMPTY_BATCHES, before)
+
+
+def replay(rows: DataFrame, batch: Column, batches: int, folder: str, job: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Run a job over `rows` in `batches` parts: each part is put into its source folder and the job started
+    again from its checkpoint."""
+    parts = written(rows.withColumn("_batch", batch))
+    for b in range(batches):
+        parts.where(F.col("_batch") == b).drop("_batch").write.mode("append").parquet(f"{folder}/source")
+        job(rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/source")).awaitTermination()
+
+
+def to_table(stream: DataFrame, folder: str, mode: str = "append") -> StreamingQuery:
+    """Append what a stream puts out to the Parquet table `<folder>/out`."""
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/out/v={batch}")
+
+    return _each_batch(stream, f"{folder}/checkpoint", put, mode)
+
+
+def read_table(spark: SparkSession, folder: str, schema: StructType, name: str = "out") -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{folder}/{name}/*")
+
+
+# sources
 
 
 def stream_source_upsert(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep all sources by identity; `read_sources` gives the merged index."""
+    """Keep all sources by identity; `read_sources` gives the merged index, `read_aliases` the changes of the
+    alias map.
+
+    A batch that lets an identity elect another canonical id takes back the aliases of all its members and
+    gives new ones. The sources of the first batch are the stored ones.
+    """
 
     def merge(df: DataFrame, batch: int) -> None:
-        sources.canonical(df).withColumn("stored", F.lit(batch == 0)).withColumn("batch_id", F.lit(batch)).write.mode("overwrite").parquet(f"{table}/v={batch}")
+        spark = df.sparkSession
+        fresh = sources.canonical(df).withColumn("stored", F.lit(batch == 0))
+        own = written(fresh.select("id", sources.identity(fresh.columns).alias("identity"), "stored").distinct())
+        before = _members(spark, table, batch, own.schema)
+        touched = own.select("identity").distinct()
+        old = before.join(touched, "identity", "left_semi")
+        was, now = _elected(old), _elected(old.union(own))
+        _write(own, f"{table}_members", batch)
+        _write(sources.alias_changes(was, now), f"{table}_aliases", batch)
+        _write(fresh, table, batch)
 
     return _each_batch(stream, checkpoint, merge)
 
 
+def _write(df: DataFrame, table: str, batch: int) -> None:
+    df.write.mode("overwrite").parquet(f"{table}/v={batch}")
+
+
+def _members(spark: SparkSession, table: str, batch: int, schema: StructType) -> DataFrame:
+    if not batch:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(StructType([*schema.fields]).add("v", "int")).option("basePath", f"{table}_members").parquet(f"{table}_members").where(F.col("v") < batch).drop("v")
+
+
+def _elected(members: DataFrame) -> DataFrame:
+    ids = members.groupBy("identity").agg(sources.canonical_id().alias("canonical_id"))
+    return members.select("id", "identity").distinct().join(ids, "identity").select("id", "identity", "canonical_id")
+
+
 def read_sources(spark: SparkSession, table: str) -> DataFrame:
-    return sources.dedup_sources(spark.read.parquet(table).drop("v", "batch_id"))
+    return sources.dedup_sources(spark.read.parquet(table).drop("v"))
+
+
+def read_aliases(spark: SparkSession, table: str) -> DataFrame:
+    """(v, change, id, canonical_id): +1 where batch v gave an alias, -1 where it took one back."""
+    return spark.read.parquet(f"{table}_aliases")
+
+
+def folded_aliases(changes: DataFrame) -> DataFrame:
+    """(id, canonical_id) that all changes together leave."""
+    return changes.groupBy("id", "identity", "canonical_id").agg(F.sum("change").alias("n")).where("n > 0").select("id", "canonical_id").distinct()
+
+
+# append-only records
+
+_VERDICT = "key string, verdict string, row string"
+
+
+def _judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The content of a key decides what its later rows are; one row of a new key goes on."""
+    known = tuple(state.get) if state.exists else None
+    contents, row = set(), None
+    for pdf in frames:
+        contents |= {None if c is None or c != c else c for c in pdf["content"]}
+        row = pdf["row"].iloc[0] if row is None else row
+    first = next(iter(contents))
+    conflict = len(contents) > 1 or (known is not None and known[0] != first)
+    if known is None and not conflict:
+        state.update((first,))
+    verdict = "CONFLICT" if conflict else "KNOWN" if known is not None else "FRESH"
+    yield pd.DataFrame([(key[0], verdict, row if verdict == "FRESH" else None)], columns=["key", "verdict", "row"])
 
 
 def stream_provenance_append(stream: DataFrame, table: str, checkpoint: str, key: str, content: Column) -> StreamingQuery:
-    """Append rows of new keys; rows of known keys with other content go to `<table>_conflicts`."""
-    schema = StructType([*stream.schema.fields]).add("batch_id", IntegerType())
+    """Append rows of new keys; keys that come with other content go to `<table>_conflicts`.
+
+    The content of every key is keyed state, so a batch touches the state of its own keys only and reads
+    nothing that earlier batches wrote. Rows without a key are left out; a null content is one content.
+    """
+    rows = stream.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), content.cast("string").alias("content"), F.to_json(F.struct(*stream.columns)).alias("row"))
+    judged = rows.groupBy("key").applyInPandasWithState(_judge, _VERDICT, "content string", "append", NO_TIMEOUT)
+    schema = stream.schema
 
-    def append(df: DataFrame, batch: int) -> None:
-        known = _before(df.sparkSession, table, batch, schema)
-        fresh, conflicts = sources.append_immutable(known, df, key, content)
-        conflicts.write.mode("overwrite").parquet(f"{table}_conflicts/v={batch}")
-        fresh.withColumn("batch_id", F.lit(batch)).write.mode("overwrite").parquet(f"{table}/v={batch}")
+    def put(df: DataFrame, batch: int) -> None:
+        told = df.persist()
+        fresh = told.where("verdict = 'FRESH'").select(F.from_json("row", schema).alias("r")).select("r.*")
+        _write(report(told.where("verdict = 'CONFLICT'"), "immutable_append", "CONFLICT", F.col("key")), f"{table}_conflicts", batch)
+        _write(fresh, table, batch)
+        told.unpersist()
 
-    return _each_batch(stream, checkpoint, append)
+    return _each_batch(judged, checkpoint, put)
 
 
 def stream_torn_lines(stream: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
@@ -61,71 +165,105 @@ def stream_torn_lines(stream: DataFrame, schema: StructType) -> tuple[DataFrame,
     return runs.parse_lines(stream, schema)
 
 
-def stream_impact(changes: DataFrame, closure: DataFrame) -> DataFrame:
-    """For every changed node its downstream nodes: a join with a closure (root, node) computed beforehand."""
-    return changes.join(closure.withColumnRenamed("root", "changed"), "changed")
+# requests
 
+REQUEST_SCHEMA = "run_id long, key_hash string, seq long, outcome string"
 
-class _Requests(StatefulProcessor):
-    """The first request of a key, kept for the time to live."""
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+def _requests(ttl_ms: int):
+    def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = state.getCurrentProcessingTimeMs()
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        first, until = (tuple(state.get)[:2], state.get[2]) if state.exists else (None, now + ttl_ms)
+        out = []
+        for seq, request, operation in zip(rows["seq"], rows["request_hash"], rows["operation"], strict=True):
+            outcome = "FIRST" if first is None else "REPLAY" if first == (request, operation) else "CONFLICT"
+            first = first or (request, operation)
+            out.append((*key, seq, outcome))
+        state.update((*first, until))
+        state.setTimeoutDuration(max(1, until - now))
+        yield pd.DataFrame(out, columns=["run_id", "key_hash", "seq", "outcome"])
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "request_hash string, operation string", ttlDurationMs=self.ttl_ms)
+    return judge
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            out = []
-            for r in pdf.sort_values("seq").itertuples():
-                if not self.first.exists():
-                    self.first.update((r.request_hash, r.operation))
-                    outcome = "FIRST"
-                else:
-                    outcome = "REPLAY" if tuple(self.first.get()) == (r.request_hash, r.operation) else "CONFLICT"
-                out.append((key[0], key[1], r.seq, outcome))
-            yield pd.DataFrame(out, columns=["run_id", "key_hash", "seq", "outcome"])
 
-    def close(self) -> None:
-        pass
+def stream_idempotent_requests(stream: DataFrame, ttl_ms: int = 7 * 86_400_000) -> DataFrame:
+    """FIRST, REPLAY or CONFLICT of each request (run_id, key_hash, seq, request_hash, operation).
 
+    The first request of a key is kept for the time to live, over restarts too; a replay after it counts as
+    new. Inside a batch requests are judged by `seq`.
+    """
+    return stream.select("run_id", "key_hash", "seq", "request_hash", "operation").groupBy("run_id", "key_hash").applyInPandasWithState(_requests(ttl_ms), REQUEST_SCHEMA, "request_hash string, operation string, until long", "append", CLOCK)
 
-def stream_idempotent_requests(stream: DataFrame, ttl_ms: int = 7 * 86_400_000) -> DataFrame:
-    """FIRST, REPLAY or CONFLICT of each request (run_id, key_hash, seq, ...). A replay after the time to live counts as new."""
-    return stream.groupBy("run_id", "key_hash").transformWithStateInPandas(_Requests(ttl_ms), "run_id long, key_hash string, seq long, outcome string", "append", "processingTime")
 
+# node states
 
-class _Nodes(StatefulProcessor):
-    """The last status and offset of a node; rows ahead of a missing offset wait."""
+NODE_SCHEMA = "run_id long, node long, step long, before string, status string, legal boolean, kind string"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "status string, offset long")
-        self.ahead = handle.getMapState("ahead", "offset long", "status string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for r in pdf.itertuples():
-                self.ahead.updateValue((int(r.log_offset),), (r.status,))
-        status, offset = self.last.get() if self.last.exists() else (None, 0)
+def _nodes(moves: dict, wait_ms: int):
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, at, steps, waiting = state.get if state.exists else (None, 0, [], [])
+        ahead = dict(zip(steps, waiting, strict=True))
         out = []
-        while self.ahead.containsKey((offset + 1,)):
-            new = self.ahead.getValue((offset + 1,))[0]
-            self.ahead.removeKey((offset + 1,))
-            offset += 1
-            legal = status is None or new == status or new in runs.TRANSITIONS.get(status, ())
-            out.append((key[0], offset, status, new, legal))
-            status = new
-        self.last.update((status, offset))
-        yield pd.DataFrame(out, columns=["run_id", "log_offset", "before", "status", "legal"])
 
-    def close(self) -> None:
-        pass
+        def move(step: int, new: str, kind: str) -> None:
+            nonlocal status, at
+            out.append((*key, step, status, new, status is None or new == status or new in moves.get(status, ()), kind))
+            status, at = new, step
+
+        if state.hasTimedOut:  # the missing steps are given up
+            for step in sorted(ahead):
+                move(step, ahead[step], "STEP" if step == at + 1 else "AFTER_GAP")
+            ahead = {}
+        for pdf in frames if not state.hasTimedOut else ():
+            for step, new in zip(pdf["step"].tolist(), pdf["status"], strict=True):
+                if step <= at or step in ahead:
+                    out.append((*key, step, None, new, None, "LATE"))
+                else:
+                    ahead[step] = new
+        while at + 1 in ahead:
+            move(at + 1, ahead.pop(at + 1), "STEP")
+        state.update((status, at, sorted(ahead), [ahead[s] for s in sorted(ahead)]))
+        if ahead:
+            state.setTimeoutDuration(wait_ms)
+        yield pd.DataFrame(out, columns=["run_id", "node", "step", "before", "status", "legal", "kind"])
+
+    return fold
+
+
+def stream_node_state(stream: DataFrame, moves: dict = runs.TRANSITIONS, wait_ms: int = 3_600_000) -> DataFrame:
+    """Fold (run_id, node, step, status) rows, steps 1, 2, ... of each node, in their order.
+
+    One row for each step, marked where the move is illegal. Rows ahead of a missing step wait in the state
+    of their node; after `wait_ms` without a row they are folded over the gap (AFTER_GAP). A step that was
+    folded, or waits, already changes nothing (LATE).
+    """
+    return stream.select("run_id", "node", "step", "status").groupBy("run_id", "node").applyInPandasWithState(_nodes(moves, wait_ms), NODE_SCHEMA, "status string, at long, steps array<long>, waiting array<string>", "append", CLOCK)
 
 
-def stream_node_state(stream: DataFrame) -> DataFrame:
-    """Fold (run_id, log_offset, status) rows in offset order; one row per step, marked where the move is illegal."""
-    return stream.groupBy("run_id").transformWithStateInPandas(_Nodes(), "run_id long, log_offset long, before string, status string, legal boolean", "append", "none")
+# budgets
+
+ALERT_SCHEMA = "run_id long, used long, most long"
+
+
+def _budget(most: int):
+    def add(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        used, told = state.get if state.exists else (0, False)
+        used += int(sum(pdf["used"].fillna(0).sum() for pdf in frames))
+        state.update((used, told or used >= most))
+        yield pd.DataFrame([] if told or used < most else [(key[0], used, most)], columns=["run_id", "used", "most"])
+
+    return add
+
+
+def stream_budget_alerts(stream: DataFrame, usage: str, most: int, waiting: Column | None = None) -> DataFrame:
+    """One alert a run, in the batch in which its usage reaches the limit. Rows that are `waiting` don't count."""
+    rows = stream.where(~F.coalesce(waiting, F.lit(False))) if waiting is not None else stream
+    return rows.select("run_id", F.col(usage).cast("long").alias("used")).groupBy("run_id").applyInPandasWithState(_budget(most), ALERT_SCHEMA, "used long, told boolean", "append", NO_TIMEOUT)
 
 
 def stream_run_budget(stream: DataFrame, usage: str, limit: int) -> DataFrame:
@@ -133,5 +271,62 @@ def stream_run_budget(stream: DataFrame, usage: str, limit: int) -> DataFrame:
     return stream.groupBy("run_id").agg(F.sum(usage).alias("used")).withColumn("exceeded", F.coalesce(F.col("used") >= limit, F.lit(False)))
 
 
+# impact
+
+
+def stream_impact(changes: DataFrame, closure: DataFrame) -> DataFrame:
+    """For every changed node its downstream nodes: a join with a closure (root, node)."""
+    return changes.join(closure.withColumnRenamed("root", "changed"), "changed")
+
+
+def stream_closure(stream: DataFrame, roots: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Keep (root, node) of all that the roots reach while edges (node, depends_on, added) come and go.
+
+    Inserts extend the pairs semi-naively: only what new edges reach is joined again. Deletes count the pairs
+    of those roots anew that could reach a deleted edge. Inside a batch the deletes of an edge come before
+    its inserts. `read_closure` gives the pairs after a batch.
+    """
+    roots = written(roots.select("node").where("node IS NOT NULL").distinct())
+
+    def change(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        arcs_schema, pairs_schema = "a long, b long", "root long, node long"
+        old = spark.read.schema(arcs_schema).parquet(f"{table}/arcs/v={batch - 1}") if batch else spark.createDataFrame([], arcs_schema)
+        pairs = read_closure(spark, table, batch - 1) if batch else spark.createDataFrame([], pairs_schema)
+        told = written(df.select("node", "depends_on", "added"))
+        gone, new = (reach.arcs_of(told.where(F.col("added") == flag)) for flag in (False, True))
+        kept = old.join(gone, ["a", "b"], "left_anti")
+        arcs = written(kept.union(new).distinct())
+        lost = old.join(gone.join(new, ["a", "b"], "left_anti"), ["a", "b"], "left_semi")
+        starts = pairs.union(roots.select(F.col("node").alias("root"), "node")).distinct()
+        recount = written(starts.join(lost.select(F.col("a").alias("node")), "node", "left_semi").select(F.col("root").alias("node")).distinct())
+        safe = pairs.join(recount.withColumnRenamed("node", "root"), "root", "left_anti")
+        fresh = new.join(old, ["a", "b"], "left_anti")
+        ways = safe.union(roots.join(recount, "node", "left_anti").select("node", "node")).distinct()
+        first = written(ways.withColumnRenamed("node", "a").join(fresh, "a").select("root", F.col("b").alias("node")).distinct().join(safe, ["root", "node"], "left_anti"))
+        grown = [written(safe), first]
+        newest = first
+        while not newest.isEmpty():
+            found = newest.withColumnRenamed("node", "a").join(arcs, "a").select("root", F.col("b").alias("node")).distinct()
+            newest = written(found.join(grown[0].union(_all(grown[1:])), ["root", "node"], "left_anti"))
+            grown.append(newest)
+        again = reach.reached(arcs, recount)[0] if not recount.isEmpty() else newest
+        arcs.write.mode("overwrite").parquet(f"{table}/arcs/v={batch}")
+        _all(grown).union(again).distinct().write.mode("overwrite").parquet(f"{table}/pairs/v={batch}")
+
+    return _each_batch(stream, checkpoint, change)
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
+def read_closure(spark: SparkSession, table: str, batch: int) -> DataFrame:
+    return spark.read.schema("root long, node long").parquet(f"{table}/pairs/v={batch}")
+
+
 def conflicts(outcomes: DataFrame) -> DataFrame:
     return report(outcomes.where("outcome = 'CONFLICT'"), "idempotency", "CONFLICT", F.concat_ws("/", F.col("run_id").cast("string"), "key_hash", F.col("seq").cast("string")))
