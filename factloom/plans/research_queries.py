@@ -102,7 +102,7 @@ def _(v):
     return research.condition_eval(terms, states)
 
 
-@query("citation_metadata_check", "SELECT 'citation_metadata' AS rule, 'URL' AS code, id AS key, '' AS detail FROM v_sources_raw WHERE url IS NULL OR url LIKE 'ftp%'")
+@query("citation_metadata_check", "SELECT 'citation_metadata' AS rule, 'URL' AS code, id AS key, '' AS detail FROM v_sources_raw WHERE url IS NULL OR url LIKE 'ftp%' UNION ALL SELECT 'citation_metadata', 'PUBLISHER', id, '' FROM v_sources_raw WHERE publisher IS NULL UNION ALL SELECT 'citation_metadata', 'TITLE', id, '' FROM v_sources_raw WHERE title IS NULL")
 def _(v):
     return research.citation_metadata(v("v_sources_raw"))
 

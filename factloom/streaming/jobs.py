@@ -83,7 +83,7 @@ def stream_source_upsert(stream: DataFrame, table: str, checkpoint: str) -> Stre
         before = _members(spark, table, batch, own.schema)
         touched = own.select("identity").distinct()
         old = before.join(touched, "identity", "left_semi")
-        was, now = _elected(old), _elected(old.union(own))
+        was, now = _elected(old), _elected(old.unionByName(own))
         _write(own, f"{table}_members", batch)
         _write(sources.alias_changes(was, now), f"{table}_aliases", batch)
         _write(fresh, table, batch)
@@ -98,7 +98,7 @@ def _write(df: DataFrame, table: str, batch: int) -> None:
 def _members(spark: SparkSession, table: str, batch: int, schema: StructType) -> DataFrame:
     if not batch:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(StructType([*schema.fields]).add("v", "int")).option("basePath", f"{table}_members").parquet(f"{table}_members").where(F.col("v") < batch).drop("v")
+    return spark.read.schema(StructType([*schema.fields]).add("v", "integer")).option("basePath", f"{table}_members").parquet(f"{table}_members").where(F.col("v") < batch).drop("v")
 
 
 def _elected(members: DataFrame) -> DataFrame:
@@ -177,7 +177,8 @@ def _requests(ttl_ms: int):
             return
         now = state.getCurrentProcessingTimeMs()
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        first, until = (tuple(state.get)[:2], state.get[2]) if state.exists else (None, now + ttl_ms)
+        live = state.exists and state.get[2] > now
+        first, until = (tuple(state.get)[:2], state.get[2]) if live else (None, now + ttl_ms)
         out = []
         for seq, request, operation in zip(rows["seq"], rows["request_hash"], rows["operation"], strict=True):
             outcome = "FIRST" if first is None else "REPLAY" if first == (request, operation) else "CONFLICT"

@@ -1,7 +1,5 @@
 """Operators on small hand-made rows."""
 
-import os
-
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -133,25 +131,6 @@ def test_budget_stream(spark, tmp_path):
     assert {(r.run_id, r.used, r.exceeded) for r in spark.table("budget").collect()} == {(1, 12, True), (2, 1, False)}
 
 
-@pytest.mark.skipif(os.environ.get("FACTLOOM_STATEFUL") != "1", reason="the state-store worker did not answer within 75 s where this was tried")
-def test_stateful_streams_equal_batch(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = [(1, "k", "h1", "op", 1), (1, "k", "h1", "op", 2), (1, "k", "h2", "op", 3), (2, "k", "h2", "op", 4)]
-    schema = "run_id long, key_hash string, request_hash string, operation string, seq long"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    out = jobs.stream_idempotent_requests(stream)
-    out.writeStream.outputMode("append").format("memory").queryName("idem").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    batch = runs.idempotency_audit(spark.createDataFrame(rows, schema))
-    assert {(r.seq, r.outcome) for r in spark.table("idem").collect()} == {(r.seq, r.outcome) for r in batch.collect()}
-
-    states = [(1, 2, "RUNNING"), (1, 1, "READY"), (1, 3, "VERIFIED")]
-    spark.createDataFrame(states, "run_id long, log_offset long, status string").coalesce(1).write.parquet(str(tmp_path / "in2"))
-    nodes = jobs.stream_node_state(spark.readStream.schema("run_id long, log_offset long, status string").parquet(str(tmp_path / "in2")))
-    nodes.writeStream.outputMode("append").format("memory").queryName("nodes").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted((r.log_offset, r.legal) for r in spark.table("nodes").collect()) == [(1, True), (2, True), (3, False)]
-
-
 def test_all_rows_of_a_callers_rules_count(spark):
     n = 1500
     codes = spark.range(n).select(F.concat(F.lit("c"), "id").alias("code"))
