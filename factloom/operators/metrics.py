@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import core
 from factloom.operators.violations import report
+from factloom.sources.scratch import small_side
 
 # fixed values
 MOMENTUM_WEIGHTS = {"star_growth_30d": 0.35, "contributor_growth_30d": 0.25, "release_activity_90d": 0.20, "issue_activity_30d": 0.20}
@@ -20,8 +21,9 @@ def feature_taxonomy(labels: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def taxonomy_grid(taxonomy: DataFrame, competitors: DataFrame) -> DataFrame:
-    """Every label for every candidate. The taxonomy is the small side of a report; both are counted first."""
-    return competitors.crossJoin(taxonomy)
+    """Every label for every candidate: the grid itself is the result. The labels are counted, and sent to the
+    tasks of the candidates while they are few."""
+    return competitors.crossJoin(small_side(taxonomy))
 
 
 def feature_coverage(features: DataFrame, grid: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import core
+from factloom.operators.metrics import row_order
 from factloom.operators.violations import report
 
 
@@ -133,9 +134,9 @@ def publication_union(text_groups: DataFrame, charts: DataFrame) -> DataFrame:
     """Text fact groups followed by one group per chart: (group_id, section, pos), charts in order of type."""
     chart = charts.select(core.chart_group_id(F.col("chart_type")).alias("group_id"), F.lower(core.chart_group_id(F.col("chart_type"))).alias("section"), F.lit(1).alias("part"), F.col("chart_type").alias("order"))
     text = text_groups.select("group_id", F.col("group_id").alias("section"), F.lit(0).alias("part"), F.col("group_id").alias("order"))
-    # a publication has a few groups
-    both = text.union(chart)
-    return both.withColumn("pos", F.row_number().over(Window.orderBy("part", "order"))).drop("part", "order")
+    # numbered inside ranges of the order, of which only the counts are summed one after another
+    both = text.union(chart).withColumn("range", F.concat(F.col("part").cast("string"), F.coalesce(F.left("order", F.lit(6)), F.lit(""))))
+    return row_order(both, "range", "order").withColumn("pos", F.col("pos").cast("int")).drop("part", "order", "range")
 
 
 def report_rows(facts: DataFrame, evidence: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -16,8 +16,9 @@ def category_weight(category: Column) -> Column:
     return out
 
 
-def policy_ranking(candidates: DataFrame, links: DataFrame, sources: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Candidates with `rank`: category, fresh sources, sources, name, id. `by`: columns that part the runs."""
+def policy_ranking(candidates: DataFrame, links: DataFrame, sources: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Candidates with `rank`: category, fresh sources, sources, name, id. `by`: the columns that part the
+    runs, each of which is ranked by itself."""
     told = links.join(sources.select(F.col("id").alias("source_id"), "freshness_status"), "source_id", "left")
     counts = told.groupBy(F.col("candidate_id").alias("id")).agg(F.count_if(F.col("freshness_status") == "FRESH").alias("fresh"), F.count("*").alias("sources"))
     rows = candidates.join(counts, "id", "left").fillna(0, ["fresh", "sources"])

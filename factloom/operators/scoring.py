@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.violations import report
+from factloom.sources.scratch import small_side
 
 # fixed values
 WEIGHT = "0.2"
@@ -50,7 +51,7 @@ def effective_weights(judgments: DataFrame) -> DataFrame:
 
 def missing_dimensions(judgments: DataFrame, dimensions: DataFrame) -> DataFrame:
     """Per candidate the rubric dimensions without a score, in rubric order, as an array."""
-    grid = judgments.select("competitor_id").distinct().crossJoin(dimensions.select("dimension_id", "dimension_order"))
+    grid = judgments.select("competitor_id").distinct().crossJoin(small_side(dimensions.select("dimension_id", "dimension_order")))
     gaps = grid.join(judgments.where(_scored()).select("competitor_id", "dimension_id"), ["competitor_id", "dimension_id"], "left_anti")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("dimension_order", "dimension_id"))), lambda x: x["dimension_id"])
     return gaps.groupBy("competitor_id").agg(listed.alias("missing"))
@@ -100,7 +101,7 @@ def score_parts_audit(judgments: DataFrame, dimensions: DataFrame, missing: Data
     that are not those of the judgments, dimension by dimension."""
     keys = ["competitor_id", "dimension_id"]
     fresh = effective_weights(judgments).select(*keys, F.col("effective_weight").alias("now"))
-    grid = judgments.select("competitor_id").distinct().crossJoin(F.broadcast(_few(dimensions.select("dimension_id").distinct())))
+    grid = judgments.select("competitor_id").distinct().crossJoin(small_side(dimensions.select("dimension_id").distinct()))
     open_now = grid.join(judgments.where(_scored()).select(*keys), keys, "left_anti").withColumn("l", F.lit(True))
     told = open_now.join(missing.select(*keys).distinct().withColumn("r", F.lit(True)), keys, "full_outer").where("l IS NULL OR r IS NULL")
     key = F.concat_ws("/", *keys)
@@ -109,14 +110,6 @@ def score_parts_audit(judgments: DataFrame, dimensions: DataFrame, missing: Data
     return found.union(report(both, "score_audit", "WEIGHT", key, F.col("now").cast("decimal(9,6)")))
 
 
-def _few(rows: DataFrame, most: int = 10_000) -> DataFrame:
-    """A table that may be sent to every task: its rows are counted, and more than `most` are an error."""
-    n = rows.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"a rubric of more than {most} dimensions")
-    return rows
-
-
 def score_status_check(judgments: DataFrame, key: Column) -> DataFrame:
     """SCORED needs a whole score from 1 to 10; UNRESOLVED must have none."""
     bad = F.when(_scored() & (F.col("score").isNull() | ~F.col("score").between(1, 10)), "SCORE").when(~_scored() & F.col("score").isNotNull(), "UNRESOLVED_SCORE")

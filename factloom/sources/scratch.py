@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession) -> str:
@@ -31,6 +32,12 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def small_side(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A side of a join that is sent to every task if it has at most `most` rows, which are counted; a larger
+    one is joined as the planner sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete tables made by written() that nothing reads any more."""
     for df in frames:
