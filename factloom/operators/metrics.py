@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import core
+from factloom.operators.sets import unequal_sets
 from factloom.operators.violations import report
 from factloom.sources.scratch import small_side
 
@@ -65,10 +66,16 @@ def normalize_metrics(wide: DataFrame, id_col: str, metrics: list[str]) -> DataF
 
 
 def dataset_alignment(dataset: DataFrame, selected: DataFrame) -> DataFrame:
-    """Groups whose dataset ids are not the selected ids in the same order; both have (group_id, pos, id)."""
-    listed = lambda d, n: d.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias(n))
-    told = listed(dataset, "a").join(listed(selected, "b"), "group_id", "full_outer")
-    return report(told.where(~F.col("a").eqNullSafe(F.col("b"))), "dataset_alignment", "ORDER", F.col("group_id"))
+    """Groups whose dataset ids are not the selected ids in the same order; both have (group_id, pos, id).
+
+    Ids are numbered in order, and the numbered ids of both sides compared as sets, so no row holds a group.
+    """
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("group_id").orderBy("pos", "id"))
+        return rows.select(F.col("group_id").alias("key"), F.struct(place.alias("n"), "id").alias("member"))
+
+    return report(unequal_sets(numbered(dataset), numbered(selected)), "dataset_alignment", "ORDER", F.col("key"))
 
 
 def momentum_score(metrics: DataFrame, id_col: str, weights: dict[str, float]) -> DataFrame:

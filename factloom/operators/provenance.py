@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import core
 from factloom.operators.metrics import row_order
+from factloom.operators.sets import unequal_sets
 from factloom.operators.violations import report
 
 
@@ -113,17 +114,6 @@ def build_claims(observations: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def unequal_sets(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Keys whose sets (key, member) differ: members are hashed twice and combined, so a set of any size is
-    compared by three numbers and no row holds a group."""
-    sides = []
-    for name, df in (("l", left), ("r", right)):
-        told = df.select("key", "member").distinct()
-        prints = (F.bit_xor(F.xxhash64("member")), F.bit_xor(F.xxhash64("member", F.lit(1))), F.count("*"))
-        sides.append(told.groupBy("key").agg(F.struct(*(p.alias(f"p{i}") for i, p in enumerate(prints))).alias(name)))
-    return sides[0].join(sides[1], "key", "full_outer").where(~F.col("l").eqNullSafe(F.col("r"))).select("key")
-
-
 def set_differences(left: DataFrame, right: DataFrame, rule: str) -> DataFrame:
     """set_equality, which looks only into the keys whose sets differ."""
     keys = unequal_sets(left, right)
@@ -147,10 +137,14 @@ def report_rows(facts: DataFrame, evidence: DataFrame, sources: DataFrame) -> tu
 
 
 def projection_audit(stored: DataFrame, facts: DataFrame, state: Column) -> DataFrame:
-    """Stored projections (projection, refs, state_version) whose sorted facts changed or whose state lies ahead."""
-    now = facts.groupBy("projection").agg(F.sort_array(F.collect_set("fact_id")).alias("now"))
-    told = stored.join(now, "projection", "left")
-    code = F.when(~F.col("refs").eqNullSafe(F.col("now")), "INPUT_REFS").when(F.col("state_version") > state, "STATE_AHEAD")
+    """Stored projections (projection, refs, state_version) whose facts changed, whose refs are not sorted and
+    distinct, or whose state lies ahead. The current facts are compared as sets, without a row that holds them."""
+    now = facts.select(F.col("projection").alias("key"), F.col("fact_id").alias("member")).join(stored.select(F.col("projection").alias("key")), "key", "left_semi")
+    held = stored.select(F.col("projection").alias("key"), F.explode("refs").alias("member"))
+    changed = unequal_sets(held, now).select(F.col("key").alias("projection"), F.lit(True).alias("changed"))
+    told = stored.join(changed, "projection", "left")
+    wrong = F.coalesce("changed", F.lit(False)) | ~F.coalesce(F.col("refs") == F.sort_array(F.array_distinct("refs")), F.lit(False))
+    code = F.when(wrong, "INPUT_REFS").when(F.col("state_version") > state, "STATE_AHEAD")
     return report(told.where(code.isNotNull()), "projection", code, F.col("projection"))
 
 

@@ -21,6 +21,7 @@ TRANSITIONS = {
     "VERIFIED": ("INVALIDATED",),
     "INVALIDATED": ("PENDING",),
 }
+# fixed values: allowed moves of a gate, of a node that waits for input from outside, of a run and of an attempt
 HUMAN_GATE = {
     "PENDING": ("READY", "SKIPPED", "BLOCKED", "INVALIDATED"),
     "READY": ("WAITING_FOR_USER", "SKIPPED", "BLOCKED", "INVALIDATED"),
@@ -51,9 +52,10 @@ ATTEMPT = {
     "WAITING_FOR_USER": ("RUNNING", "FAILED", "INVALIDATED"),
     "WAITING_FOR_EXTERNAL": ("RUNNING", "FAILED", "INVALIDATED"),
 }
-# moves beside those of an executable node: of every one, and of an interactive one
+# fixed values: moves beside those of an executable node: of every one, and of an interactive one
 WAITING = {"RUNNING": ("WAITING_FOR_EXTERNAL",), "WAITING_FOR_EXTERNAL": ("RUNNING", "FAILED", "BLOCKED", "INVALIDATED")}
 ASKING = {"RUNNING": ("WAITING_FOR_USER",), "WAITING_FOR_USER": ("RUNNING", "FAILED", "BLOCKED")}
+# fixed values: what an event may hold
 EVENT_FIELDS = [
     "event", "ts", "state_version", "run_id", "node", "attempt", "question_id", "method", "round", "target_unknown_id", "reason",
     "source_contract_version", "ref_type", "content_hash", "matrix_rule", "artifact", "decision_id", "adapter_type", "operation",

@@ -29,10 +29,10 @@ def _(v):
     return runs.append_events(e.where("event_id % 3 <> 0"), e.where("event_id % 3 = 0").drop("log_offset"), ["event_id"]).select("event_id", "run_id", "log_offset")
 
 
-@query("write_versioned", "WITH last AS (SELECT artifact_id, max(version) AS supersedes FROM v_artifacts WHERE version <= 20 GROUP BY artifact_id) SELECT DISTINCT e.event AS artifact_id, l.supersedes, coalesce(l.supersedes, 0) + 1 AS version, 'sha256:' || SHA256(e.event) AS content_hash FROM v_events e LEFT JOIN last l ON e.event = l.artifact_id")
+@query("write_versioned", "WITH last AS (SELECT artifact_id, max(version) AS supersedes FROM v_artifacts GROUP BY artifact_id) SELECT DISTINCT e.event AS artifact_id, l.supersedes, coalesce(l.supersedes, 0) + 1 AS version, 'sha256:' || SHA256(e.event) AS content_hash FROM v_events e LEFT JOIN last l ON e.event = l.artifact_id")
 def _(v):
     rows = v("v_events").select(F.col("event").alias("artifact_id")).distinct()
-    return runs.write_versioned(rows, v("v_artifacts").where("version <= 20"), "artifact_id", F.col("artifact_id")).select("artifact_id", "supersedes", "version", "content_hash")
+    return runs.write_versioned(rows, v("v_artifacts"), "artifact_id", F.col("artifact_id")).select("artifact_id", "supersedes", "version", "content_hash")
 
 
 @query("inventory_audit", "SELECT 'inventory' AS rule, CASE WHEN page_id % 10 = 0 THEN 'MISSING' WHEN page_id % 10 = 1 THEN 'UNEXPECTED' ELSE 'CHANGED' END AS code, url AS key, '' AS detail FROM (SELECT min(page_id) AS page_id, url FROM pages GROUP BY url) p WHERE page_id % 10 <= 2")
@@ -197,9 +197,9 @@ def _(v):
     return runs.permission_audit(t.select("attempt", F.col("role").alias("kind"), F.col("bucket").alias("level")), declared)
 
 
-@query("round_limit", "WITH t AS (SELECT attempt, seq + 1 AS round, row_number() OVER (PARTITION BY attempt ORDER BY seq) AS n FROM v_turns WHERE bucket <> 0) SELECT 'round' AS rule, CASE WHEN round > 4 THEN 'TOO_MANY' ELSE 'JUMP' END AS code, CAST(attempt AS STRING) || '/' || CAST(round AS STRING) AS key, '' AS detail FROM t WHERE round > 4 OR round <> n")
+@query("round_limit", "WITH r AS (SELECT attempt, CASE WHEN bucket = 0 THEN seq + 3 ELSE seq + 1 END AS round FROM v_turns), t AS (SELECT attempt, round, row_number() OVER (PARTITION BY attempt ORDER BY round) AS n FROM r) SELECT 'round' AS rule, CASE WHEN round > 4 THEN 'TOO_MANY' ELSE 'JUMP' END AS code, CAST(attempt AS STRING) || '/' || CAST(round AS STRING) AS key, '' AS detail FROM t WHERE round > 4 OR round <> n")
 def _(v):
-    return runs.round_limit(v("v_turns").where("bucket <> 0").withColumn("round", F.col("seq") + 1), 4)
+    return runs.round_limit(v("v_turns").withColumn("round", F.when(F.col("bucket") == 0, F.col("seq") + 3).otherwise(F.col("seq") + 1)), 4)
 
 
 @query("gate_to_decision", "SELECT o_custkey AS run_id, o_orderpriority AS gate, arg_max(o_orderstatus, o_orderkey) AS decision, max(o_orderkey) AS seq FROM orders GROUP BY 1, 2")

@@ -6,6 +6,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from factloom.functions import core
 from factloom.operators import lineage, providers, runs, scoring, sources, violations
+from factloom.operators.sets import unequal_sets
 from factloom.streaming import jobs
 
 
@@ -144,3 +145,24 @@ def test_all_rows_of_a_callers_rules_count(spark):
     links = codes.select(F.lit("d").alias("dimension_id"), F.col("code").alias("claim_id"))
     claims = codes.select(F.col("code").alias("id"), F.col("code").alias("category"))
     assert scoring.claim_category_scope(links, claims, codes.select(F.lit("d").alias("dimension_id"), F.col("code").alias("category"))).count() == 0
+
+
+def test_moves_as_the_rules_state_them():
+    """Moves that tell the kinds apart, written out."""
+    has = lambda kind, a, b: b in runs.MOVES[kind].get(a, ())
+    allowed = [("executable", "READY", "RUNNING"), ("executable", "RUNNING", "WAITING_FOR_EXTERNAL"), ("executable", "FAILED", "RETRY_READY"), ("executable", "INVALIDATED", "PENDING"), ("interactive", "RUNNING", "WAITING_FOR_USER"), ("interactive", "WAITING_FOR_USER", "RUNNING"), ("human_gate", "READY", "WAITING_FOR_USER"), ("human_gate", "WAITING_FOR_USER", "APPROVED"), ("external_input", "READY", "WAITING_FOR_EXTERNAL"), ("external_input", "RETRY_READY", "WAITING_FOR_EXTERNAL"), ("workflow", "CREATED", "RUNNING"), ("workflow", "PAUSED", "CANCELLED"), ("attempt", "RUNNING", "COMPLETED"), ("attempt", "WAITING_FOR_USER", "INVALIDATED")]
+    refused = [("executable", "RUNNING", "WAITING_FOR_USER"), ("executable", "READY", "VERIFIED"), ("executable", "COMPLETED", "VERIFIED"), ("executable", "VERIFIED", "RUNNING"), ("interactive", "WAITING_FOR_USER", "INVALIDATED"), ("human_gate", "READY", "RUNNING"), ("human_gate", "APPROVED", "PENDING"), ("external_input", "READY", "RUNNING"), ("workflow", "COMPLETED", "RUNNING"), ("workflow", "PAUSED", "COMPLETED"), ("attempt", "COMPLETED", "RUNNING"), ("attempt", "FAILED", "RUNNING")]
+    assert all(has(*m) for m in allowed) and not any(has(*m) for m in refused)
+
+
+def test_sets_of_any_size(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "x"), (1, "a"), (5, None)], "key long, member string")
+    right = spark.createDataFrame([(1, "b"), (1, "a"), (2, "b"), (4, "x"), (5, None)], "key long, member string")
+    assert sorted(r.key for r in unequal_sets(left, right).collect()) == [2, 3, 4]
+
+
+def test_paths_lie_in_folders_not_in_prefixes(spark):
+    requested = spark.createDataFrame([("t", p) for p in ("a/b", "a/b/c", "a/bc", "a", "../a/b/c", "", None, "x/y")] + [("u", "a/b/c")], "attempt string, path string")
+    declared = spark.createDataFrame([("t", "a/b"), ("t", "x/")], "attempt string, prefix string")
+    got = {(r.key, r.detail) for r in runs.path_violations(requested, declared).collect()}
+    assert {("t", "a/bc"), ("t", "a"), ("t", "../a/b/c"), ("t", ""), ("u", "a/b/c")} <= got and not got & {("t", "a/b"), ("t", "a/b/c"), ("t", "x/y")}
