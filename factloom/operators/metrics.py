@@ -116,6 +116,19 @@ def mart(rows: DataFrame, keys: list[str], values: list[str]) -> tuple[DataFrame
     return counted.where("_n = 1").select(*keys, *values), twice
 
 
+def mart_values_check(rows: DataFrame, key: str, labels: list[str], counts: list[str]) -> DataFrame:
+    """Charts with more than one combination of labels, and rows whose counts are not whole or below zero."""
+    found = None
+    if labels:
+        ends = rows.agg(F.min(F.struct(*labels)).alias("lo"), F.max(F.struct(*labels)).alias("hi")).where("lo <> hi")
+        found = report(ends, "mart_labels", "LABELS", F.concat_ws("/", *(F.col(f"lo.{c}") for c in labels)), F.concat_ws("/", *(F.col(f"hi.{c}") for c in labels)))
+    if counts:
+        bad = F.array_compact(F.array(*(F.when((F.col(c) < 0) | (F.col(c) != F.floor(c)) | F.col(c).isNull(), c) for c in counts)))
+        told = report(rows.select(F.col(key).alias("_k"), F.explode(bad).alias("_c")), "mart_count", "COUNT", F.col("_k"), F.col("_c"))
+        found = told if found is None else found.union(told)
+    return found
+
+
 def mart_catalog_check(charts: DataFrame, registry: DataFrame) -> DataFrame:
     """Charts (chart_id, kind) that the registry does not have, have another kind, or repeat."""
     known = registry.select("chart_id", F.col("kind").alias("known"))

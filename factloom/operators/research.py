@@ -34,6 +34,30 @@ def gap_issue_coverage(gaps: DataFrame, issues: DataFrame) -> DataFrame:
     return report(told.where(code.isNotNull()), "gap_coverage", code, F.concat_ws("/", "run_id", F.col("code")))
 
 
+def gap_branches(gaps: DataFrame, branches: DataFrame) -> DataFrame:
+    """Gaps (run_id, code, branch) that target no enabled branch of their run (run_id, branch, enabled), and runs
+    whose gaps retry every enabled branch."""
+    enabled = branches.where("enabled").select("run_id", "branch").distinct()
+    off = gaps.join(enabled, ["run_id", "branch"], "left_anti")
+    retried = enabled.join(gaps.select("run_id", "branch", F.lit(True).alias("retried")).distinct(), ["run_id", "branch"], "left")
+    broad = retried.groupBy("run_id").agg(F.bool_and(F.coalesce("retried", F.lit(False))).alias("all")).where("all")
+    return report(off, "gap_branch", "NOT_ENABLED", F.concat_ws("/", "run_id", "code"), F.col("branch")).union(report(broad, "gap_branch", "ALL_BRANCHES", F.col("run_id")))
+
+
+def evidence_requirements(counts: DataFrame, required: DataFrame) -> DataFrame:
+    """Counts (key, name, n) below what a contract asks for (key, name, need). A need of `N/A` asks for nothing,
+    one that is no whole number is INVALID; a count that is missing is 0."""
+    told = required.where("need <> 'N/A'").join(counts, ["key", "name"], "left").withColumn("least", F.col("need").try_cast("long"))
+    code = F.when(F.col("least").isNull(), "INVALID").when(F.coalesce("n", F.lit(0)) < F.col("least"), "TOO_FEW")
+    return report(told.where(code.isNotNull()), "evidence_threshold", code, F.col("key"), F.col("name"))
+
+
+def recommended_check(top: DataFrame, recommended: DataFrame, by: str) -> DataFrame:
+    """Groups (by, id) whose recommended id is none of their listed opportunities."""
+    lost = recommended.join(top.select(by, "id"), [by, "id"], "left_anti")
+    return report(lost, "opportunity", "NOT_LISTED", F.col(by), F.col("id"))
+
+
 def evidence_thresholds(counts: DataFrame, required: dict[str, int], key: str) -> DataFrame:
     """Counts below the contract's required ones."""
     short = F.array_compact(F.array(*(F.when(F.coalesce(F.col(c), F.lit(0)) < n, c) for c, n in required.items())))

@@ -385,6 +385,27 @@ def subgraph_complete(members: DataFrame, by: str, done: Column) -> DataFrame:
 
 
 def error_metadata_check(errors: DataFrame, policy: DataFrame, key: Column) -> DataFrame:
-    """Errors (code, reported) whose reported action is not the policy's (code, action) of a known code."""
-    told = errors.join(policy.select("code", "action"), "code")
-    return report(told.where(~F.col("reported").eqNullSafe(F.col("action"))), "error_metadata", "ACTION", key, F.col("code"))
+    """Errors (code, reported) whose reported action is not the policy's (code, action) of a known code.
+
+    Of recoverable, attempt_cost and cycle_cost those are compared as well that both tables have, in the
+    errors as reported_<name>. One row for each difference.
+    """
+    pairs = {"action": "reported"} | {c: f"reported_{c}" for c in ("recoverable", "attempt_cost", "cycle_cost") if c in policy.columns and f"reported_{c}" in errors.columns}
+    told = errors.join(policy.select("code", *pairs), "code")
+    broken = F.array_compact(F.array(*(F.when(~F.col(r).eqNullSafe(F.col(c)), c.upper()) for c, r in pairs.items())))
+    bad = told.select(key.alias("_key"), "code", F.explode(broken).alias("_what"))
+    return report(bad, "error_metadata", F.col("_what"), F.col("_key"), F.col("code"))
+
+
+def checkpoint_growth(checkpoints: DataFrame) -> DataFrame:
+    """Checkpoints (attempt, round, version) whose version is not one more than that of the round before; the
+    first version is 1."""
+    before = F.lag("version", 1, 0).over(Window.partitionBy("attempt").orderBy("round", "version"))
+    told = checkpoints.withColumn("want", before + 1).where(~F.col("version").eqNullSafe(F.col("want")))
+    return report(told, "checkpoint_version", "GROWTH", F.concat_ws("/", F.col("attempt").cast("string"), F.col("round").cast("string")), F.col("version"))
+
+
+def corrupt_keys(records: DataFrame) -> DataFrame:
+    """Idempotency keys (run_id, key_hash) with more than one stored record."""
+    n = records.groupBy("run_id", "key_hash").agg(F.count("*").alias("n")).where("n > 1")
+    return report(n, "idempotency", "CORRUPT", F.concat_ws("/", F.col("run_id").cast("string"), "key_hash"), F.col("n"))

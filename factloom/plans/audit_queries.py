@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import provenance as pv
-from factloom.operators import research, runs, scoring
+from factloom.operators import metrics, research, runs, scoring
 from factloom.plans.document_queries import _BARE
 from factloom.plans.registry import query
 
@@ -136,3 +136,57 @@ def _(v):
 def _(v):
     e = v("v_evidence").select(F.col("claim_id").alias("key"), F.col("id").alias("member"), "direction")
     return pv.set_differences(e.where("direction <> 'contradicts'"), e.where("direction <> 'contextual'"), "sources")
+
+
+@query(
+    "gap_branches",
+    """WITH b AS (SELECT DISTINCT run_id, section AS branch, section <> 'de' AND (run_id <> 'web' OR section <> 'fr') AS enabled FROM v_issues), g AS (SELECT run_id, code, section AS branch FROM v_issues WHERE waived)
+    SELECT 'gap_branch' AS rule, 'NOT_ENABLED' AS code, g.run_id || '/' || code AS key, g.branch AS detail FROM g JOIN b ON b.run_id = g.run_id AND b.branch = g.branch WHERE NOT enabled
+    UNION ALL SELECT 'gap_branch', 'ALL_BRANCHES', b.run_id, '' FROM b WHERE enabled GROUP BY b.run_id HAVING bool_and(EXISTS (SELECT 1 FROM g WHERE g.run_id = b.run_id AND g.branch = b.branch))""",
+)
+def _(v):
+    i = v("v_issues").withColumnRenamed("section", "branch")
+    branches = i.select("run_id", "branch").distinct().withColumn("enabled", (F.col("branch") != "de") & ((F.col("run_id") != "web") | (F.col("branch") != "fr")))
+    return research.gap_branches(i.where("waived").select("run_id", "code", "branch"), branches)
+
+
+@query("evidence_requirements", "WITH c AS (SELECT source_type AS key, count(*) AS n FROM v_sources GROUP BY 1) SELECT 'evidence_threshold' AS rule, CASE WHEN s_suppkey % 4 = 1 THEN 'INVALID' ELSE 'TOO_FEW' END AS code, key, 'need' || s_suppkey AS detail FROM c CROSS JOIN supplier WHERE s_suppkey % 4 = 1 OR (s_suppkey % 4 = 2 AND n < s_suppkey * 40)")
+def _(v):
+    k = F.col("s_suppkey")
+    names = v("supplier").select(F.concat(F.lit("need"), k.cast("string")).alias("name"), F.when(k % 4 == 0, "N/A").when(k % 4 == 1, "many").when(k % 4 == 2, (k * 40).cast("string")).otherwise("0").alias("need"))
+    counts = v("v_sources").groupBy(F.col("source_type").alias("key")).agg(F.count("*").alias("n"))
+    grid = counts.select("key").crossJoin(F.broadcast(names))
+    return research.evidence_requirements(grid.where("need <> '0'").select("key", "name").join(counts, "key"), grid)
+
+
+@query("recommended_check", "WITH t AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS pos FROM part), r AS (SELECT p_brand, min(p_partkey) AS id FROM part GROUP BY 1) SELECT 'opportunity' AS rule, 'NOT_LISTED' AS code, r.p_brand AS key, CAST(r.id AS STRING) AS detail FROM r JOIN t ON t.p_brand = r.p_brand AND t.p_partkey = r.id WHERE pos > 4")
+def _(v):
+    top = research.top_k(v("part"), "p_brand", [F.col("p_retailprice").desc(), "p_partkey"], 4).withColumnRenamed("p_partkey", "id")
+    return research.recommended_check(top, v("part").groupBy("p_brand").agg(F.min("p_partkey").alias("id")), "p_brand")
+
+
+@query("checkpoint_growth", "WITH c AS (SELECT attempt, seq AS round, CASE WHEN bucket = 0 THEN seq + 2 ELSE seq + 1 END AS version FROM v_turns), t AS (SELECT *, coalesce(lag(version) OVER (PARTITION BY attempt ORDER BY round, version), 0) + 1 AS want FROM c) SELECT 'checkpoint_version' AS rule, 'GROWTH' AS code, CAST(attempt AS STRING) || '/' || CAST(round AS STRING) AS key, CAST(version AS STRING) AS detail FROM t WHERE version <> want")
+def _(v):
+    rows = v("v_turns").select("attempt", F.col("seq").alias("round"), F.when(F.col("bucket") == 0, F.col("seq") + 2).otherwise(F.col("seq") + 1).alias("version"))
+    return runs.checkpoint_growth(rows)
+
+
+@query("corrupt_keys", "SELECT 'idempotency' AS rule, 'CORRUPT' AS code, CAST(run_id AS STRING) || '/' || key_hash AS key, CAST(count(*) AS STRING) AS detail FROM v_requests GROUP BY run_id, key_hash HAVING count(*) > 1")
+def _(v):
+    return runs.corrupt_keys(v("v_requests"))
+
+
+@query("error_costs", "WITH e AS (SELECT o_orderkey AS k, o_orderstatus AS code, o_orderkey % 5 = 0 AS a, o_orderkey % 3 = 1 AS r, o_orderkey % 7 = 2 AS c FROM orders WHERE o_orderstatus <> 'P') SELECT 'error_metadata' AS rule, 'ACTION' AS code, CAST(k AS STRING) AS key, code AS detail FROM e WHERE a UNION ALL SELECT 'error_metadata', 'RECOVERABLE', CAST(k AS STRING), code FROM e WHERE r UNION ALL SELECT 'error_metadata', 'CYCLE_COST', CAST(k AS STRING), code FROM e WHERE c")
+def _(v):
+    k = F.col("o_orderkey")
+    policy = v.spark.createDataFrame([("F", "RETRY_NODE", True, 1, 0), ("O", "BLOCK_NODE", False, 0, 1)], "code string, action string, recoverable boolean, attempt_cost int, cycle_cost int")
+    own = F.col("o_orderstatus") == "F"
+    errors = v("orders").select(k.alias("k"), F.col("o_orderstatus").alias("code"), F.when(k % 5 != 0, F.when(own, "RETRY_NODE").otherwise("BLOCK_NODE")).alias("reported"), F.when(k % 3 == 1, ~own).otherwise(own).alias("reported_recoverable"), F.when(own, 1).otherwise(0).alias("reported_attempt_cost"), (F.when(own, 0).otherwise(1) + F.when(k % 7 == 2, 5).otherwise(0)).alias("reported_cycle_cost"))
+    return runs.error_metadata_check(errors, policy, F.col("k"))
+
+
+@query("mart_values_check", "SELECT 'mart_labels' AS rule, 'LABELS' AS code, 'a/1-URGENT' AS key, 'b/' || max(o_orderpriority) AS detail FROM orders WHERE o_orderkey % 2 = 1 UNION ALL SELECT 'mart_count', 'COUNT', CAST(o_orderkey AS STRING), 'n' FROM orders WHERE o_orderkey % 6 < 3")
+def _(v):
+    k = F.col("o_orderkey")
+    rows = v("orders").select(k.alias("bucket"), F.when(k % 2 == 1, "b").otherwise("a").alias("x"), F.when(k % 2 == 1, F.col("o_orderpriority")).otherwise("1-URGENT").alias("y"), F.when(k % 6 == 0, -1.0).when(k % 6 == 1, 0.5).when(k % 6 > 2, 2.0).alias("n"))
+    return metrics.mart_values_check(rows, "bucket", ["x", "y"], ["n"])
