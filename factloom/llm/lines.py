@@ -120,7 +120,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the rows go along as one struct, so that no column of theirs can clash; they are dealt by id at every
     # size, so cost follows the input
     rest = docs.drop("n_lines", "n_dropped", text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*(rest[c] for c in rest.columns), F.lit(True).alias("held by the operator")).alias("row"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(True).alias("held"), F.struct(*(rest[c] for c in rest.columns)).alias("rest")).alias("row"))
     joined = merge_join(rows, gone, "doc_id", "left").select("row", "text", "gone", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1).alias("lines"))
 
     def stays(line: Column) -> Column:
@@ -130,7 +130,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), F.filter("lines", stays)))
     new_text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
     n_dropped = F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise((F.size("lines") - F.size("kept")).cast("long"))
-    kept_columns = [new_text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    kept_columns = [new_text.alias(c) if c == text_col else F.col(f"row.rest.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return out.select(*kept_columns, F.size("lines").cast("long").alias("n_lines"), n_dropped.alias("n_dropped"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from factloom.llm import conversations, languages, packing, sentencepieces, spellings
+from factloom.llm import conversations, languages, lines, packing, sentencepieces, spellings
 
 SF = "/root/testdata/sf0.001"
 
@@ -267,3 +267,14 @@ def test_letters_beyond_the_basic_plane():
     letters = languages._letters()
     assert not letters[[ord(c) for c in "😀🚀𝟘🀄"]].any()
     assert letters[[ord(c) for c in "𠀀𐎠𐤀"]].all() and all(bool(letters[c]) == chr(c).isalpha() for c in range(0, 0x110000, 7))
+
+
+def test_lines_beside_any_columns(spark):
+    """Columns of whatever name stay as they are."""
+    text = "a line of more than forty characters, which repeats"
+    docs = spark.createDataFrame([(i, text) for i in range(6)], "doc_id long, text string")
+    names = ["held by the operator", "held", "rest", "row", "gone", "kept", "lines", "n_lines"]
+    wide = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    got = lines.dedup_lines(wide)
+    assert got.columns == ["doc_id", "text", *names[:-1], "n_lines", "n_dropped"]
+    assert all(r[n] == f"{n}{r.doc_id}" and r.n_dropped == int(r.doc_id < 5) for r in got.collect() for n in names[:-1])
