@@ -1,30 +1,24 @@
 """JSON documents as text columns: canonical form, values by pointer, and their hashes.
 
-The JVM's own variants sort the names of an object at every level, but they forget how a number was written
-and order names by UTF-16. So a document is read with its numbers and nulls as marked strings, and with
-characters marked where the two orders differ; the marks go again when a value is written. Everything is a
-column expression, without a shuffle or a Python worker, and work is linear in the text.
+Documents are read and written by Python's own `json` in Arrow batches, so work is linear in the text and
+rows are judged where they lie, without a shuffle.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import sys
 from collections.abc import Callable
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TOKENS = r'"(?:[^"\\]|\\.)*"|[-0-9][-+.0-9eE]*|true|false|null|[{}\[\],:]'
-#: Escapes of canonical strings; other control characters are \u00xx in lower case.
-_SHORT = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
-_CONTROLS = _SHORT | {chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in _SHORT}
-#: Characters that UTF-16 puts behind those beyond the basic plane, and the mark that keeps them before.
-_HIGH, _LOW_MARK = "[\ud7fe\ud7ff\ue000-\uffff]", "\ud7fe"
-#: What a variant may write in another way, or order differently.
-_ODD = r"\\|\d[.eE]|-0|\d{19}|" + _HIGH
-#: Numbers that are canonical as they stand.
-_SHORTEST = r"^-?(?:\d+|(?:0|[1-9]\d{0,13})\.0|0\.0{0,3}[1-9]\d{0,9}(?<=[1-9])|[1-9]\d{0,6}\.\d{0,6}[1-9])$"
-#: First characters of marked strings: of a text, and of a number or null.
-TEXT, BARE = "$", "#"
+_INDEX = re.compile("0|[1-9][0-9]{0,8}", re.ASCII)
+_NOTHING = object()
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -32,101 +26,68 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def quoted(text: Column) -> Column:
-    """A JSON string with the least escapes."""
-    out = text
-    for raw, escaped in _CONTROLS.items():
-        out = F.replace(out, F.lit(raw), F.lit(escaped))
-    return F.concat(F.lit('"'), F.when(text.rlike(r'[\x00-\x1f"\\]'), out).otherwise(text), F.lit('"'))
-
-
 def unquoted(token: Column) -> Column:
     """The text of a JSON string token."""
     inner = F.substring(token, F.lit(2), F.length(token) - 2)
     return F.when(token.contains("\\"), F.try_variant_get(F.try_parse_json(token), "$", "string")).otherwise(inner)
 
 
-def number_text(token: Column) -> Column:
-    """A JSON number as its shortest text: whole numbers as they stand, others as the least digits that read
-    back as the same double, with an exponent below 1e-4 and from 1e16 on."""
-    value = token.cast("double")
-
-    def read_back(n: int) -> Column:
-        text = F.format_string(f"%.{n - 1}e", value)
-        return F.when(text.cast("double") == value, text)
-
-    # the JVM's own text may have a digit too many, but then it is long or the number tiny
-    own = value.cast("string")
-    tiny = F.when((F.abs(value) < 2.2250738585072014e-308) & (value != 0), F.coalesce(*map(read_back, range(1, 15))))
-    text = F.when((F.length(own) < 17) & (F.abs(value) >= 2.2250738585072014e-308), own).otherwise(F.coalesce(tiny, read_back(15), read_back(16), own))
-
-    def parts(s: Column) -> Column:
-        mantissa = F.regexp_extract(s, r"^-?([0-9.]+)", 1)
-        whole = F.substring_index(mantissa, ".", 1)
-        exponent = F.coalesce(F.regexp_extract(s, r"[eE]([-+]?\d+)$", 1).try_cast("int"), F.lit(0))
-        digits = F.replace(mantissa, F.lit("."), F.lit(""))
-        led = F.length(digits) - F.length(F.ltrim(digits, F.lit("0")))
-        return F.struct(F.trim(digits, F.lit("0")).alias("d"), (F.length(whole) + exponent - led).alias("point"))
-
-    def shown(p: Column) -> Column:
-        d, point = p["d"], p["point"]
-        n = F.length(d)
-        few = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), d)
-        inside = F.concat(F.substring(d, F.lit(1), point), F.lit("."), F.substring(d, point + 1, n))
-        whole = F.concat(d, F.repeat(F.lit("0"), point - n), F.lit(".0"))
-        up = point - 1
-        exponent = F.concat(F.when(up < 0, "e-").otherwise("e+"), F.lpad(F.abs(up).cast("string"), F.greatest(F.lit(2), F.length(F.abs(up).cast("string"))), F.lit("0")))
-        scientific = F.concat(F.substring(d, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(d, F.lit(2), n))).otherwise(""), exponent)
-        return F.when(d == "", "0.0").when((up < -4) | (up >= 16), scientific).when(point <= 0, few).when(point >= n, whole).otherwise(inside)
+def _object(pairs: list[tuple[str, Any]]) -> dict:
+    told = dict(pairs)
+    if len(told) < len(pairs):
+        raise ValueError("a name repeats")
+    return told
 
-    told = F.concat(F.when(token.startswith("-"), "-").otherwise(""), F.when(F.abs(value) == float("inf"), "Infinity").otherwise(_let(parts(text), shown)))
-    return F.when(token == "-0", "0").when(token.rlike(_SHORTEST), token).otherwise(told)
 
+def _refused(constant: str) -> None:
+    raise ValueError(constant)
 
-def _kept_low(text: Column) -> Column:
-    """A text whose order in UTF-16 is that of its code points."""
-    return F.when(text.rlike(_HIGH), F.regexp_replace(text, f"({_HIGH})", _LOW_MARK + "$1")).otherwise(text)
 
+def _reader():
+    """Read a text strictly; what is no document is `_NOTHING`."""
+    sys.set_int_max_str_digits(0)  # whole numbers are kept at any length
+    decode = json.JSONDecoder(object_pairs_hook=_object, parse_constant=_refused).decode
 
-def _marked(doc: Column) -> Column:
-    """A document as a variant of marked values; null where the text is no document."""
+    def read(text: str | None) -> Any:
+        try:
+            return _NOTHING if text is None else decode(text)
+        except (ValueError, RecursionError):
+            return _NOTHING
 
-    def mark(token: Column) -> Column:
-        text = F.when(token.contains("\\"), quoted(unquoted(token))).otherwise(token)
-        first = F.substring(token, 1, 1)
-        bare = F.concat(F.lit(f'"{BARE}'), F.when(token == "null", token).otherwise(number_text(token)), F.lit('"'))
-        return F.when(first == '"', F.concat(F.lit(f'"{TEXT}'), F.substring(_kept_low(text), F.lit(2), F.length(token) * 2))).when((token == "null") | first.rlike("[-0-9]"), bare).otherwise(token)
+    return read
 
-    marked = F.array_join(F.transform(F.regexp_extract_all(doc, F.lit(_TOKENS), F.lit(0)), mark), "")
-    return F.when(F.try_parse_json(doc).isNotNull(), F.try_parse_json(marked))
 
+_write = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"), check_circular=False).encode
 
-def _written(value: Column) -> Column:
-    """Canonical text of a marked variant."""
 
-    def unmark(token: Column) -> Column:
-        text = F.concat(F.lit('"'), F.substring(token, F.lit(3), F.length(token)))
-        text = F.when(text.contains("\\u"), quoted(unquoted(text))).otherwise(text)
-        text = F.when(text.contains(_LOW_MARK), F.regexp_replace(text, f"{_LOW_MARK}({_HIGH})", "$1")).otherwise(text)
-        bare = F.substring(token, F.lit(3), F.length(token) - 3)
-        kind = F.substring(token, 1, 2)
-        return F.when(kind == f'"{TEXT}', text).when(kind == f'"{BARE}', bare).otherwise(token)
+def _text(value: Any) -> str | None:
+    if value is _NOTHING:
+        return None
+    try:
+        text = _write(value)
+    except RecursionError:
+        return None
+    # half a surrogate pair is no character
+    return text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
 
-    return F.array_join(F.transform(F.regexp_extract_all(F.to_json(value), F.lit(_TOKENS), F.lit(0)), unmark), "")
 
+def _without(value: Any, names: list[str]) -> None:
+    for name in names[:-1]:
+        value = value.get(name) if isinstance(value, dict) else None
+    if isinstance(value, dict):
+        value.pop(names[-1], None)
 
-def _fields(value: Column) -> Column:
-    return F.from_json(F.to_json(value), "map<string, variant>")
 
-
-def _bare_of(value: Column, names: list[str]) -> Column:
-    """A marked object without the value under a path of names."""
-    name = TEXT + names[0]
-    if len(names) == 1:
-        kept = F.map_filter(_fields(value), lambda k, _: k != name)
-    else:
-        kept = F.transform_values(_fields(value), lambda k, x: F.when(k == name, _bare_of(x, names[1:])).otherwise(x))
-    return F.coalesce(F.try_parse_json(F.to_json(kept)), value)
+def _found(value: Any, pointer: str) -> Any:
+    for raw in pointer[1:].split("/"):
+        name = raw.replace("~1", "/").replace("~0", "~")
+        if isinstance(value, dict):
+            value = value.get(name, _NOTHING)
+        elif isinstance(value, list) and _INDEX.fullmatch(name) and int(name) < len(value):
+            value = value[int(name)]
+        else:
+            return _NOTHING
+    return value
 
 
 def canonical_json(doc: Column, without: str | None = None) -> Column:
@@ -136,10 +97,19 @@ def canonical_json(doc: Column, without: str | None = None) -> Column:
     ASCII stand for themselves. A name that repeats in an object makes the text no document. `without`
     names a field, as a pointer, that is left out.
     """
-    if without:
-        return _written(_bare_of(_marked(doc), without[1:].split("/")))
-    # with whole numbers and plain strings only, a variant's own text is canonical
-    return F.when(doc.rlike(_ODD), _written(_marked(doc))).otherwise(F.to_json(F.try_parse_json(doc)))
+    names = without[1:].split("/") if without else []
+
+    @F.pandas_udf("string")
+    def canonical(docs: pd.Series) -> pd.Series:
+        read, out = _reader(), []
+        for text in docs:
+            value = read(text)
+            if names:
+                _without(value, names)
+            out.append(_text(value))
+        return pd.Series(out, dtype=object)
+
+    return canonical(doc)
 
 
 def json_names(doc: Column) -> Column:
@@ -157,19 +127,24 @@ def pointer_valid(pointer: Column) -> Column:
 def value_at(doc: Column, pointer: Column) -> Column:
     """Canonical text of the value at a column's RFC 6901 pointer, or null where it is invalid or leads nowhere.
 
-    The pointer is walked token by token over a variant. Strict: array indexes have no leading zero, `-` is
-    none, nothing is found below a scalar, and the empty pointer is refused.
+    Strict: array indexes have no leading zero, `-` is none, nothing is found below a scalar, and the empty
+    pointer is refused.
     """
 
-    def step(value: Column, raw: Column) -> Column:
-        name = _kept_low(F.replace(F.replace(raw, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
-        index = F.when(name.rlike("^(0|[1-9][0-9]{0,8})$"), F.try_variant_get(value, F.concat(F.lit("$["), name, F.lit("]")), "variant"))
-        return F.coalesce(F.try_element_at(_fields(value), F.concat(F.lit(TEXT), name)), index)
+    @F.pandas_udf("string")
+    def value(docs: pd.Series, pointers: pd.Series) -> pd.Series:
+        read = _reader()
+        told = (None if at is None else _text(_found(read(text), at)) for text, at in zip(docs, pointers, strict=True))
+        return pd.Series(list(told), dtype=object)
+
+    return value(doc, F.when(pointer_valid(pointer), pointer))
+
 
-    tokens = F.split(F.substring(pointer, F.lit(2), F.length(pointer)), "/")
-    return F.when(pointer_valid(pointer), _written(F.aggregate(tokens, _marked(doc), step)))
+def text_hash(text: Column) -> Column:
+    """`sha256:` and the digest of a canonical text."""
+    return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
 
 
 def json_hash(doc: Column, without: str | None = None) -> Column:
     """`sha256:` and the digest of a document's canonical text."""
-    return F.concat(F.lit("sha256:"), F.sha2(canonical_json(doc, without), 256))
+    return text_hash(canonical_json(doc, without))

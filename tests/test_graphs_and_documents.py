@@ -117,3 +117,18 @@ def test_binding_audit(spark):
     got = {(r.key, r.rule, r.code) for r in bindings.origin_violations(held, current, docs).where("rule <> 'fact_binding_identity'").collect()}
     assert got == {("0", "fact_binding_hash", "CONTENT"), ("1", "fact_binding_pointer", "UNRESOLVED"), ("2", "fact_binding_pointer", "UNRESOLVED"), ("3", "fact_binding_origin", "NOT_CURRENT"), ("4", "fact_binding_pointer", "INVALID"), ("5", "fact_binding_origin", "NOT_CURRENT")}
     assert bindings.origin_violations(held, current, docs).where("rule = 'fact_binding_identity'").count() == 6
+
+
+def test_deep_and_long_documents(spark):
+    """Whole numbers of any length, half a surrogate pair, and depth that is no document."""
+    rows = [("[" * 900 + "]" * 900,) * 2, ("-" + "9" * 5000,) * 2, ('"\\ud800é"', '"?é"'), ("[" * 60_000, None), ("[" * 60_000 + "]" * 60_000, None), ("NaN", None), ("-Infinity", None), ("[1e999,-0.0]", "[Infinity,-0.0]")]
+    df = spark.createDataFrame(rows, "doc string, want string")
+    assert df.where(~documents.canonical_json(F.col("doc")).eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_canonical_json_takes_few_expressions(spark):
+    """Documents are read in batches of Arrow, in a plan of a size that codegen can compile."""
+    doc = spark.range(1).select(F.lit('{"b":1e2,"a":null}').alias("doc"))
+    told = doc.select(documents.json_hash(F.col("doc"), "/b").alias("hash"), documents.value_at(F.col("doc"), F.lit("/b")).alias("b"))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and len(plan) < 5_000 and told.first().b == "100.0"
