@@ -92,3 +92,25 @@ def test_sources_without_a_url(spark):
     df = spark.createDataFrame([(i, None, p, t, d, h, False) for i, p, t, d, h in rows], "id string, canonical_url string, publisher string, title string, published_on string, content_hash string, stored boolean")
     groups = {r.id: r.canonical_id for r in sources.source_aliases(df).collect()}
     assert groups == {"a": "a", "b": "b", "c": "c", "d": "d", "e": "b", "f": "f", "g": "g"}
+
+
+def test_groups_of_a_batch_are_buckets(spark, tmp_path):
+    """Many keys, null ones among them, share the entries of a fixed number of buckets over restarts."""
+    n = 20_000
+    df = spark.range(n).selectExpr("IF(id % 10 = 0, null, id) AS run_id", "concat('K', id % 3) AS key_hash", "IF(id % 5 = 0, null, 'h') AS request_hash", "'op' AS operation", "id AS seq")
+    rows = df.union(df.selectExpr("run_id", "key_hash", f"IF(seq % 7 = 0 AND run_id IS NOT NULL, 'x', request_hash)", "operation", f"seq + {n}"))
+    groups = []
+
+    def job(stream):
+        query = jobs.to_table(jobs.stream_idempotent_requests(stream), str(tmp_path))
+        query.awaitTermination()
+        groups.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        return query
+
+    jobs.replay(rows, F.floor(F.col("seq") / n).cast("int"), 2, str(tmp_path), job)
+    got = spark.createDataFrame(out(spark, tmp_path, jobs.REQUEST_SCHEMA), jobs.REQUEST_SCHEMA)
+    assert max(groups) <= jobs.BUCKETS
+    assert got.count() == 2 * n and got.where("run_id IS NULL AND outcome = 'FIRST'").count() == 3
+    assert got.where("run_id IS NULL AND outcome = 'REPLAY'").count() == n // 5 - 3
+    known = {(r.seq, r.outcome) for r in got.where("run_id IS NOT NULL").collect()}
+    assert known == {(i, "FIRST") for i in range(n) if i % 10} | {(i + n, "CONFLICT" if i % 7 == 0 else "REPLAY") for i in range(n) if i % 10}
