@@ -17,7 +17,7 @@ def downstream_impact(edges: DataFrame, roots: DataFrame, include_roots: bool =
     """All nodes that depend on a root, directly or not."""
     found = reach.reached(reach.arcs_of(edges), roots, labelled=False)[0].select("node")
     own = roots.select("node").where("node IS NOT NULL").distinct()
-    return found.union(own).distinct() if include_roots else found.join(own, "node", "left_anti")
+    return found.union(own).distinct() if include_roots else found.hint("merge").join(own, "node", "left_anti")
 
 
 def impact_by_root(edges: DataFrame, roots: DataFrame) -> DataFrame:

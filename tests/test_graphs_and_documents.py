@@ -132,3 +132,11 @@ def test_canonical_json_takes_few_expressions(spark):
     told = doc.select(documents.json_hash(F.col("doc"), "/b").alias("hash"), documents.value_at(F.col("doc"), F.lit("/b")).alias("b"))
     plan = told._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and len(plan) < 5_000 and told.first().b == "100.0"
+
+
+def test_loops_send_no_table_through_the_driver(spark):
+    """Small files may hold many rows: no join of a loop is a broadcast."""
+    edges = spark.range(2, 300).selectExpr("id AS node", "id DIV 2 AS depends_on").union(spark.createDataFrame([(1, 299)], EDGES))
+    roots = spark.createDataFrame([(3,), (7,)], "node long")
+    for told in (lineage.impact_by_root(edges, roots), lineage.cycle_members(edges), lineage.downstream_impact(edges, roots)):
+        assert "Broadcast" not in told._jdf.queryExecution().executedPlan().toString()
