@@ -114,3 +114,13 @@ def test_groups_of_a_batch_are_buckets(spark, tmp_path):
     assert got.where("run_id IS NULL AND outcome = 'REPLAY'").count() == n // 5 - 3
     known = {(r.seq, r.outcome) for r in got.where("run_id IS NOT NULL").collect()}
     assert known == {(i, "FIRST") for i in range(n) if i % 10} | {(i + n, "CONFLICT" if i % 7 == 0 else "REPLAY") for i in range(n) if i % 10}
+
+
+def test_one_alert_a_run_in_a_shared_bucket(spark, tmp_path, monkeypatch):
+    """Usage that falls and rises again gives no second alert; a run without a number is a run; sums are exact."""
+    monkeypatch.setattr(jobs, "BUCKETS", 1)
+    big, schema = 2**53 + 1, "run_id long, seconds long"
+    batches = [[(1, 12), (2, 4), (None, 3)], [(1, -9), (None, 7), (3, big), (3, None)], [(1, 20), (2, 6), (None, 1)]]
+    feed(spark, tmp_path, batches, schema, lambda s: jobs.to_table(jobs.stream_budget_alerts(s, "seconds", 10), str(tmp_path)))
+    assert {(r.run_id, r.used) for r in out(spark, tmp_path, jobs.ALERT_SCHEMA)} == {(1, 12), (None, 10), (3, big), (2, 10)}
+    assert len(out(spark, tmp_path, jobs.ALERT_SCHEMA)) == 4
