@@ -124,3 +124,12 @@ def test_one_alert_a_run_in_a_shared_bucket(spark, tmp_path, monkeypatch):
     feed(spark, tmp_path, batches, schema, lambda s: jobs.to_table(jobs.stream_budget_alerts(s, "seconds", 10), str(tmp_path)))
     assert {(r.run_id, r.used) for r in out(spark, tmp_path, jobs.ALERT_SCHEMA)} == {(1, 12), (None, 10), (3, big), (2, 10)}
     assert len(out(spark, tmp_path, jobs.ALERT_SCHEMA)) == 4
+
+
+def test_waits_of_nodes_in_a_shared_bucket(spark, tmp_path, monkeypatch):
+    """A row of one node neither puts off nor moves the wait of another in its bucket."""
+    monkeypatch.setattr(jobs, "BUCKETS", 1)
+    batches = [[(1, 1, 1, "READY"), (1, 1, 3, "COMPLETED"), (2, 1, 2, "RUNNING")], [(2, 1, 1, "READY"), (7, 1, 2, "READY")]]
+    feed(spark, tmp_path, batches, STEPS, lambda s: jobs.to_table(jobs.stream_node_state(s, wait_ms=1), str(tmp_path)), pause=0.1)
+    got = sorted((r.run_id, r.step, r.before, r.legal, r.kind) for r in out(spark, tmp_path, jobs.NODE_SCHEMA))
+    assert got == [(1, 1, None, True, "STEP"), (1, 3, "READY", False, "AFTER_GAP"), (2, 1, None, True, "STEP"), (2, 2, "READY", True, "STEP")]
