@@ -19,12 +19,14 @@ def origin_violations(bindings: DataFrame, current: DataFrame, docs: DataFrame)
     """Bindings (key, fact_id, origin_artifact_ref, origin_field_pointer, content_hash) that do not hold against
     the current documents.
 
-    Documents (artifact_ref, doc) are shuffled once, by their ref, and each pointer is walked where it meets
-    its document. Pointer and hash are judged where the origin is current, the derived id always. A current
-    document that is missing or no JSON resolves no pointer.
+    Documents (artifact_ref, doc) are shuffled and sorted once, by their ref and together with the current
+    ones, and each pointer is walked where it meets its document. Pointer and hash are judged where the origin
+    is current, the derived id always. A current document that is missing or no JSON resolves no pointer.
     """
-    live = current.select(F.col("artifact_ref").alias("origin_artifact_ref")).distinct().withColumn("current", F.lit(True))
-    live = live.join(docs.select(F.col("artifact_ref").alias("origin_artifact_ref"), "doc").dropDuplicates(["origin_artifact_ref"]), "origin_artifact_ref", "left")
+    ref = F.col("artifact_ref").alias("origin_artifact_ref")
+    stored = docs.select(ref, "doc", F.lit(False).alias("current")).unionByName(current.select(ref, F.lit(None).cast("string").alias("doc"), F.lit(True).alias("current")))
+    # dealt by ref first: an aggregate of texts sorts its rows, and would do so before the shuffle too
+    live = stored.repartition("origin_artifact_ref").groupBy("origin_artifact_ref").agg(F.first("doc", ignorenulls=True).alias("doc"), F.bool_or("current").alias("current")).where("current")
     text = documents.value_at(F.col("doc"), F.col("origin_field_pointer"))
     told = bindings.join(live, "origin_artifact_ref", "left").withColumn("now", F.concat(F.lit("sha256:"), core.sha(text))).drop("doc")
     is_current, valid = F.col("current").isNotNull(), documents.pointer_valid(F.col("origin_field_pointer"))
@@ -45,15 +47,16 @@ def closure_violations(links: DataFrame, claims: DataFrame, evidence: DataFrame,
     """Links (key, kind, ref) of bindings to claims, evidence and sources that are not closed.
 
     Claims must exist; the evidence must be exactly that of the claims (evidence: id, claim_id, source_id),
-    the sources exactly those of the evidence, and known. Row-wise joins, so no group is held in one row.
+    the sources exactly those of the evidence, and known. Row-wise joins, so no group is held in one row; only
+    what is reported is made distinct.
     """
-    of = {kind: links.where(F.col("kind") == kind).select("key", F.col("ref").alias("member")).distinct() for kind in ("claim", "evidence", "source")}
-    no_claim = of["claim"].join(claims.select(F.col("id").alias("member")), "member", "left_anti")
+    of = {kind: links.where(F.col("kind") == kind).select("key", F.col("ref").alias("member")) for kind in ("claim", "evidence", "source")}
+    no_claim = of["claim"].join(claims.select(F.col("id").alias("member")), "member", "left_anti").distinct()
     by_claim = evidence.select(F.col("claim_id").alias("claim"), F.col("id").alias("member"))
     expected = of["claim"].withColumnRenamed("member", "claim").join(by_claim, "claim").select("key", "member")
     by_evidence = evidence.select(F.col("id").alias("evidence"), F.col("source_id").alias("member"))
     expected_sources = of["evidence"].withColumnRenamed("member", "evidence").join(by_evidence, "evidence").select("key", "member")
-    no_source = of["source"].join(sources.select(F.col("id").alias("member")), "member", "left_anti")
+    no_source = of["source"].join(sources.select(F.col("id").alias("member")), "member", "left_anti").distinct()
     return (
         report(no_claim, "fact_binding_claim_ref", "UNKNOWN_CLAIM", F.col("key"), F.col("member"))
         .union(set_equality(expected, of["evidence"], "fact_binding_evidence_ref"))

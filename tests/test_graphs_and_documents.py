@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import core, documents
-from factloom.operators import bindings, lineage, reach
+from factloom.operators import bindings, lineage, provenance, reach
 
 EDGES = "node long, depends_on long"
 
@@ -119,6 +119,27 @@ def test_binding_audit(spark):
     assert bindings.origin_violations(held, current, docs).where("rule = 'fact_binding_identity'").count() == 6
 
 
+def test_sets_meet_in_one_aggregate(spark):
+    """Repeats and nulls count as in EXCEPT, and no side is sorted for a join."""
+    schema = "key string, member string"
+    left = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", None), (None, "y"), ("b", "z"), ("c", None)], schema)
+    right = spark.createDataFrame([("a", "x"), ("a", None), (None, "y"), ("b", "w"), ("b", "w"), (None, None)], schema)
+    told = provenance.set_equality(left, right, "sets")
+    assert sorted((r.code, r.key or "-", r.detail or "-") for r in told.collect()) == [("EXTRA", "-", "-"), ("EXTRA", "b", "w"), ("MISSING", "b", "z"), ("MISSING", "c", "-")]
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan
+
+
+def test_documents_of_bindings_are_sorted_once(spark):
+    """Documents and current refs are dealt once; a ref that repeats, with and without a document, has one."""
+    docs = spark.createDataFrame([("A@1", None), ("A@1", '{"x": 1}'), ("B@1", '{"x": 1}')], "artifact_ref string, doc string")
+    current = spark.createDataFrame([("A@1",), ("A@1",), (None,)], "artifact_ref string")
+    held = spark.createDataFrame([(1, "f", "A@1", "/x", "h"), (2, "f", "B@1", "/x", "h"), (3, "f", None, "/x", "h")], "key long, fact_id string, origin_artifact_ref string, origin_field_pointer string, content_hash string")
+    told = bindings.origin_violations(held, current, docs).where("rule <> 'fact_binding_identity'")
+    assert told._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert sorted((r.key, r.code) for r in told.collect()) == [("1", "CONTENT"), ("2", "NOT_CURRENT"), ("3", "NOT_CURRENT")]
+
+
 def test_deep_and_long_documents(spark):
     """Whole numbers of any length, half a surrogate pair, and depth that is no document."""
     rows = [("[" * 900 + "]" * 900,) * 2, ("-" + "9" * 5000,) * 2, ('"\\ud800é"', '"?é"'), ("[" * 60_000, None), ("[" * 60_000 + "]" * 60_000, None), ("NaN", None), ("-Infinity", None), ("[1e999,-0.0]", "[Infinity,-0.0]")]
