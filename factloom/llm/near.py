@@ -73,10 +73,19 @@ def signatures(hashes: np.ndarray, offs: np.ndarray, p: NearParams, values: int
     n = -(-(values or p.values) // 2)
     mult, add = _constants(p, n)
     out = np.empty((len(offs) - 1, 2 * n), np.uint64)
-    for j in range(n):
-        h = hashes * mult[j] + add[j]
-        out[:, 2 * j] = np.minimum.reduceat(h, offs[:-1])
-        out[:, 2 * j + 1] = np.maximum.reduceat(h, offs[:-1])
+    lo = 0
+    while lo < len(out):
+        # as many units at once as the processor's cache holds
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + (1 << 14), "right")) - 1)
+        own, at = hashes[offs[lo] : offs[hi]], offs[lo:hi] - offs[lo]
+        h, found = np.empty_like(own), np.empty((2 * n, hi - lo), np.uint64)
+        for j in range(n):
+            np.multiply(own, mult[j], out=h)
+            h += add[j]
+            np.minimum.reduceat(h, at, out=found[2 * j])
+            np.maximum.reduceat(h, at, out=found[2 * j + 1])
+        out[lo:hi] = found.T
+        lo = hi
     return out
 
 
@@ -153,7 +162,7 @@ def banded(texts: DataFrame, p: NearParams, units: Units) -> DataFrame:
 
     def run(batches):
         seen = _Seen()
-        for part, data, offs in arrays.blocks(batches, "text"):
+        for part, data, offs in arrays.blocks(batches, "text", arrays.WORD_BYTES):
             ids, wh, woffs = units(part, data, offs)
             ids = np.asarray(ids, np.int64)
             full = np.flatnonzero(woffs[1:] > woffs[:-1])
@@ -175,7 +184,7 @@ def shingle_sets(texts: DataFrame, p: NearParams, wanted: np.ndarray, units: Uni
 
     def run(batches):
         seen = _Seen()
-        for part, data, offs in arrays.blocks(batches, "text"):
+        for part, data, offs in arrays.blocks(batches, "text", arrays.WORD_BYTES):
             ids, wh, woffs = units(part, data, offs)
             named = pa.array(ids, pa.int64())
             ids = named.fill_null(0).to_numpy()

@@ -85,7 +85,7 @@ def _places(docs: DataFrame, p: PassageParams) -> DataFrame:
     """(doc_id, start, end, n_words, id) of the paragraphs; places are byte offsets."""
 
     def run(batches):
-        for part, data, offs in arrays.blocks(batches, "text"):
+        for part, data, offs in arrays.blocks(batches, "text", arrays.WORD_BYTES):
             doc = part.column(part.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
             owner, start, end, ids, _, at, to = _paragraphs(data, offs, p.near.k)
             if len(ids):
@@ -100,20 +100,26 @@ def windows(hashes: np.ndarray, woffs: np.ndarray, p: PassageParams) -> np.ndarr
     if len(hashes) < p.words:
         return np.zeros(0, np.int64)
     k = p.near.k
-    acc = np.zeros(len(hashes), np.uint64)
+    n = len(hashes)
+    acc = np.zeros(n, np.uint64)
     for j in range(k):
-        acc = arrays.mix(acc * arrays.U64(0x9E3779B97F4A7C15) + np.roll(hashes, -j))
-    n = len(acc)
+        acc *= arrays.U64(0x9E3779B97F4A7C15)
+        acc[: n - j] += hashes[j:]
+        acc[n - j :] += hashes[:j]
+        acc = arrays.mix(acc)
     bits = arrays.U64(int(n).bit_length())
     mask = (arrays.U64(1) << bits) - arrays.U64(1)
     key = (acc >> bits << bits) | (mask - np.arange(n, dtype=np.uint64))
-    view = np.lib.stride_tricks.sliding_window_view(key, p.stride)
-    least = view.min(1)
+    least, wide = key, 1
+    while wide < p.stride:
+        step = min(wide, p.stride - wide)
+        least, wide = np.minimum(least[:-step], least[step:]), wide + step
     spot = (mask - (least & mask)).astype(np.int64)
     # windows of shingles that lie in one document
     count = np.maximum(np.diff(woffs) - (k - 1) - p.stride + 1, 0)
     at = np.repeat(woffs[:-1], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    first = np.unique(spot[at])
+    first = spot[at]  # ascending, as the windows are
+    first = first[np.flatnonzero(np.diff(first, prepend=-1))]
     owner = np.searchsorted(woffs, first, "right") - 1
     return first[first + p.words <= woffs[owner + 1]]
 
@@ -122,7 +128,7 @@ def _windows(docs: DataFrame, p: PassageParams) -> DataFrame:
     """(unit, doc_id, start, bytes, word): hash of each selected window, its place and its first word's number."""
 
     def run(batches):
-        for part, data, offs in arrays.blocks(batches, "text"):
+        for part, data, offs in arrays.blocks(batches, "text", arrays.WORD_BYTES):
             ids = part.column(part.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
             starts, ends, woffs = arrays.words(data, offs)
             h = arrays.range_hash(arrays.prefix_hash(arrays.LOWER[data]), starts, ends)

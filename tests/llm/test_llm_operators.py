@@ -1,6 +1,7 @@
 """Operators against brute force on a small corpus, and on odd rows."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import decontamination, fingerprints, languages, lines, near, packing, passages, sharding, suffix_tree, suffixes
+from factloom.llm import arrays, decontamination, fingerprints, languages, lines, near, packing, passages, sharding, suffix_tree, suffixes
 from factloom.llm.components import components
 from factloom.llm.frames import shared
 
@@ -496,3 +497,42 @@ def test_repeated_and_missing_ids(spark):
     shards = sharding.shard(df, 4).collect()
     assert len(shards) == 8 and all(r.shard is not None for r in shards)
     assert {r.doc_id for r in passages.repeated_passages(df).collect()} == {1, 2}
+
+
+def test_signatures_and_windows_of_many_units_at_once():
+    rng = np.random.default_rng(5)
+    p = near.NearParams(k=5, values=6)
+    h = rng.integers(0, 2**63, 1_000_000, dtype=np.uint64)
+    offs = np.concatenate([[0], np.sort(rng.choice(np.arange(1, 900_000), 200, replace=False)), [len(h)]])
+    tracemalloc.start()
+    got = near.signatures(h, offs, p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    mult, add = near._constants(p, 3)
+    for i in (0, 1, 77, 200):
+        own = h[offs[i] : offs[i + 1], None] * mult + add
+        assert (got[i, ::2] == own.min(0)).all() and (got[i, 1::2] == own.max(0)).all()
+    # the longest unit at a time, not all of them once for each permutation
+    assert peak < 1_000_000 + int(np.diff(offs).max()) * 8
+    before = h[:100].copy()
+    arrays.mix(h[:100])
+    assert (h[:100] == before).all()
+    woffs = np.array([0, 7, 12, 40, 90])
+    short, soffs = arrays.shingles(h[:90], np.array([0, 3, *woffs[1:]]), 5)
+    whole, own = arrays.shingles(h[:90], woffs, 5)
+    assert (whole[own[1] :] == short[soffs[2] :]).all()
+    wp = passages.PassageParams()
+    words_at = np.array([0, 300, 310, 700, 1000])
+    key = [tuple(h[i : i + 5]) for i in range(996)]
+    hashed = {}
+    for i, x in enumerate(key):
+        acc = np.zeros(1, np.uint64)
+        for w in x:
+            acc = arrays.mix(acc * arrays.U64(0x9E3779B97F4A7C15) + w)
+        hashed[i] = int(acc[0]) >> 10
+    want = set()
+    for lo, hi in zip(words_at[:-1].tolist(), words_at[1:].tolist(), strict=True):
+        for s in range(lo, hi - 4 - wp.stride + 1):
+            at = min(range(s, s + wp.stride), key=lambda i: (hashed[i], -i))
+            want |= {at} if at + wp.words <= hi else set()
+    assert passages.windows(h[:1000], words_at, wp).tolist() == sorted(want)
