@@ -1,6 +1,8 @@
 """Operators against brute force on a small corpus, and on odd rows."""
 
+import pathlib
 import random
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -384,6 +386,41 @@ def test_scores_of_words_beyond_the_frequent(spark):
     assert got == pytest.approx(want)
 
 
+def test_scores_of_contexts_that_several_tasks_share(spark, monkeypatch):
+    deals = []
+    monkeypatch.setattr(suffix_tree, "_dealt", lambda docs, number, deal, *more, own=suffix_tree._dealt: deals.append(deal) or own(docs, number, deal, *more))
+    texts = many_contexts()
+    texts |= {200 + i: f"head{i} " + "to be or not to be that is " * 40 + f"xyz a{i}" for i in range(30)}
+    texts |= {300: texts[3], 301: texts[3], 302: texts[5], 303: "", 304: "", 305: "new1 to be or not new2"}
+    learned = [i for i in texts if i % 5]
+    want, _ = suffix_scores(texts, learned)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = suffix_tree.score_documents(df, F.col("doc_id") % 5 != 0, params=suffix_tree.TreeParams(hot=300, symbols=100, task=3000, slices=3)).collect()
+    assert len(got) == len(texts) and {r.doc_id: r.score for r in got} == pytest.approx(want)
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(words(t)) + 1 for i, t in texts.items()}
+    assert deals[0].slices == 3 and deals[0].tasks > 5 and all(len(keys) for keys, _ in deals[0].often)
+
+
+def test_scoring_leaves_neither_tree_nor_shuffled_tokens_on_the_disk(spark):
+    texts = many_contexts()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).localCheckpoint()
+    shared_folder = pathlib.Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://"))
+
+    def held():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        files = [pathlib.Path(blocks.apply(i).getPath()) for i in range(blocks.length())]
+        return sum(f.stat().st_size for f in [*(f for f in files if f.name.startswith("shuffle_")), *shared_folder.rglob("*.parquet")] if f.exists())
+
+    before = held()
+    suffix_tree.score_documents(df, F.col("doc_id") % 5 != 0)
+    more = [held() - before]
+    for _ in range(50):  # files are deleted beside what runs
+        if more[-1] > 0.5 * sum(map(len, texts.values())):
+            time.sleep(0.2)
+            more.append(held() - before)
+    assert more[-1] <= 0.5 * sum(map(len, texts.values()))
+
+
 def test_short_and_wrapped_paragraphs(spark):
     rng = random.Random(3)
     line = lambda n: " ".join("".join(rng.choice(SYLLABLES["aa"]) for _ in range(3)) for _ in range(n))
