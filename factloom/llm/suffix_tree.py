@@ -55,7 +55,7 @@ class TreeParams:
     bits: int = 25
     task: int = 400_000
     spread: int = 128
-    slices: int = 6
+    slices: int = 5
 
 
 @dataclass(frozen=True)
@@ -335,10 +335,10 @@ def _rare_words(docs: DataFrame, rest: DataFrame, hot: np.ndarray, deal: Deal, p
 
         def rows():
             sym, place = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.lexsort((place, sym))
-            sym, place = sym[order], place[order]
-            new = np.concatenate([[True], (sym[1:] != sym[:-1]) | (place[1:] != place[:-1])])
-            return pa.RecordBatch.from_arrays([pa.array(place[new].astype(np.int32)), pa.array(sym[new].view(np.int64))], ["place", "key"])
+            which = _ids(pair_keys(sym, place.astype(U64)))[1]
+            one = np.empty(int(which.max()) + 1, np.int64)
+            one[which] = np.arange(len(which))
+            return pa.RecordBatch.from_arrays([pa.array(place[one].astype(np.int32)), pa.array(sym[one].view(np.int64))], ["place", "key"])
 
         for _, data, offs in arrays.blocks(batches, "text", arrays.WORD_BYTES):
             tokens, toffs = _tokens(*arrays.word_hashes(data, offs))
@@ -357,7 +357,8 @@ def _rare_words(docs: DataFrame, rest: DataFrame, hot: np.ndarray, deal: Deal, p
         if got:
             yield rows()
 
-    told = merge_join(docs.select("text").mapInArrow(run, "place int, key long"), rest.select("key", "n"), "key")
+    # each word of the rest stands once, so a task's share of them is small and no row need be sorted
+    told = docs.select("text").mapInArrow(run, "place int, key long").join(rest.select("key", "n").hint("shuffle_hash"), "key")
     return cut(told.withColumn("slice", F.expr(f"place div {deal.tasks}").cast("int")), "slice")
 
 
@@ -557,7 +558,7 @@ def _score_documents(docs: DataFrame, learn: Column, id_col: str, text_col: str,
                 out[at] = log_probabilities([x[at] for x in ctx], sym[at], key[at] & 1, level[at], c, lp, total, known, p)
                 seen[at] = c > 0
             text, at = _ids(key)
-            sums = [np.bincount(at, x) for x in (out, gained)] + [np.bincount(at, x, len(text)).astype(np.int64) for x in (seen, None, sym == END)]
+            sums = [np.bincount(at, x) for x in (out, gained)] + [np.bincount(at, x, len(text)).astype(np.uint32) for x in (seen, None, sym == END)]
             return _packs(0, (arrays.mix(text.view(U64)) % U64(sum_tasks)).astype(np.int64), [text, *sums])
 
         for batch in batches:
@@ -584,10 +585,10 @@ def _score_documents(docs: DataFrame, learn: Column, id_col: str, text_col: str,
         key, *sums = _joined(parts, *sum_kinds)
         if len(key):
             text, at = _ids(key)
-            sums = [np.bincount(at, x).astype(kind) for x, kind in zip(sums, sum_kinds[1:], strict=True)]
+            sums = [np.bincount(at, x).astype(np.int64 if kind is np.uint32 else kind) for x, kind in zip(sums, sum_kinds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (text, *sums)], ["key", "score", "base", "known", "tokens", "ends"])
 
-    sum_tasks, sum_kinds = -(-deal.tasks // 4), [np.int64, np.float64, np.float64, np.int64, np.int64, np.int64]
+    sum_tasks, sum_kinds = -(-deal.tasks // 4), [np.int64, np.float64, np.float64, np.uint32, np.uint32, np.uint32]
     scored = []
     for number in range(deal.slices):
         rows = _dealt(base, number, deal, p.depth, p.task)
